@@ -152,17 +152,18 @@ def audit_history(spark, sf):
     return lifecycle.audit_history(audit_events(spark, sf)).select("scan_id", "idx", "id", F.col("n").cast("long").alias("n"))
 
 
-CARRY = """old_states AS (SELECT c.scan_id, s.stored_fp AS fp, arg_min(t.state, s.idx) AS state FROM chain c JOIN stored s ON s.scan_id = c.prev_scan_id
+CARRY = """old_states AS (SELECT c.scan_id, s.rule_id AS fp, arg_min(t.state, s.idx) AS state FROM chain c JOIN stored s ON s.scan_id = c.prev_scan_id
   JOIN states t ON t.scan_id = s.scan_id AND t.idx = s.idx GROUP BY ALL),
-old_notes AS (SELECT c.scan_id, s.stored_fp AS fp, arg_min(t.note, s.idx) AS note FROM chain c JOIN stored s ON s.scan_id = c.prev_scan_id
+old_notes AS (SELECT c.scan_id, s.rule_id AS fp, arg_min(t.note, s.idx) AS note FROM chain c JOIN stored s ON s.scan_id = c.prev_scan_id
   JOIN notes t ON t.scan_id = s.scan_id AND t.idx = s.idx GROUP BY ALL)"""
 
 
 @query("carry_over", with_sql(SCANS, FINDINGS, STORED, CHAIN, AUDIT, STATES, NOTES, CARRY, select="""SELECT f.scan_id, f.idx, s.state, n.note FROM stored f
-LEFT JOIN old_states s ON s.scan_id = f.scan_id AND s.fp = f.stored_fp LEFT JOIN old_notes n ON n.scan_id = f.scan_id AND n.fp = f.stored_fp
+LEFT JOIN old_states s ON s.scan_id = f.scan_id AND s.fp = f.rule_id LEFT JOIN old_notes n ON n.scan_id = f.scan_id AND n.fp = f.rule_id
 WHERE s.state IS NOT NULL OR n.note IS NOT NULL"""))
 def carry_over(spark, sf):
-    f = stored(spark, sf)
+    # the rule stands in for the fingerprint, so that most scans share identities with their predecessor
+    f = findings(spark, sf).withColumn("stored_fp", F.col("rule_id"))
     current = f.join(chain(spark, sf).select("scan_id", "prev_scan_id"), "scan_id").select(
         "scan_id", "prev_scan_id", "idx", F.col("stored_fp").alias("fp"))
     return lifecycle.carry_over(current, f.select("scan_id", "idx", "stored_fp"), states(spark, sf), audit_notes(spark, sf)).select(
