@@ -21,6 +21,11 @@ def severity_from_rank(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), rank + 1)
 
 
+def strip(text: Column) -> Column:
+    """Both ends without any whitespace, not only blanks."""
+    return F.regexp_replace(text, f"^{BLANKS}|{BLANKS}$", "")
+
+
 def squeezed(code: Column) -> Column:
     return F.regexp_replace(code, BLANKS, "")
 
@@ -49,7 +54,7 @@ def file_ext(path: Column) -> Column:
 
 def project_name(archive: Column) -> Column:
     stem = file_stem(archive)
-    cut = F.trim(F.regexp_replace(stem, ARCHIVE_SUFFIX, ""))
+    cut = strip(F.regexp_replace(stem, ARCHIVE_SUFFIX, ""))
     return F.when(cut == "", stem).otherwise(cut)
 
 

@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from .identity import strip
+
 #: The resident-number checksum weights and the entropy floors.
 RRN_WEIGHTS = (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)
 ENTROPY_B64 = 4.5
@@ -42,7 +44,7 @@ def shannon_bits(value: Column) -> Column:
 
 
 def mask_generic(value: Column) -> Column:
-    v = F.trim(value)
+    v = strip(value)
     n = F.length(v)
     return F.when(n <= 6, F.concat(F.substring(v, 1, 1), F.repeat(F.lit("*"), n - 1))).otherwise(
         F.concat(F.substring(v, 1, 4), F.repeat(F.lit("*"), F.least(F.lit(12), n - 6)), F.right(v, F.lit(2))))

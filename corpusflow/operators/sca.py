@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.identity import severity_from_rank, severity_rank
+from ..functions.identity import severity_from_rank, severity_rank, strip
 from ..functions.versions import advisory_severity, affected, fixed_versions
 
 #: Fixed values.
@@ -57,7 +57,7 @@ def cve_merge(joined: DataFrame) -> DataFrame:
         F.when(F.size(cves) > 0, F.element_at(cves, 1)).otherwise(F.col("advisory_id")).alias("cve"),
         severity_rank(advisory_severity(F.col("severity"), F.col("database_specific.severity"))).alias("rank"),
         fixed_versions(F.col("affected"), F.col("name")).alias("fixed"),
-        F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), "advisory_id")
+        strip(F.coalesce("summary", F.lit(""))).alias("summary"), "advisory_id")
     # fixes are exploded so the union is a set of strings, not a list of lists held per group
     top = (rows.groupBy("ecosystem", "name", "version", "cve")
            .agg(F.min_by(F.struct("file", "line"), F.struct("file", "line")).alias("at"),

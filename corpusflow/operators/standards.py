@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.identity import strip
 from ..plans import dimension
 from ..tables import checklists, remedies
 
@@ -14,7 +15,7 @@ def items(spark: SparkSession, *names: str) -> DataFrame:
 
 
 def normal_cwe(cwe: Column) -> Column:
-    return F.upper(F.trim(F.coalesce(cwe, F.lit(""))))
+    return F.upper(strip(F.coalesce(cwe, F.lit(""))))
 
 
 def cwe_counts(findings: DataFrame, *keys: str) -> DataFrame:

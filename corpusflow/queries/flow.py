@@ -1 +1,668 @@
-"""Queries."""
+"""Flow queries: line items as call facts, and two graphs drawn from the order tables."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from . import query
+from .inputs import TYPE_EXT, _case, _map, table, with_sql
+from ..operators.flow import closure, edges as cut, match, resolve, summaries
+from ..plans import dimension
+from ..sources import rules as rule_files
+
+TYPE_LANG = {"ECONOMY": "python", "SMALL": "typescript", "MEDIUM": "javascript", "LARGE": "php", "STANDARD": "java", "PROMO": "go"}
+METHODS = {1: "exec", 2: "length", 3: "trim", 4: "put", 5: "get", 6: "map", 7: "Replace"}
+LANGS = sorted(set(TYPE_LANG.values()))
+
+
+def calls(spark, sf) -> DataFrame:
+    """One call per line item; its callee is spelled from the part name and the line number."""
+    l, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    j = l.join(p, l.l_partkey == p.p_partkey)
+    lead = F.when(F.col("l_returnflag") == "R", "app::").when(F.col("l_returnflag") == "A", "self.").otherwise("")
+    path = F.replace("p_name", F.lit(" "), F.lit("."))
+    return j.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"),
+        _map(TYPE_LANG, F.col("p_type")).alias("lang"), F.concat(lead, path).alias("path"),
+        F.concat(lead, path, F.lit("."), _map(METHODS, F.col("l_linenumber"))).alias("callee"),
+        F.concat_ws(", ", "p_name", "p_brand").alias("args_text"), (F.col("l_linestatus") == "F").alias("is_statement"),
+        F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("/")), _map(TYPE_EXT, F.col("p_type"))).alias("file"),
+        F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("l_orderkey").alias("order_key"))
+
+
+CALLS = f"""calls AS (
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call_id, {_case(TYPE_LANG, 'p_type')} AS lang,
+         CASE l_returnflag WHEN 'R' THEN 'app::' WHEN 'A' THEN 'self.' ELSE '' END || replace(p_name, ' ', '.') AS path,
+         CASE l_returnflag WHEN 'R' THEN 'app::' WHEN 'A' THEN 'self.' ELSE '' END || replace(p_name, ' ', '.') || '.' ||
+         CASE l_linenumber WHEN 1 THEN 'exec' WHEN 2 THEN 'length' WHEN 3 THEN 'trim' WHEN 4 THEN 'put' WHEN 5 THEN 'get' WHEN 6 THEN 'map' ELSE 'Replace' END AS callee,
+         replace(p_name, ' ', '.') AS bare, p_name || ', ' || p_brand AS args_text, l_linestatus = 'F' AS is_statement,
+         'src/' || replace(p_name, ' ', '/') || {_case(TYPE_EXT, 'p_type')} AS file, p_brand AS brand, p_size AS size, l_orderkey AS order_key
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def nodes(spark, sf) -> DataFrame:
+    return calls(spark, sf).select("lang", F.col("call_id").alias("node_id"), "path")
+
+
+def arguments(spark, sf) -> DataFrame:
+    """Receiver (-1) and two arguments per call."""
+    idx = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("arg_idx")
+    return calls(spark, sf).select("call_id", idx).withColumn("node_id", F.concat_ws("@", "call_id", F.col("arg_idx").cast("string")))
+
+
+ARGS = "args AS (SELECT call_id, i AS arg_idx, call_id || '@' || i AS node_id FROM calls, (SELECT unnest([-1, 0, 1]) AS i))"
+
+SPECS = [
+    {"id": "r.cmd", "languages": ["python", "java", "go"], "severity": "critical", "cwe": "CWE-78",
+     "sources": [{"pattern": "member", "object": "small", "property": ["ring", "bolt"]}, {"pattern": "name", "name": ["red.anvil", "blue"]},
+                 {"pattern": "annotation", "name": ["1-URGENT"]}, {"pattern": "outparam", "name": ["trim"], "arg": 1}],
+     "sinks": [{"callee": ["ring.exec", "widget.exec"], "arg": 0}, {"callee": "exec"}, {"pattern": "return", "decorator": ["app.BUILDING", "MACHINERY"]}],
+     "sanitizers": [{"callee": ["Replace"]}, {"callee": ["trim"], "requires": ["Brand#1", "ring"]}], "validators": ["HOUSEHOLD"]},
+    {"id": "r.web", "languages": ["javascript", "typescript", "php"], "severity": "high", "cwe": "CWE-79",
+     "sources": [{"pattern": "member", "object": "large"}, {"pattern": "name", "name": ["small.bolt"]}, {"pattern": "annotation", "name": ["2-HIGH", "5-LOW"]},
+                 {"pattern": "outcopy", "name": ["put"], "arg": 0}],
+     "sinks": [{"callee": "map", "arg": 5}, {"callee": ["get"], "arg": 1}, {"pattern": "assign", "property": ["FURNITURE", "MACHINERY"]}],
+     "sanitizers": [{"callee": ["anvil.Replace", "length"]}], "validators": ["BUILDING", {"token": ["AUTOMOBILE"]}]},
+]
+
+
+def rule_tables(spark) -> dict[str, DataFrame]:
+    return rule_files.flow_rule_tables(spark, SPECS, trust_stored_data=True)
+
+
+_CMD, _WEB = "('python', 'java', 'go')", "('javascript', 'typescript', 'php')"
+
+
+def _by_rule(cmd: str, web: str, cols: str, source: str) -> str:
+    return (f"SELECT 'r.cmd' AS rule_id, {cols} FROM {source} WHERE lang IN {_CMD} AND ({cmd})\nUNION ALL "
+            f"SELECT 'r.web', {cols} FROM {source} WHERE lang IN {_WEB} AND ({web})")
+
+
+_KINDS = {"r.cmd": (_CMD, 5, 5, 2), "r.web": (_WEB, 5, 4, 2)}
+
+
+@query("src_rules", with_sql(CALLS, "n AS (SELECT lang, count(*) AS calls FROM calls GROUP BY lang)", select="\nUNION ALL ".join(
+    f"SELECT '{rid}' AS rule_id, '{kind}' AS kind, lang, {count} AS n, calls FROM n WHERE lang IN {langs}"
+    for rid, (langs, *counts) in _KINDS.items() for kind, count in zip(("sources", "sinks", "sanitizers"), counts))))
+def src_rules(spark, sf):
+    """Rules applied to the languages of the calls: how many patterns of each kind meet how many calls."""
+    t = rule_tables(spark)
+    by_lang = calls(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("calls"))
+    kinds = [t[k].groupBy("rule_id", "lang").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k)) for k in ("sources", "sinks", "sanitizers")]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).join(by_lang, "lang").select("rule_id", "kind", "lang", "n", "calls")
+
+
+@query("match_source_member", with_sql(CALLS, select=_by_rule("bare LIKE 'small.%' AND split_part(bare, '.', 2) IN ('ring', 'bolt')", "split_part(bare, '.', 1) = 'large'", "call_id AS node_id", "calls")))
+def match_source_member(spark, sf):
+    return match.sources_by_member(nodes(spark, sf), rule_tables(spark)["sources"])
+
+
+@query("match_source_name", with_sql(CALLS, select=_by_rule("bare = 'red.anvil' OR bare LIKE 'red.anvil.%' OR bare = 'blue' OR bare LIKE 'blue.%'", "bare = 'small.bolt' OR bare LIKE 'small.bolt.%'", "call_id AS node_id", "calls")))
+def match_source_name(spark, sf):
+    return match.sources_by_name(nodes(spark, sf), rule_tables(spark)["sources"])
+
+
+_ORDER_LANG = "CASE WHEN o_orderstatus = 'F' THEN 'python' WHEN o_orderstatus = 'O' THEN 'php' ELSE 'go' END"
+
+
+def params(spark, sf) -> DataFrame:
+    """Orders as parameters: priority is the annotation, the customer's segment the decorator."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    lang = F.when(F.col("o_orderstatus") == "F", "python").when(F.col("o_orderstatus") == "O", "php").otherwise("go")
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        lang.alias("lang"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node_id"), F.lit("param").alias("kind"),
+        F.array("o_orderpriority").alias("annotations"), F.array(F.concat(F.lit("web.app."), F.col("c_mktsegment"))).alias("decorators"),
+        F.col("c_mktsegment").alias("prop"))
+
+
+PARAMS = f"params AS (SELECT {_ORDER_LANG} AS lang, 'o' || o_orderkey AS node_id, o_orderpriority AS a, c_mktsegment AS seg FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+@query("match_source_annotation", with_sql(PARAMS, select=_by_rule("a = '1-URGENT'", "a IN ('2-HIGH', '5-LOW')", "node_id", "params")))
+def match_source_annotation(spark, sf):
+    return match.sources_by_annotation(params(spark, sf), rule_tables(spark)["sources"])
+
+
+@query("match_source_outparam", with_sql(CALLS, select=f"SELECT 'r.cmd' AS rule_id, call_id || '@1' AS node_id FROM calls WHERE lang IN {_CMD} AND callee LIKE '%.trim'"))
+def match_source_outparam(spark, sf):
+    return match.sources_by_outparam(calls(spark, sf), arguments(spark, sf), rule_tables(spark)["sources"])
+
+
+@query("outcopy", with_sql(CALLS, ARGS, select=f"""SELECT 'r.web' AS rule_id, CASE WHEN arg_idx = 0 THEN 'outcopy#r.web#' || call_id || '#0' ELSE node_id END AS src,
+  CASE WHEN arg_idx = 0 THEN node_id ELSE 'outcopy#r.web#' || call_id || '#0' END AS dst FROM calls JOIN args USING (call_id) WHERE lang IN {_WEB} AND callee LIKE '%.put'"""))
+def outcopy(spark, sf):
+    return match.outcopy_edges(calls(spark, sf), arguments(spark, sf), rule_tables(spark)["sources"])
+
+
+SINKS = f"""sinks AS (SELECT 'r.cmd' AS rule_id, call_id, arg_idx, node_id FROM calls JOIN args USING (call_id) WHERE lang IN {_CMD} AND callee LIKE '%.exec'
+    AND CASE WHEN callee LIKE '%ring.exec' OR callee LIKE '%widget.exec' THEN arg_idx = 0 ELSE arg_idx >= 0 END
+  UNION ALL SELECT 'r.web', call_id, arg_idx, node_id FROM calls JOIN args USING (call_id) WHERE lang IN {_WEB} AND callee LIKE '%.get' AND arg_idx = 1)"""
+
+
+@query("match_sink_call", with_sql(CALLS, ARGS, SINKS, select="SELECT * FROM sinks"))
+def match_sink_call(spark, sf):
+    """A pattern for argument 5 matches no two-argument call."""
+    return match.sinks_by_call(calls(spark, sf), arguments(spark, sf), rule_tables(spark)["sinks"])
+
+
+@query("first_tainted_arg", with_sql(CALLS, ARGS, SINKS, select="SELECT rule_id, call_id, min(arg_idx) AS arg_idx FROM sinks JOIN calls USING (call_id) WHERE brand IN ('Brand#1', 'Brand#2') OR arg_idx = 1 GROUP BY ALL"))
+def first_tainted_arg(spark, sf):
+    s = match.sinks_by_call(calls(spark, sf), arguments(spark, sf), rule_tables(spark)["sinks"])
+    hot = s.join(calls(spark, sf).select("call_id", "brand"), "call_id").filter(F.col("brand").isin("Brand#1", "Brand#2") | (F.col("arg_idx") == 1))
+    return match.first_tainted_arg(s, hot.select("rule_id", F.col("node_id").alias("node"))).select("rule_id", "call_id", "arg_idx")
+
+
+@query("match_sink_return", with_sql(PARAMS, select=f"SELECT 'r.cmd' AS rule_id, node_id FROM params WHERE lang IN {_CMD} AND seg IN ('BUILDING', 'MACHINERY')"))
+def match_sink_return(spark, sf):
+    return match.sinks_by_return(params(spark, sf), rule_tables(spark)["sinks"])
+
+
+@query("match_sink_assign", with_sql(PARAMS, select=f"SELECT 'r.web' AS rule_id, node_id FROM params WHERE lang IN {_WEB} AND seg IN ('FURNITURE', 'MACHINERY')"))
+def match_sink_assign(spark, sf):
+    return match.sinks_by_assign(params(spark, sf).withColumn("kind", F.lit("member_write")), rule_tables(spark)["sinks"])
+
+
+SANITIZED = f"""sanitized AS (SELECT 'r.cmd' AS rule_id, call_id FROM calls WHERE lang IN {_CMD} AND (callee LIKE '%.Replace' OR callee LIKE '%.trim' AND (contains(args_text, 'Brand#1') OR contains(args_text, 'ring')))
+  UNION ALL SELECT 'r.web', call_id FROM calls WHERE lang IN {_WEB} AND (callee LIKE '%.anvil.Replace' OR callee LIKE '%.length'))"""
+
+
+@query("match_sanitizer", with_sql(CALLS, SANITIZED, select="SELECT * FROM sanitized"))
+def match_sanitizer(spark, sf):
+    return match.sanitizer_calls(calls(spark, sf), rule_tables(spark)["sanitizers"])
+
+
+@query("match_receiver_sanitizer", with_sql(CALLS, SANITIZED, select="SELECT rule_id, call_id || '@-1' AS node FROM sanitized JOIN calls USING (call_id) WHERE is_statement"))
+def match_receiver_sanitizer(spark, sf):
+    c = calls(spark, sf)
+    receivers = arguments(spark, sf).filter(F.col("arg_idx") == -1).select("call_id", "node_id")
+    return match.receiver_sanitizers(match.sanitizer_calls(c, rule_tables(spark)["sanitizers"]), c, receivers)
+
+
+LIBRARY = [{"block": {"method": ["length", "get"], "name": ["small.ring.trim"]}, "propagate": {"method": ["trim"]}},
+           {"languages": ["java", "go"], "block": {"method": ["map"]}, "propagate": {"name": ["blue.bolt.get", "red.bolt.map"], "method": ["get"]}}]
+
+
+def library(spark) -> DataFrame:
+    rows = rule_files.library_rows(LIBRARY)
+    return rule_files.library_model(dimension(spark, rows, "load_order int, kind string, key string, languages array<string>, verdict string"))
+
+
+VERDICTS = """verdicts AS (SELECT call_id, lang, callee, CASE WHEN callee = 'small.ring.trim' THEN 'block'
+  WHEN callee IN ('blue.bolt.get', 'red.bolt.map') AND lang IN ('java', 'go') THEN 'propagate'
+  WHEN callee LIKE '%.length' THEN 'block' WHEN callee LIKE '%.get' AND lang IN ('java', 'go') THEN 'propagate'
+  WHEN callee LIKE '%.trim' THEN 'propagate' WHEN callee LIKE '%.map' AND lang IN ('java', 'go') THEN 'block' END AS verdict FROM calls)"""
+
+
+@query("library_verdict", with_sql(CALLS, VERDICTS, select="SELECT call_id, verdict FROM verdicts"))
+def library_verdict(spark, sf):
+    """``get`` is redefined by the later file for two languages; the earlier entry is gone."""
+    return match.library_verdicts(calls(spark, sf), library(spark))
+
+
+@query("src_library_model", with_sql(CALLS, VERDICTS, select="SELECT lang, coalesce(verdict, 'unknown') AS verdict, count(*) AS n FROM verdicts GROUP BY ALL"))
+def src_library_model(spark, sf):
+    v = match.library_verdicts(calls(spark, sf), library(spark)).join(calls(spark, sf).select("call_id", "lang"), "call_id")
+    return v.groupBy("lang", F.coalesce("verdict", F.lit("unknown")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("uncertain_mark", with_sql(CALLS, VERDICTS, select="SELECT call_id || '@0' AS src, call_id AS dst, verdict IS NULL AS uncertain FROM verdicts WHERE coalesce(verdict, '') <> 'block'"))
+def uncertain_mark(spark, sf):
+    c = calls(spark, sf)
+    e = c.select(F.concat("call_id", F.lit("@0")).alias("src"), F.col("call_id").alias("dst"), "call_id")
+    return match.uncertain_edges(e, match.library_verdicts(c, library(spark))).select("src", "dst", "uncertain")
+
+
+@query("sink_prefilter", with_sql(CALLS, select=f"""SELECT rule_id, file, count(*) AS n FROM (
+  SELECT 'r.cmd' AS rule_id, file, callee FROM calls WHERE lang IN {_CMD} AND callee LIKE '%.exec' UNION ALL
+  SELECT 'r.web', file, callee FROM calls WHERE lang IN {_WEB} AND (callee LIKE '%.map' OR callee LIKE '%.get')) GROUP BY ALL"""))
+def sink_prefilter(spark, sf):
+    """Active rules, then per rule the files worth analysing, with their sink-name calls."""
+    t, c = rule_tables(spark), calls(spark, sf)
+    active = match.active_rules(t["sinks"], c)
+    sinks = t["sinks"].join(active, ["rule_id", "lang"], "left_semi")
+    none = dimension(spark, [], "rule_id string, name string")
+    files = match.interesting_files(c.join(active.select("lang").distinct(), "lang", "left_semi"), sinks, none)
+    # a file is analysed for the rules of its language
+    named = c.join(active, "lang").withColumn("name", match.last_segment(F.col("callee")))
+    want = sinks.filter("callee is not null").select("rule_id", match.last_segment(F.col("callee")).alias("name")).distinct()
+    return named.join(files, ["rule_id", "file"], "left_semi").join(want, ["rule_id", "name"], "left_semi").groupBy("rule_id", "file").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+# ---- call graph: parts are functions, line items call them ---------------------------------
+
+def functions(spark, sf) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.select(
+        F.lit("shop").alias("project"), F.concat(F.lit("lib/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"), F.lower("p_type"), F.lit(".py")).alias("file"),
+        F.col("p_partkey").cast("string").alias("fn_id"),
+        F.when(F.col("p_retailprice") > 1085, F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string")))
+         .otherwise(F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"))).alias("name"),
+        F.col("p_partkey").cast("int").alias("line"), (F.col("p_size") / 25).cast("int").alias("arity"), (F.col("p_type") == "PROMO").alias("implicit_self"))
+
+
+FUNCTIONS = """functions AS (SELECT 'lib/' || lower(replace(p_brand, '#', '')) || '/' || lower(p_type) || '.py' AS file, lower(replace(p_brand, '#', '')) AS dir, lower(p_type) AS module,
+  CAST(p_partkey AS VARCHAR) AS fn_id, CASE WHEN p_retailprice > 1085 THEN replace(p_name, ' ', '_') || p_partkey ELSE replace(p_name, ' ', '_') || '_' || p_size END AS name,
+  CAST(p_partkey AS INT) AS line, CAST(trunc(p_size / 25) AS INT) AS arity, p_type = 'PROMO' AS implicit_self FROM part)"""
+_LAST = "arg_max(fn_id, (file, line, fn_id))"
+ALIASES = f"""aliases AS (
+  SELECT '' AS scope, name AS alias, 'bare' AS alias_kind, {_LAST} AS fn_id FROM functions GROUP BY name
+  UNION ALL SELECT file, name, 'file', {_LAST} FROM functions GROUP BY file, name
+  UNION ALL SELECT '', q, 'qualified', {_LAST} FROM (SELECT *, unnest([module || '.' || name, dir || '.' || module || '.' || name, 'lib.' || dir || '.' || module || '.' || name]) AS q FROM functions) GROUP BY q
+  UNION ALL SELECT '', name || '#unique', 'unique', max(fn_id) FROM functions GROUP BY name HAVING count(*) = 1
+  UNION ALL SELECT '', name || '#alt' || (row_number() OVER (PARTITION BY name ORDER BY file, line, fn_id) - 1), 'alt', fn_id FROM functions
+    WHERE name IN (SELECT name FROM functions GROUP BY name HAVING count(*) BETWEEN 2 AND 4))"""
+
+
+@query("function_index", with_sql(FUNCTIONS, select="SELECT file, name, count(*) AS n FROM functions GROUP BY ALL"))
+def function_index(spark, sf):
+    facts = functions(spark, sf).withColumn("kind", F.lit("fn_def"))
+    noise = facts.limit(0).unionByName(facts.withColumn("kind", F.lit("expr")))
+    return resolve.function_index(facts.unionByName(noise)).groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("function_alias", with_sql(FUNCTIONS, ALIASES, select="SELECT scope, alias, alias_kind, fn_id FROM aliases"))
+def function_alias(spark, sf):
+    return resolve.function_aliases(functions(spark, sf)).select("scope", "alias", "alias_kind", "fn_id")
+
+
+def call_sites(spark, sf) -> DataFrame:
+    """Line items as call sites: the caller's file is that of the supplier's brand, the callee is spelled four ways."""
+    l, f = table(spark, sf, "lineitem"), functions(spark, sf)
+    j = l.join(f, F.col("l_partkey").cast("string") == f.fn_id)
+    way = F.col("l_linenumber")
+    module = F.regexp_extract("file", r"([a-z]+)\.py$", 1)
+    return j.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"), "project",
+        F.when(F.col("l_returnflag") == "R", F.col("file")).otherwise(F.lit("lib/brand7/promo.py")).alias("file"),
+        F.when(way <= 2, F.col("name")).when(way == 3, F.concat_ws(".", module, "name")).when(way <= 5, F.concat(F.lit("obj."), F.col("name")))
+         .otherwise(F.concat(F.lit("New."), F.col("name"))).alias("callee"),
+        F.col("name").alias("prop"), F.when(way <= 2, "none").when(way <= 5, "ident").otherwise("call").alias("recv_kind"),
+        (F.col("l_quantity") / 20).cast("int").alias("nargs"), (way > 3).alias("is_member"))
+
+
+SITES = """sites AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call_id, CASE WHEN l_returnflag = 'R' THEN file ELSE 'lib/brand7/promo.py' END AS file,
+  CASE WHEN l_linenumber <= 2 THEN name WHEN l_linenumber = 3 THEN module || '.' || name WHEN l_linenumber <= 5 THEN 'obj.' || name ELSE 'New.' || name END AS callee, name AS prop,
+  CASE WHEN l_linenumber <= 2 THEN 'none' WHEN l_linenumber <= 5 THEN 'ident' ELSE 'call' END AS recv_kind, CAST(trunc(l_quantity / 20) AS INT) AS nargs, l_linenumber > 3 AS is_member
+  FROM lineitem JOIN functions ON fn_id = CAST(l_partkey AS VARCHAR))"""
+RESOLVED = """candidates AS (
+  SELECT call_id, fn_id, 1 AS prio FROM sites s JOIN aliases a ON a.alias_kind = 'file' AND a.scope = s.file AND a.alias = s.callee
+  UNION ALL SELECT call_id, fn_id, 2 FROM sites s JOIN aliases a ON a.alias_kind IN ('bare', 'qualified') AND a.alias = s.callee
+  UNION ALL SELECT call_id, fn_id, 3 FROM sites s JOIN aliases a ON a.alias_kind = 'file' AND a.scope = s.file AND a.alias = s.prop WHERE recv_kind = 'call'
+  UNION ALL SELECT call_id, a.fn_id, 4 FROM sites s JOIN aliases a ON a.alias_kind = 'unique' AND a.alias = regexp_extract(s.callee, '([^.]+)$', 1) || '#unique'
+    JOIN functions f ON f.fn_id = a.fn_id WHERE recv_kind = 'ident' AND contains(callee, '.') AND (f.arity - CAST(f.implicit_self AS INT) < 0 OR f.arity - CAST(f.implicit_self AS INT) = nargs)),
+resolved AS (SELECT call_id, arg_min(fn_id, prio) AS fn_id, min(prio) AS prio FROM candidates GROUP BY call_id)"""
+
+
+def resolved(spark, sf) -> DataFrame:
+    f = functions(spark, sf)
+    return resolve.resolve_calls(call_sites(spark, sf), resolve.function_aliases(f), f)
+
+
+@query("call_resolve", with_sql(FUNCTIONS, ALIASES, SITES, RESOLVED, select="SELECT call_id, fn_id, prio FROM resolved"))
+def call_resolve(spark, sf):
+    return resolved(spark, sf)
+
+
+@query("self_shift", with_sql(FUNCTIONS, ALIASES, SITES, RESOLVED, select="""SELECT r.call_id, r.fn_id AS callee_fn, i + CASE WHEN implicit_self AND is_member THEN 1 ELSE 0 END AS param_idx
+FROM resolved r JOIN functions f USING (fn_id) JOIN sites s ON s.call_id = r.call_id, (SELECT unnest([0, 1]) AS i)"""))
+def self_shift(spark, sf):
+    sites = call_sites(spark, sf)
+    args = sites.select("call_id", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("arg_idx")).withColumn("node_id", F.lit(""))
+    return resolve.call_arguments(args, resolved(spark, sf), functions(spark, sf), sites).select("call_id", "callee_fn", "param_idx")
+
+
+@query("alt_promote", with_sql(FUNCTIONS, ALIASES, select="""SELECT name, count(*) AS n FROM functions WHERE name IN (SELECT name FROM functions GROUP BY name HAVING count(*) BETWEEN 2 AND 4)
+GROUP BY name HAVING min(arity) = max(arity)"""))
+def alt_promote(spark, sf):
+    """Homonyms with the same behaviour; here the parameter count stands for the summary."""
+    f = functions(spark, sf)
+    same = f.select("fn_id", F.lit("r").alias("rule_id"), F.col("arity").cast("string").alias("summary"))
+    return resolve.promote_alts(resolve.function_aliases(f), same).select("name", "n")
+
+
+# ---- derived edges -------------------------------------------------------------------------
+
+@query("edge_mutator", with_sql(CALLS, select="SELECT call_id || '@' || i AS src, call_id || '@-1' AS dst FROM calls, (SELECT unnest([0, 1]) AS i) WHERE callee LIKE '%.put'"))
+def edge_mutator(spark, sf):
+    return cut.mutator_edges(calls(spark, sf), arguments(spark, sf))
+
+
+@query("edge_callback", with_sql(CALLS, select="SELECT call_id || '@-1' AS src, 'fn' || call_id AS dst FROM calls WHERE callee LIKE '%.map'"))
+def edge_callback(spark, sf):
+    c = calls(spark, sf)
+    first = c.select("call_id", F.lit(0).alias("param_idx"), F.concat(F.lit("fn"), F.col("call_id")).alias("node_id"))
+    return cut.callback_edges(c, arguments(spark, sf), first.unionByName(first.withColumn("param_idx", F.lit(1))))
+
+
+_SLOTTED = "CASE WHEN size > 40 THEN NULL ELSE CAST(size AS VARCHAR) END"
+SLOTS = f"""puts AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.put' AND lang IN ('java', 'go')),
+gets AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.get' AND lang IN ('java', 'go'))"""
+
+
+def _slots(spark, sf):
+    c = calls(spark, sf).filter(F.col("lang").isin("java", "go"))
+    rows = c.select(F.col("brand").alias("container"), F.when(F.col("size") <= 40, F.col("size").cast("string")).alias("slot"),
+                    F.col("call_id").alias("node_id"), "callee")
+    return rows.filter(F.endswith("callee", F.lit(".put"))).drop("callee"), rows.filter(F.endswith("callee", F.lit(".get"))).drop("callee")
+
+
+@query("edge_slot", with_sql(CALLS, SLOTS, select="""SELECT g.node_id AS node, count(*) AS n FROM gets g JOIN puts p ON p.container = g.container
+  AND (g.slot IS NULL OR p.slot IS NULL OR p.slot = g.slot) GROUP BY 1"""))
+def edge_slot(spark, sf):
+    """Put x get pairs per get, counted over the hub edges without ever forming a pair."""
+    puts, gets = _slots(spark, sf)
+    e = cut.slot_edges(puts, gets)
+    start = puts.select(F.col("node_id").alias("node"), F.lit(1).alias("w"))
+    reached = start
+    out = None
+    for _ in range(4):  # put -> slot/whole -> any -> get
+        reached = reached.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("w"))
+        hit = reached.join(gets.select(F.col("node_id").alias("node")), "node", "left_semi")
+        out = hit if out is None else out.unionByName(hit)
+    return out.groupBy("node").agg(F.sum("w").cast("long").alias("n"))
+
+
+PATHS = """defs AS (SELECT brand AS fn_id, bare AS path, call_id AS node_id FROM calls WHERE size > 30 AND callee LIKE '%.exec'),
+uses AS (SELECT brand AS fn_id, split_part(bare, '.', 1) AS path, call_id AS node_id, false AS const_slot FROM calls WHERE size < 4 AND callee LIKE '%.trim'
+  UNION ALL SELECT brand, bare || '.x', call_id, true FROM calls WHERE size < 4 AND callee LIKE '%.map')"""
+
+
+def _paths(spark, sf):
+    c = calls(spark, sf).withColumn("bare", match.source_path(F.col("path")))
+    bare = F.regexp_replace("path", "^(app::|self\\.)", "")
+    c = c.withColumn("bare", bare)
+    defs = c.filter((F.col("size") > 30) & F.endswith("callee", F.lit(".exec"))).select(F.col("brand").alias("fn_id"), F.col("bare").alias("path"), F.col("call_id").alias("node_id"))
+    u = c.filter(F.col("size") < 4)
+    whole = u.filter(F.endswith("callee", F.lit(".trim"))).select(F.col("brand").alias("fn_id"), F.substring_index("bare", ".", 1).alias("path"), F.col("call_id").alias("node_id"), F.lit(False).alias("const_slot"))
+    slot = u.filter(F.endswith("callee", F.lit(".map"))).select(F.col("brand").alias("fn_id"), F.concat("bare", F.lit(".x")).alias("path"), F.col("call_id").alias("node_id"), F.lit(True).alias("const_slot"))
+    return defs, whole.unionByName(slot)
+
+
+@query("edge_prefix_path", with_sql(CALLS, PATHS, select="""SELECT u.node_id AS node, count(DISTINCT d.path) AS n FROM uses u JOIN defs d ON d.fn_id = u.fn_id
+  AND (u.path = d.path OR starts_with(u.path, d.path || '.') OR (NOT u.const_slot AND starts_with(d.path, u.path || '.'))) GROUP BY 1"""))
+def edge_prefix_path(spark, sf):
+    """How many tainted places each use can see, by walking the hub edges back one place at a time."""
+    defs, uses = _paths(spark, sf)
+    e = cut.path_edges(defs, uses)
+    places = defs.select(F.concat_ws("#", F.lit("at"), "fn_id", "path").alias("place"), "path").distinct()
+    above = places.join(e, F.col("place") == F.col("src")).select(F.col("dst").alias("node"), "path")
+    far = above.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "path")
+    seen = above.unionByName(far).join(uses.select(F.col("node_id").alias("node")), "node", "left_semi").distinct()
+    return seen.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("edge_ctor_setter", with_sql(FUNCTIONS, ALIASES, SITES, RESOLVED, select="""SELECT 'r' AS rule_id, r.call_id || '@' || i AS src, r.call_id || '@-1' AS dst FROM resolved r JOIN functions f USING (fn_id)
+  JOIN sites s ON s.call_id = r.call_id, (SELECT unnest([0, 1]) AS i) WHERE i + CASE WHEN implicit_self AND is_member THEN 1 ELSE 0 END = 1 AND arity = 1"""))
+def edge_ctor_setter(spark, sf):
+    """Functions with one parameter keep parameter 1 in a field."""
+    sites, f = call_sites(spark, sf), functions(spark, sf)
+    args = sites.select("call_id", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("arg_idx")).withColumn(
+        "node_id", F.concat_ws("@", "call_id", F.col("arg_idx").cast("string")))
+    keeps = f.filter(F.col("arity") == 1).select(F.lit("r").alias("rule_id"), "fn_id", F.lit(1).alias("param_idx"))
+    recv = args.filter(F.col("arg_idx") == -1).select("call_id", "node_id")
+    return cut.setter_edges(resolve.call_arguments(args, resolved(spark, sf), f, sites), keeps, recv)
+
+
+@query("edge_self", with_sql(FUNCTIONS, ALIASES, SITES, RESOLVED, select="SELECT 'r' AS rule_id, call_id || '@-1' AS src, call_id AS dst FROM resolved r JOIN functions f USING (fn_id) JOIN sites USING (call_id) WHERE implicit_self AND is_member"))
+def edge_self(spark, sf):
+    """Methods of one type return their object's state."""
+    sites = call_sites(spark, sf).select("call_id", F.when(F.col("is_member"), F.concat("call_id", F.lit("@-1"))).alias("recv_node"), F.col("call_id").alias("ret_node"))
+    getters = functions(spark, sf).filter("implicit_self").select(F.lit("r").alias("rule_id"), "fn_id")
+    return cut.self_edges(resolved(spark, sf).join(sites, "call_id"), getters)
+
+
+def _ops(spark, sf) -> DataFrame:
+    """Line items as edges with an operator: kind by return flag, operator by line number."""
+    l = table(spark, sf, "lineitem")
+    n = F.col("l_linenumber")
+    op = F.when(n == 1, "==").when(n == 2, "length").when(n == 3, "!").when(n == 4, "Int").when(n == 5, "+").when(n == 6, "size").otherwise("concat")
+    kind = F.when(n.isin(1, 5), "binary").when(n.isin(2, 6), "prop").when(n == 3, "unary").when(n == 4, "cast").otherwise("use")
+    return l.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge"), kind.alias("kind"), op.alias("op"),
+                    (F.col("l_tax") > 0.05).alias("numeric"))
+
+
+@query("cut_value_destroying", "SELECT kind, op, count(*) AS n FROM (SELECT CASE WHEN l_linenumber = 5 THEN 'binary' ELSE 'use' END AS kind, CASE WHEN l_linenumber = 5 THEN '+' ELSE 'concat' END AS op FROM lineitem WHERE l_linenumber = 7 OR (l_linenumber = 5 AND NOT l_tax > 0.05)) GROUP BY ALL")
+def cut_value_destroying(spark, sf):
+    return cut.cut_value_destroying(_ops(spark, sf)).groupBy("kind", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- guards: orders are checks ---------------------------------------------------------------
+
+def _guards(spark, sf) -> DataFrame:
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    form = (F.when(F.col("o_orderpriority") == "1-URGENT", "positive").when(F.col("o_orderpriority") == "2-HIGH", "reject")
+            .when(F.col("o_orderpriority") == "3-MEDIUM", "allow_list").when(F.col("o_orderpriority") == "5-LOW", "default").otherwise("null_check"))
+    token = F.when(F.col("o_orderpriority") == "1-URGENT", F.when(F.col("c_mktsegment") == "MACHINERY", "s.Replace").otherwise("x.trim")).otherwise(F.col("c_mktsegment"))
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("guard_id"), form.alias("form"), token.alias("token"),
+        (F.col("o_orderstatus") == "P").alias("negated"), (F.col("o_orderstatus") == "F").alias("exits"))
+
+
+GUARDS = """guards AS (SELECT 'g' || o_orderkey AS guard_id, o_orderpriority AS pr, c_mktsegment AS seg, o_orderstatus AS st FROM orders JOIN customer ON c_custkey = o_custkey),
+kills AS (SELECT 'r.cmd' AS rule_id, guard_id FROM guards WHERE pr = '1-URGENT' AND st <> 'P'
+  UNION ALL SELECT 'r.cmd', guard_id FROM guards WHERE pr = '2-HIGH' AND st = 'F' AND seg = 'HOUSEHOLD'
+  UNION ALL SELECT 'r.web', guard_id FROM guards WHERE pr = '2-HIGH' AND st = 'F' AND seg IN ('BUILDING', 'AUTOMOBILE')
+  UNION ALL SELECT '*', guard_id FROM guards WHERE (pr = '3-MEDIUM' AND st = 'F') OR pr = '5-LOW')"""
+
+
+def _kills(spark, sf) -> DataFrame:
+    t = rule_tables(spark)
+    return cut.guard_kills(_guards(spark, sf), t["sanitizers"], t["validators"])
+
+
+@query("guard_positive", with_sql(GUARDS, select="SELECT rule_id, guard_id FROM kills JOIN guards USING (guard_id) WHERE pr = '1-URGENT'"))
+def guard_positive(spark, sf):
+    t = rule_tables(spark)
+    return cut.guard_kills(_guards(spark, sf).filter(F.col("form") == "positive"), t["sanitizers"], t["validators"])
+
+
+@query("guard_reject_exit", with_sql(GUARDS, select="SELECT rule_id, guard_id FROM kills JOIN guards USING (guard_id) WHERE pr IN ('2-HIGH', '3-MEDIUM')"))
+def guard_reject_exit(spark, sf):
+    t = rule_tables(spark)
+    return cut.guard_kills(_guards(spark, sf).filter(F.col("form").isin("reject", "allow_list")), t["sanitizers"], t["validators"])
+
+
+_EDGES_OF_GUARDS = "lineitem_edges AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS edge, 'g' || l_orderkey AS guard_id FROM lineitem)"
+
+
+def _guarded(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge"),
+                                               F.concat(F.lit("g"), F.col("l_orderkey").cast("string")).alias("guard_id"))
+
+
+@query("guard_default", with_sql(GUARDS, _EDGES_OF_GUARDS, select="SELECT edge FROM lineitem_edges WHERE guard_id NOT IN (SELECT guard_id FROM kills WHERE rule_id = '*')"))
+def guard_default(spark, sf):
+    """Edges left after the cuts every rule shares (defaulted values, structural rejects)."""
+    return cut.drop_guarded(_guarded(spark, sf), _kills(spark, sf)).select("edge")
+
+
+@query("cut_const_ternary", with_sql("guards AS (SELECT 'g' || o_orderkey AS guard_id FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED')", _EDGES_OF_GUARDS,
+       select="SELECT edge FROM lineitem_edges WHERE guard_id NOT IN (SELECT guard_id FROM guards)"))
+def cut_const_ternary(spark, sf):
+    t = rule_tables(spark)
+    g = _guards(spark, sf).withColumn("form", F.when(F.col("form") == "null_check", "ternary").otherwise("null_check"))
+    return cut.drop_guarded(_guarded(spark, sf), cut.guard_kills(g, t["sanitizers"], t["validators"])).select("edge")
+
+
+@query("const_branch_prune", with_sql("""assigns AS (SELECT l_suppkey AS fn_id, l_partkey AS name, CASE WHEN l_returnflag <> 'A' THEN CAST(l_quantity AS INT) END AS literal FROM lineitem),
+single AS (SELECT fn_id, name, max(literal) AS value FROM assigns GROUP BY ALL HAVING count(*) = 1 AND max(literal) IS NOT NULL),
+tests AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS branch_id, l_suppkey AS fn_id, l_partkey AS name, l_linestatus, l_linenumber * 5 AS lit FROM lineitem)""",
+       select="""SELECT branch_id, CASE WHEN l_linestatus = 'F' THEN value > lit ELSE value = lit END AS runs_then FROM tests JOIN single USING (fn_id, name) WHERE fn_id <> 1"""))
+def const_branch_prune(spark, sf):
+    """Supplier = function, part = variable: assigned once there, its literal decides the branch."""
+    l = table(spark, sf, "lineitem")
+    fn, name = F.col("l_suppkey").alias("fn_id"), F.col("l_partkey").alias("name")
+    assigns = l.select(fn, name, F.when(F.col("l_returnflag") != "A", F.col("l_quantity").cast("int").cast("string")).alias("literal"))
+    params = l.filter(F.col("l_suppkey") == 1).select(fn, name)
+    branch = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("branch_id")
+    tests = l.select(branch, fn, name, F.when(F.col("l_linestatus") == "F", ">").otherwise("==").alias("op"), (F.col("l_linenumber") * 5).cast("string").alias("literal"))
+    dead = cut.constant_branches(assigns, params, tests)
+    facts = dead.select("branch_id", F.explode(F.array(F.lit("then"), F.lit("else"))).alias("side"))
+    return cut.prune_branches(facts, dead).select("branch_id", (F.col("side") == "then").alias("runs_then"))
+
+
+# ---- closure: customer -> order -> part -> supplier -> customer ------------------------------
+
+def graph(spark, sf) -> dict[str, DataFrame]:
+    """Edges over returned bulk items; suppliers lead back to customers of the same nation and balance band."""
+    c, o, l = (table(spark, sf, t) for t in ("customer", "orders", "lineitem"))
+    p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
+    node = lambda k, col: F.concat(F.lit(k), F.col(col).cast("string"))
+    no = F.lit(False)
+    big = l.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 47))
+    e = o.select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"), no.alias("uncertain"))
+    e = e.unionByName(big.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst"), (F.col("l_tax") >= 0.06).alias("uncertain")))
+    e = e.unionByName(big.select(node("p", "l_partkey").alias("src"), node("s", "l_suppkey").alias("dst"), no.alias("uncertain")))
+    back = s.join(c, (s.s_nationkey == c.c_nationkey) & (F.floor(s.s_acctbal / 100) == F.floor(c.c_acctbal / 100)))
+    e = e.unionByName(back.select(node("s", "s_suppkey").alias("src"), node("c", "c_custkey").alias("dst"), no.alias("uncertain")))
+    seeds = c.filter(F.col("c_acctbal") < -900).select(F.col("c_mktsegment").alias("rule_id"), node("c", "c_custkey").alias("node"))
+    kill = {"MACHINERY": "Brand#2", "BUILDING": "Brand#3", "FURNITURE": "Brand#4", "HOUSEHOLD": "Brand#5", "AUTOMOBILE": "Brand#6"}
+    rules = dimension(spark, list(kill.items()), "rule_id string, p_brand string")
+    kills = p.join(rules, "p_brand").select("rule_id", node("p", "p_partkey").alias("node"))
+    return {"edges": e, "seeds": seeds, "kills": kills}
+
+
+GRAPH = """big AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 47),
+all_edges AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, false AS uncertain FROM orders
+  UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, l_tax >= 0.06 FROM big UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, false FROM big
+  UNION ALL SELECT 's' || s_suppkey, 'c' || c_custkey, false FROM supplier JOIN customer ON s_nationkey = c_nationkey AND floor(s_acctbal / 100) = floor(c_acctbal / 100)),
+edges AS (SELECT src, dst, bool_and(uncertain) AS uncertain FROM all_edges GROUP BY ALL),
+seeds AS (SELECT c_mktsegment AS rule_id, 'c' || c_custkey AS node FROM customer WHERE c_acctbal < -900),
+kills AS (SELECT rule_id, 'p' || p_partkey AS node FROM part JOIN (VALUES ('MACHINERY', 'Brand#2'), ('BUILDING', 'Brand#3'), ('FURNITURE', 'Brand#4'), ('HOUSEHOLD', 'Brand#5'), ('AUTOMOBILE', 'Brand#6')) t(rule_id, b) ON b = p_brand)"""
+REACH = """steps AS (SELECT rule_id, node, 0 AS hop FROM seeds UNION
+  SELECT s.rule_id, e.dst, s.hop + 1 FROM steps s JOIN edges e ON e.src = s.node WHERE s.hop < 40 AND NOT EXISTS (SELECT 1 FROM kills k WHERE k.rule_id = s.rule_id AND k.node = e.dst)),
+reached AS (SELECT rule_id, node, min(hop) AS hop FROM steps GROUP BY ALL)"""
+CERTAIN = """sure_steps AS (SELECT rule_id, node, 0 AS hop FROM seeds UNION
+  SELECT s.rule_id, e.dst, s.hop + 1 FROM sure_steps s JOIN edges e ON e.src = s.node WHERE NOT e.uncertain AND s.hop < 40 AND NOT EXISTS (SELECT 1 FROM kills k WHERE k.rule_id = s.rule_id AND k.node = e.dst)),
+sure AS (SELECT rule_id, node, min(hop) AS hop FROM sure_steps GROUP BY ALL)"""
+
+
+def reached(spark, sf) -> DataFrame:
+    g = graph(spark, sf)
+    return closure.reach(g["seeds"], g["edges"], g["kills"])
+
+
+@query("taint_reach", with_sql(GRAPH, REACH, select="SELECT rule_id, node, hop FROM reached"))
+def taint_reach(spark, sf):
+    return reached(spark, sf).select("rule_id", "node", "hop")
+
+
+@query("trace_build", with_sql(GRAPH, REACH, select="SELECT rule_id, node AS target, hop + 1 AS n_steps, substr(node, 1, 1) AS last_kind FROM reached WHERE node LIKE 's%'"))
+def trace_build(spark, sf):
+    r = reached(spark, sf)
+    steps = closure.trace(r, r.filter(F.startswith("node", F.lit("s"))).select("rule_id", "node"))
+    return steps.groupBy("rule_id", "target").agg(F.count(F.lit(1)).alias("n_steps"), F.max_by(F.substring("node", 1, 1), "pos").alias("last_kind")).withColumn(
+        "n_steps", F.col("n_steps").cast("int"))
+
+
+@query("emit_flow_findings", with_sql(GRAPH, REACH, CERTAIN, select="""SELECT r.rule_id, r.node AS target, 'flow into ' || lower(r.rule_id) AS message, s.hop IS NULL OR s.hop > r.hop AS uncertain
+FROM reached r LEFT JOIN sure s ON s.rule_id = r.rule_id AND s.node = r.node WHERE r.node LIKE 's%'"""))
+def emit_flow_findings(spark, sf):
+    r = reached(spark, sf)
+    targets = r.filter(F.startswith("node", F.lit("s"))).select("rule_id", F.col("node").alias("target"))
+    rules = r.select("rule_id").distinct().withColumn("message", F.concat(F.lit("flow into "), F.lower("rule_id")))
+    return closure.emit_findings(targets, r, rules).select("rule_id", "target", "message", "uncertain")
+
+
+@query("guard_derived", with_sql(GRAPH, """checked AS (SELECT 'g' || s_suppkey AS guard_id, 's' || s_suppkey AS node_id FROM supplier WHERE s_acctbal > 9000),
+up AS (SELECT guard_id, node_id, 0 AS hop FROM checked UNION SELECT u.guard_id, e.src, u.hop + 1 FROM up u JOIN edges e ON e.dst = u.node_id WHERE u.hop < 3)""",
+       select="SELECT guard_id, node_id, min(hop) AS hop FROM up GROUP BY ALL"))
+def guard_derived(spark, sf):
+    """Ancestors of checked suppliers, three derivations back."""
+    s = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 9000)
+    g = s.select(F.concat(F.lit("g"), F.col("s_suppkey").cast("string")).alias("guard_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"))
+    return cut.derived_guard_nodes(g, graph(spark, sf)["edges"].select("src", "dst"), max_hops=3)
+
+
+# ---- summaries: suppliers are functions, neighbouring lines of an order are calls -------------
+
+def program(spark, sf) -> dict[str, DataFrame]:
+    """Parameter i of a supplier's function is line number i; line i of an order calls line i + 1's supplier."""
+    l = table(spark, sf, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40))
+    s = table(spark, sf, "supplier")
+    rules = dimension(spark, [("A",), ("B",)], "rule_id string")
+    text = lambda *parts: F.concat(*[F.lit(x) if len(x) == 1 else F.col(x).cast("string") for x in parts])
+    rows = l.select(F.col("l_suppkey").cast("string").alias("fn_id"), F.col("l_linenumber").alias("param_idx"), text("p", "l_suppkey", ".", "l_linenumber").alias("node"),
+                    text("r", "l_suppkey").alias("ret"), text("k", "l_suppkey").alias("sink"), "l_linestatus", "l_tax").distinct()
+    a = l.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("i"), F.col("l_suppkey").alias("s1"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+    b = l.select(F.col("l_orderkey").alias("ok"), (F.col("l_linenumber") - 1).alias("i"), F.col("l_suppkey").alias("s2"))
+    c = a.join(b, ["ok", "i"]).withColumn("id", F.concat_ws(".", "ok", "i", "s1", "s2"))
+    arg, ret = F.concat(F.lit("a"), F.col("id")), F.concat(F.lit("v"), F.col("id"))
+    edges = (rows.filter(F.col("l_linestatus") == "F").select(F.col("node").alias("src"), F.col("ret").alias("dst"))
+             .unionByName(rows.filter(F.col("l_tax") >= 0.07).select(F.col("node").alias("src"), F.col("sink").alias("dst")))
+             .unionByName(c.select(text("p", "s1", ".", "i").alias("src"), arg.alias("dst")))
+             .unionByName(c.filter(F.col("d") > 0.05).select(ret.alias("src"), text("r", "s1").alias("dst")))
+             .unionByName(c.filter(F.col("t") < 0.02).select(text("x", "s1").alias("src"), arg.alias("dst")))
+             .unionByName(s.filter(F.col("s_acctbal") < 1000).select(text("x", "s_suppkey").alias("src"), text("r", "s_suppkey").alias("dst")))).distinct()
+    return {
+        "params": rows.select("fn_id", "param_idx", "node").distinct().join(rules),  # two fixed rules
+        "returns": s.select(F.col("s_suppkey").cast("string").alias("fn_id"), text("r", "s_suppkey").alias("node")),
+        "edges": edges,
+        "call_args": c.select(F.col("s2").cast("string").alias("callee_fn"), (F.col("i") + 1).alias("param_idx"), arg.alias("arg_node"), ret.alias("ret_node")).distinct(),
+        "sinks": s.select(text("k", "s_suppkey").alias("node")).join(rules),
+        "sources": s.filter(F.col("s_acctbal") < 1000).select(text("x", "s_suppkey").alias("node")).join(rules),
+        "kills": s.filter(F.col("s_nationkey") < 5).select(F.lit("B").alias("rule_id"), text("r", "s_suppkey").alias("node")),
+    }
+
+
+def program_summaries(spark, sf):
+    p = program(spark, sf)
+    return p, summaries.summarize(p["params"], p["returns"], p["edges"], p["call_args"], p["sinks"], p["kills"])
+
+
+@query("summaries")
+def summary_facts(spark, sf):
+    _, s = program_summaries(spark, sf)
+    return s.returns.withColumn("fact", F.lit("return")).unionByName(s.sinks.select("rule_id", "fn_id", "param_idx").distinct().withColumn("fact", F.lit("sink")))
+
+
+@query("summary_fixpoint")
+def summary_fixpoint(spark, sf):
+    _, s = program_summaries(spark, sf)
+    return s.sinks.groupBy("rule_id", "hop").agg(F.count(F.lit(1)).alias("facts"))
+
+
+@query("interproc_return")
+def interproc_return(spark, sf):
+    _, s = program_summaries(spark, sf)
+    return s.shortcuts.select("rule_id", "src", "dst").distinct()
+
+
+@query("interproc_sink")
+def interproc_sink(spark, sf):
+    p, s = program_summaries(spark, sf)
+    _, found = summaries.interprocedural(p["sources"], p["returns"], p["edges"], p["call_args"], p["sinks"], s, p["kills"])
+    return found
+
+
+# ---- rule overlays ---------------------------------------------------------------------------
+
+@query("rule_overlay", """WITH shipped AS (SELECT p_name AS id, min(p_type) AS severity, min(p_brand) AS message, [min(p_type), min(p_brand)] AS sinks FROM part GROUP BY p_name),
+users AS (SELECT p_name || CASE WHEN p_size > 49 THEN ' own' ELSE '' END AS id, min(p_type) FILTER (WHERE p_size > 30) AS severity, max(p_brand) AS b, min(p_size) = 1 AS rep FROM part WHERE p_type <> 'PROMO' GROUP BY 1)
+SELECT id, CASE WHEN rep THEN u.severity ELSE coalesce(u.severity, s.severity) END AS severity, CASE WHEN rep THEN NULL ELSE s.message END AS message,
+  array_to_string(CASE WHEN u.id IS NULL THEN s.sinks WHEN rep OR s.id IS NULL THEN [b] WHEN list_contains(s.sinks, b) THEN s.sinks ELSE list_append(s.sinks, b) END, ',') AS sinks
+FROM shipped s FULL JOIN users u USING (id)""")
+def rule_overlay(spark, sf):
+    p = table(spark, sf, "part")
+    shipped = p.groupBy(F.col("p_name").alias("id")).agg(F.min("p_type").alias("severity"), F.min("p_brand").alias("message"),
+                                                         F.array(F.min("p_type"), F.min("p_brand")).alias("sinks"))
+    own = F.concat("p_name", F.when(F.col("p_size") > 49, " own").otherwise(""))
+    user = (p.filter(F.col("p_type") != "PROMO").groupBy(own.alias("id")).agg(
+        F.min(F.when(F.col("p_size") > 30, F.col("p_type"))).alias("severity"), F.array(F.max("p_brand")).alias("sinks"), (F.min("p_size") == 1).alias("replace"))
+        .withColumn("message", F.lit(None).cast("string")))
+    return rule_files.overlay(shipped, user, ["severity", "message"], ["sinks"]).withColumn("sinks", F.array_join("sinks", ","))
+
+
+@query("store_sources", with_sql(CALLS, select="""SELECT rule_id, lang, count(*) AS n FROM (SELECT 'r.cmd' AS rule_id, lang FROM calls WHERE lang = 'java' AND callee LIKE '%.exec'
+UNION ALL SELECT 'r.web', lang FROM calls WHERE lang = 'php' AND callee LIKE '%.exec') GROUP BY ALL"""))
+def store_sources(spark, sf):
+    """Stored-data reads of one name per language become sources of the rules of that language."""
+    t = rule_tables(spark)
+    store = rule_files.store_source_table(spark)
+    # one name per language stands in for the whole list: the exec calls of two languages
+    store = store.filter(F.col("lang").isin("java", "php")).groupBy("lang").agg(F.lit("name").alias("kind")).select(
+        "lang", "kind", F.lit(None).cast("string").alias("object"), F.array().cast("array<string>").alias("property"), F.lit("exec").alias("name"), F.lit(0).alias("arg"))
+    every = rule_files.with_store_sources(t["sources"].limit(0), t["rules"], store)
+    n = calls(spark, sf).select("lang", F.col("call_id").alias("node_id"), match.last_segment(F.col("callee")).alias("path"))
+    hit = match.sources_by_name(n, every).join(n.select("node_id", "lang"), "node_id")
+    return hit.groupBy("rule_id", "lang").agg(F.count(F.lit(1)).alias("n"))

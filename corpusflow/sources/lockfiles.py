@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.identity import file_name
+from ..functions.identity import file_name, strip
 from .corpus import LINE_END
 
 #: Folders that hold other people's lockfiles, size cap of an XML file.
@@ -50,7 +50,7 @@ def _by_line(files: DataFrame, name: str) -> DataFrame:
 
 def requirements(files: DataFrame) -> DataFrame:
     rows = _by_line(files, "requirements.txt")
-    line = F.trim(F.substring_index("line", "#", 1))
+    line = strip(F.substring_index("line", "#", 1))
     rows = rows.withColumn("l", line).filter(~F.startswith("l", F.lit("-")) & F.col("l").rlike(PINNED))
     return _component(rows, "PyPI", F.regexp_extract("l", PINNED, 1), F.regexp_extract("l", PINNED, 2), F.col("pos") + 1)
 
@@ -98,7 +98,7 @@ def pom(files: DataFrame) -> DataFrame:
     body = F.regexp_replace("b", r"(?s)<exclusions>.*?</exclusions>", "")
 
     def tag(name: str) -> Column:
-        return F.trim(F.regexp_extract(body, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1))
+        return strip(F.regexp_extract(body, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1))
 
     rows = rows.select("project", "file", "text", tag("groupId").alias("g"), tag("artifactId").alias("a"),
                        tag("version").alias("v"))
@@ -109,7 +109,7 @@ def pom(files: DataFrame) -> DataFrame:
 
 def go_mod(files: DataFrame) -> DataFrame:
     rows = _by_line(files, "go.mod")
-    line = F.trim(F.regexp_replace(F.trim(F.substring_index("line", "//", 1)), r"^require ", ""))
+    line = strip(F.regexp_replace(strip(F.substring_index("line", "//", 1)), r"^require ", ""))
     rows = rows.withColumn("l", line).filter(F.col("l").rlike(GO_REQUIRE))
     return _component(rows, "Go", F.regexp_extract("l", GO_REQUIRE, 1), F.regexp_extract("l", GO_REQUIRE, 2), F.col("pos") + 1)
 
@@ -119,7 +119,7 @@ def gemfile_lock(files: DataFrame) -> DataFrame:
     state = "struct<inside:boolean,out:array<struct<line:int,text:string>>>"
 
     def step(acc: Column, item: Column) -> Column:
-        bare = F.trim(item["text"])
+        bare = strip(item["text"])
         opens, closes = bare == "specs:", bare.isin("GEM", "GIT", "PATH")
         inside = F.when(opens, True).when(closes, False).otherwise(acc["inside"])
         hit = inside & ~opens & item["text"].rlike(GEM_ENTRY)
