@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.identity import fingerprint, severity_rank
-from ..plans import durable, lag_in_key
+from ..plans import lag_in_key
 
 #: Review states and the ones that close a finding.
 AUDIT_STATES = ("", "confirmed", "false_positive", "fixed", "deferred")
@@ -17,24 +17,20 @@ NOTE_CHARS = 4000
 HISTORY_ROWS = 50
 
 
-def resolve_aliases(aliases: DataFrame, max_rounds: int = 32) -> DataFrame:
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """Rename chains a->b->c as ``(old_id, canonical)``; a cycle stops where it would repeat.
 
-    ``aliases(old_id, new_id)`` holds one row per rename ever made.
+    ``aliases(old_id, new_id)`` holds one row per rename ever made.  The walk carries the
+    names it passed, so the recursion ends on cycles too.
     """
-    edges = aliases.select(F.col("old_id").alias("_from"), F.col("new_id").alias("_to"))
-    state = aliases.select("old_id", F.array("old_id").alias("_seen"), F.col("new_id").alias("canonical"))
-    for _ in range(max_rounds):
-        step = state.join(edges, F.col("canonical") == F.col("_from"), "left")
-        move = F.col("_to").isNotNull() & ~F.array_contains("_seen", F.col("canonical"))
-        step = durable(step.select("old_id", F.when(move, F.array_append("_seen", F.col("canonical"))).otherwise(
-            F.col("_seen")).alias("_seen"), F.when(move, F.col("_to")).otherwise(F.col("canonical")).alias("canonical"),
-            move.alias("_moved")))
-        moved = not step.filter("_moved").isEmpty()
-        state = step.drop("_moved")
-        if not moved:
-            break
-    return state.select("old_id", "canonical")
+    return aliases.sparkSession.sql("""
+        WITH RECURSIVE walk(old_id, seen, name, n) AS (
+          SELECT old_id, array(old_id), new_id, 1 FROM {aliases}
+          UNION ALL
+          SELECT w.old_id, array_append(w.seen, w.name), a.new_id, w.n + 1
+          FROM walk w JOIN {aliases} a ON a.old_id = w.name
+          WHERE NOT array_contains(w.seen, w.name))
+        SELECT old_id, max_by(name, n) AS canonical FROM walk GROUP BY old_id""", aliases=aliases)
 
 
 def with_stored_fp(findings: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import dependency, flow, lifecycle, review, rollup, text  # noqa: F401
+    from . import dependency, flow, lifecycle, review, rollup, stream, text  # noqa: F401

@@ -81,7 +81,7 @@ _KINDS = {"r.cmd": (_CMD, 5, 5, 2), "r.web": (_WEB, 5, 4, 2)}
 
 
 @query("src_rules", with_sql(CALLS, "n AS (SELECT lang, count(*) AS calls FROM calls GROUP BY lang)", select="\nUNION ALL ".join(
-    f"SELECT '{rid}' AS rule_id, '{kind}' AS kind, lang, {count} AS n, calls FROM n WHERE lang IN {langs}"
+    f"SELECT '{rid}' AS rule_id, '{kind}' AS kind, lang, CAST({count} AS BIGINT) AS n, calls FROM n WHERE lang IN {langs}"
     for rid, (langs, *counts) in _KINDS.items() for kind, count in zip(("sources", "sinks", "sanitizers"), counts))))
 def src_rules(spark, sf):
     """Rules applied to the languages of the calls: how many patterns of each kind meet how many calls."""
@@ -256,7 +256,7 @@ ALIASES = f"""aliases AS (
 @query("function_index", with_sql(FUNCTIONS, select="SELECT file, name, count(*) AS n FROM functions GROUP BY ALL"))
 def function_index(spark, sf):
     facts = functions(spark, sf).withColumn("kind", F.lit("fn_def"))
-    noise = facts.limit(0).unionByName(facts.withColumn("kind", F.lit("expr")))
+    noise = facts.withColumn("kind", F.lit("expr"))
     return resolve.function_index(facts.unionByName(noise)).groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -662,7 +662,7 @@ def store_sources(spark, sf):
     # one name per language stands in for the whole list: the exec calls of two languages
     store = store.filter(F.col("lang").isin("java", "php")).groupBy("lang").agg(F.lit("name").alias("kind")).select(
         "lang", "kind", F.lit(None).cast("string").alias("object"), F.array().cast("array<string>").alias("property"), F.lit("exec").alias("name"), F.lit(0).alias("arg"))
-    every = rule_files.with_store_sources(t["sources"].limit(0), t["rules"], store)
+    every = rule_files.with_store_sources(t["sources"].filter(F.lit(False)), t["rules"], store)
     n = calls(spark, sf).select("lang", F.col("call_id").alias("node_id"), match.last_segment(F.col("callee")).alias("path"))
     hit = match.sources_by_name(n, every).join(n.select("node_id", "lang"), "node_id")
     return hit.groupBy("rule_id", "lang").agg(F.count(F.lit(1)).alias("n"))

@@ -41,11 +41,11 @@ def latest_state(events: DataFrame) -> DataFrame:
                                                 F.max(F.struct("at", "id")).alias("stamp"))
 
 
-def audit_upsert(spark, state_path: str):
+def audit_upsert(state_path: str):
     """``foreachBatch`` writer: merges one micro-batch into the state table under ``state_path``.
 
-    The table is versioned by folder: each batch writes a whole new version and then names it in
-    ``_current``.  A batch replayed after a failure rewrites the same version, so the fold stays exact.
+    The table is versioned by folder: batch n reads version n - 1 and writes version n.  A batch
+    replayed after a failure rewrites its own version from the same input, so the fold stays exact.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -56,6 +56,8 @@ def audit_upsert(spark, state_path: str):
             new = session.read.parquet(previous).unionByName(new)
         (new.groupBy("scan_id", "idx").agg(F.max("e").alias("e"))
          .write.mode("overwrite").parquet(f"{state_path}/v{batch_id}"))
+        write.last = batch_id
+    write.last = None
     return write
 
 
