@@ -1,8 +1,8 @@
 """Rules meet program facts.
 
-String conditions such as "ends with ``.name``" or "starts with ``name.``" are turned
-into equi-joins by exploding the few prefixes or suffixes of a path, so no rule x node
-cross product is ever formed.
+String conditions such as "ends with ``.name``" or "starts with ``name.``" become
+equi-joins on the one segment both sides must share, with the exact condition checked
+inside the join, so no rule x node cross product is ever formed and no row is exploded.
 """
 from __future__ import annotations
 
@@ -23,15 +23,23 @@ def source_path(path: Column) -> Column:
 
 def prefixes(path: Column) -> Column:
     """``a.b.c`` -> a, a.b, a.b.c"""
-    parts = F.split(path, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    n = F.length(path) - F.length(F.replace(path, F.lit("."), F.lit(""))) + 1
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("substring_index", path, F.lit("."), i))
 
 
-def suffixes(path: Column) -> Column:
-    """``std::a.b`` -> std::a.b, a.b, b; a boundary is ``.`` or ``::``."""
-    parts = F.split(F.regexp_replace(path, r"(::|\.)", "\u0001$1\u0001"), "\u0001")
-    starts = F.sequence(F.lit(1), F.size(parts), F.lit(2))
-    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
+def tail(path: Column) -> Column:
+    """Last segment, where both ``.`` and ``::`` separate."""
+    return last_segment(F.substring_index(path, "::", -1))
+
+
+def ends_with(path: Column, candidate: Column) -> Column:
+    """Equal, or ending at a segment boundary."""
+    return ((path == candidate) | F.endswith(path, F.concat(F.lit("."), candidate))
+            | F.endswith(path, F.concat(F.lit("::"), candidate)))
+
+
+def starts_with(path: Column, name: Column) -> Column:
+    return (path == name) | F.startswith(path, F.concat(name, F.lit(".")))
 
 
 def last_segment(path: Column) -> Column:
@@ -51,10 +59,11 @@ def sources_by_member(nodes: DataFrame, rule_sources: DataFrame) -> DataFrame:
 
 def sources_by_name(nodes: DataFrame, rule_sources: DataFrame) -> DataFrame:
     """Path equals the name or continues it with a dot."""
-    n = nodes.filter(F.col("path").isNotNull()).select(
-        "lang", "node_id", F.explode(prefixes(source_path(F.col("path")))).alias("name"))
-    r = rule_sources.filter(F.col("kind") == "name").select("rule_id", "lang", "name")
-    return n.join(r, ["lang", "name"]).select("rule_id", "node_id").distinct()
+    n = nodes.filter(F.col("path").isNotNull()).select("lang", "node_id", source_path(F.col("path")).alias("_path"))
+    n = n.withColumn("_head", F.substring_index("_path", ".", 1))
+    r = rule_sources.filter(F.col("kind") == "name").select(
+        "rule_id", "lang", "name", F.substring_index("name", ".", 1).alias("_head"))
+    return n.join(r, ["lang", "_head"]).filter(starts_with(F.col("_path"), F.col("name"))).select("rule_id", "node_id").distinct()
 
 
 def sources_by_annotation(nodes: DataFrame, rule_sources: DataFrame) -> DataFrame:
@@ -94,10 +103,10 @@ def outcopy_edges(calls: DataFrame, args: DataFrame, rule_sources: DataFrame) ->
 
 def callee_matches(calls: DataFrame, patterns: DataFrame, *extra: str) -> DataFrame:
     """Calls whose callee equals a candidate or ends with it at a boundary."""
-    c = calls.filter(F.col("callee").isNotNull()).select(
-        "lang", "call_id", F.explode(suffixes(F.col("callee"))).alias("candidate"))
-    r = patterns.select("rule_id", "lang", F.col("callee").alias("candidate"), *extra)
-    return c.join(r, ["lang", "candidate"])
+    c = calls.filter(F.col("callee").isNotNull()).select("lang", "call_id", F.col("callee").alias("_path"), tail(F.col("callee")).alias("_tail"))
+    r = patterns.filter(F.col("callee").isNotNull()).select(
+        "rule_id", "lang", F.col("callee").alias("_want"), tail(F.col("callee")).alias("_tail"), *extra)
+    return c.join(r, ["lang", "_tail"]).filter(ends_with(F.col("_path"), F.col("_want"))).drop("_path", "_want", "_tail")
 
 
 def sinks_by_call(calls: DataFrame, args: DataFrame, rule_sinks: DataFrame) -> DataFrame:
@@ -121,10 +130,10 @@ def first_tainted_arg(sinks: DataFrame, reached: DataFrame) -> DataFrame:
 
 def sinks_by_return(returns: DataFrame, rule_sinks: DataFrame) -> DataFrame:
     """Return values of functions a decorator registers as request handlers."""
-    d = returns.select("lang", "node_id", F.explode("decorators").alias("callee"))
-    d = d.select("lang", "node_id", F.explode(suffixes(F.col("callee"))).alias("decorator"))
-    r = rule_sinks.filter(F.col("kind") == "return").select("rule_id", "lang", "decorator")
-    return d.join(r, ["lang", "decorator"]).select("rule_id", "node_id").distinct()
+    d = returns.select("lang", "node_id", F.explode("decorators").alias("_path")).withColumn("_tail", tail(F.col("_path")))
+    r = rule_sinks.filter((F.col("kind") == "return") & F.col("decorator").isNotNull()).select(
+        "rule_id", "lang", "decorator", tail(F.col("decorator")).alias("_tail"))
+    return d.join(r, ["lang", "_tail"]).filter(ends_with(F.col("_path"), F.col("decorator"))).select("rule_id", "node_id").distinct()
 
 
 def sinks_by_assign(writes: DataFrame, rule_sinks: DataFrame) -> DataFrame:
@@ -177,18 +186,17 @@ def uncertain_edges(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def active_rules(rule_sinks: DataFrame, calls: DataFrame) -> DataFrame:
     """Rules whose language occurs and one of whose sink names is called somewhere."""
-    present = calls.filter(F.col("callee").isNotNull()).select("lang", last_segment(
-        F.substring_index("callee", "::", -1)).alias("literal")).distinct()
+    present = calls.filter(F.col("callee").isNotNull()).select("lang", tail(F.col("callee")).alias("literal")).distinct()
     want = rule_sinks.filter(F.col("callee").isNotNull()).select(
-        "rule_id", "lang", last_segment(F.substring_index("callee", "::", -1)).alias("literal"))
+        "rule_id", "lang", tail(F.col("callee")).alias("literal"))
     return want.join(present, ["lang", "literal"], "left_semi").select("rule_id", "lang").distinct()
 
 
 def interesting_files(calls: DataFrame, rule_sinks: DataFrame, sink_functions: DataFrame) -> DataFrame:
     """Per rule the files that call a sink name or a function that leads to a sink (``rule_id, name``)."""
     names = (rule_sinks.filter(F.col("callee").isNotNull())
-             .select("rule_id", last_segment(F.substring_index("callee", "::", -1)).alias("name"))
+             .select("rule_id", tail(F.col("callee")).alias("name"))
              .unionByName(sink_functions.select("rule_id", "name")).distinct())
     used = calls.filter(F.col("callee").isNotNull()).select(
-        "file", last_segment(F.substring_index("callee", "::", -1)).alias("name")).distinct()
+        "file", tail(F.col("callee")).alias("name")).distinct()
     return used.join(names, "name").select("rule_id", "file").distinct()

@@ -14,6 +14,10 @@ METHODS = {1: "exec", 2: "length", 3: "trim", 4: "put", 5: "get", 6: "map", 7: "
 LANGS = sorted(set(TYPE_LANG.values()))
 
 
+def _line_key():
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+
+
 def calls(spark, sf) -> DataFrame:
     """One call per line item; its callee is spelled from the part name and the line number."""
     l, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
@@ -21,7 +25,7 @@ def calls(spark, sf) -> DataFrame:
     lead = F.when(F.col("l_returnflag") == "R", "app::").when(F.col("l_returnflag") == "A", "self.").otherwise("")
     path = F.replace("p_name", F.lit(" "), F.lit("."))
     return j.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"),
+        _line_key().alias("call_id"),
         _map(TYPE_LANG, F.col("p_type")).alias("lang"), F.concat(lead, path).alias("path"),
         F.concat(lead, path, F.lit("."), _map(METHODS, F.col("l_linenumber"))).alias("callee"),
         F.concat_ws(", ", "p_name", "p_brand").alias("args_text"), (F.col("l_linestatus") == "F").alias("is_statement"),
@@ -30,7 +34,7 @@ def calls(spark, sf) -> DataFrame:
 
 
 CALLS = f"""calls AS (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call_id, {_case(TYPE_LANG, 'p_type')} AS lang,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS call_id, {_case(TYPE_LANG, 'p_type')} AS lang,
          CASE l_returnflag WHEN 'R' THEN 'app::' WHEN 'A' THEN 'self.' ELSE '' END || replace(p_name, ' ', '.') AS path,
          CASE l_returnflag WHEN 'R' THEN 'app::' WHEN 'A' THEN 'self.' ELSE '' END || replace(p_name, ' ', '.') || '.' ||
          CASE l_linenumber WHEN 1 THEN 'exec' WHEN 2 THEN 'length' WHEN 3 THEN 'trim' WHEN 4 THEN 'put' WHEN 5 THEN 'get' WHEN 6 THEN 'map' ELSE 'Replace' END AS callee,
@@ -272,7 +276,7 @@ def call_sites(spark, sf) -> DataFrame:
     way = F.col("l_linenumber")
     module = F.regexp_extract("file", r"([a-z]+)\.py$", 1)
     return j.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"), "project",
+        _line_key().alias("call_id"), "project",
         F.when(F.col("l_returnflag") == "R", F.col("file")).otherwise(F.lit("lib/brand7/promo.py")).alias("file"),
         F.when(way <= 2, F.col("name")).when(way == 3, F.concat_ws(".", module, "name")).when(way <= 5, F.concat(F.lit("obj."), F.col("name")))
          .otherwise(F.concat(F.lit("New."), F.col("name"))).alias("callee"),
@@ -280,7 +284,7 @@ def call_sites(spark, sf) -> DataFrame:
         (F.col("l_quantity") / 20).cast("int").alias("nargs"), (way > 3).alias("is_member"))
 
 
-SITES = """sites AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call_id, CASE WHEN l_returnflag = 'R' THEN file ELSE 'lib/brand7/promo.py' END AS file,
+SITES = """sites AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS call_id, CASE WHEN l_returnflag = 'R' THEN file ELSE 'lib/brand7/promo.py' END AS file,
   CASE WHEN l_linenumber <= 2 THEN name WHEN l_linenumber = 3 THEN module || '.' || name WHEN l_linenumber <= 5 THEN 'obj.' || name ELSE 'New.' || name END AS callee, name AS prop,
   CASE WHEN l_linenumber <= 2 THEN 'none' WHEN l_linenumber <= 5 THEN 'ident' ELSE 'call' END AS recv_kind, CAST(trunc(l_quantity / 20) AS INT) AS nargs, l_linenumber > 3 AS is_member
   FROM lineitem JOIN functions ON fn_id = CAST(l_partkey AS VARCHAR))"""
@@ -417,7 +421,7 @@ def _ops(spark, sf) -> DataFrame:
     n = F.col("l_linenumber")
     op = F.when(n == 1, "==").when(n == 2, "length").when(n == 3, "!").when(n == 4, "Int").when(n == 5, "+").when(n == 6, "size").otherwise("concat")
     kind = F.when(n.isin(1, 5), "binary").when(n.isin(2, 6), "prop").when(n == 3, "unary").when(n == 4, "cast").otherwise("use")
-    return l.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge"), kind.alias("kind"), op.alias("op"),
+    return l.select(_line_key().alias("edge"), kind.alias("kind"), op.alias("op"),
                     (F.col("l_tax") > 0.05).alias("numeric"))
 
 
@@ -462,11 +466,11 @@ def guard_reject_exit(spark, sf):
     return cut.guard_kills(_guards(spark, sf).filter(F.col("form").isin("reject", "allow_list")), t["sanitizers"], t["validators"])
 
 
-_EDGES_OF_GUARDS = "lineitem_edges AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS edge, 'g' || l_orderkey AS guard_id FROM lineitem)"
+_EDGES_OF_GUARDS = "lineitem_edges AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS edge, 'g' || l_orderkey AS guard_id FROM lineitem)"
 
 
 def _guarded(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge"),
+    return table(spark, sf, "lineitem").select(_line_key().alias("edge"),
                                                F.concat(F.lit("g"), F.col("l_orderkey").cast("string")).alias("guard_id"))
 
 
@@ -486,7 +490,7 @@ def cut_const_ternary(spark, sf):
 
 @query("const_branch_prune", with_sql("""assigns AS (SELECT l_suppkey AS fn_id, l_partkey AS name, CASE WHEN l_returnflag <> 'A' THEN CAST(l_quantity AS INT) END AS literal FROM lineitem),
 single AS (SELECT fn_id, name, max(literal) AS value FROM assigns GROUP BY ALL HAVING count(*) = 1 AND max(literal) IS NOT NULL),
-tests AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS branch_id, l_suppkey AS fn_id, l_partkey AS name, l_linestatus, l_linenumber * 5 AS lit FROM lineitem)""",
+tests AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INT) AS branch_id, l_suppkey AS fn_id, l_partkey AS name, l_linestatus, l_linenumber * 5 AS lit FROM lineitem)""",
        select="""SELECT branch_id, CASE WHEN l_linestatus = 'F' THEN value > lit ELSE value = lit END AS runs_then FROM tests JOIN single USING (fn_id, name) WHERE fn_id <> 1"""))
 def const_branch_prune(spark, sf):
     """Supplier = function, part = variable: assigned once there, its literal decides the branch."""
@@ -494,7 +498,7 @@ def const_branch_prune(spark, sf):
     fn, name = F.col("l_suppkey").alias("fn_id"), F.col("l_partkey").alias("name")
     assigns = l.select(fn, name, F.when(F.col("l_returnflag") != "A", F.col("l_quantity").cast("int").cast("string")).alias("literal"))
     params = l.filter(F.col("l_suppkey") == 1).select(fn, name)
-    branch = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("branch_id")
+    branch = _line_key().alias("branch_id")
     tests = l.select(branch, fn, name, F.when(F.col("l_linestatus") == "F", ">").otherwise("==").alias("op"), (F.col("l_linenumber") * 5).cast("string").alias("literal"))
     dead = cut.constant_branches(assigns, params, tests)
     facts = dead.select("branch_id", F.explode(F.array(F.lit("then"), F.lit("else"))).alias("side"))

@@ -25,7 +25,9 @@ EVENT_STATE = {"signup": "", "purchase": "confirmed", "error": "false_positive",
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # the fact tables of a small run come as one row group: use all cores on them
+    return spread(df) if name in ("lineitem", "orders") else df
 
 
 def _map(values: dict, key: Column) -> Column:
@@ -64,7 +66,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
                 .when(d >= 0.02, "low").otherwise("info"))
     rows = j.select(
         F.col("l_orderkey").alias("scan_id"),
-        ((F.col("l_partkey") * 1000000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("idx"),
+        line_idx().alias("idx"),
         rule.alias("rule_id"), F.concat(F.lit("Issue in "), F.col("p_name")).alias("message"), severity.alias("severity"),
         _map(BRAND_CWE, F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")).alias("cwe"),
         F.lit("").alias("owasp"), file.alias("file"), F.col("l_linenumber").alias("line"),
@@ -81,9 +83,16 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
                 step("sink", F.col("file"), F.col("line"), F.col("code"), F.lit(False)))))
 
 
+def line_idx() -> Column:
+    """Number of a line item inside its order."""
+    base = (F.col("l_partkey") * 1000000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
+    return base * 100 + F.col("l_quantity").cast("long")
+
+
+LINE_IDX = "(((l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT))"
 _BRAND = "CASE CAST(substr(p_brand, 7) AS INT) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in BRAND_CWE.items()) + " END"
 FINDINGS = f"""raw_findings AS (
-  SELECT l_orderkey AS scan_id, (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber AS idx,
+  SELECT l_orderkey AS scan_id, {LINE_IDX} AS idx,
          {_case(TYPE_RULE, 'p_type')} || '.' || split_part(p_name, ' ', 1) AS rule_id,
          'Issue in ' || p_name AS message,
          CASE WHEN l_discount >= 0.09 THEN 'critical' WHEN l_discount >= 0.07 THEN 'high'
@@ -108,15 +117,14 @@ def audit_events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     l = table(spark, sf, "lineitem")
     j = e.join(l, (e.user_id == l.l_orderkey) & (e.k == l.l_linenumber), "left")
-    idx = (F.col("l_partkey") * 1000000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
-    return j.select(F.col("user_id").alias("scan_id"), F.coalesce(idx, -F.col("k").cast("long") - 1).alias("idx"),
+    return j.select(F.col("user_id").alias("scan_id"), F.coalesce(line_idx(), -F.col("k").cast("long") - 1).alias("idx"),
                     _map(EVENT_STATE, F.col("event_type")).alias("after"), F.col("ts").alias("at"),
                     F.col("event_id").alias("id"), "event_type", "props")
 
 
 AUDIT = f"""audit_events AS (
   SELECT user_id AS scan_id,
-         coalesce((l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber, -k - 1) AS idx,
+         coalesce({LINE_IDX}, -k - 1) AS idx,
          {_case(EVENT_STATE, 'event_type')} AS after, ts AS "at", event_id AS id, event_type, props
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
   LEFT JOIN lineitem ON l_orderkey = user_id AND l_linenumber = k)"""

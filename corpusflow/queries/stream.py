@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from . import query
-from .inputs import AUDIT, DOCS, FINDINGS, STATES, audit_events, table, with_sql
+from .inputs import AUDIT, DOCS, EVENT_STATE, FINDINGS, STATES, _map, audit_events, line_idx, table, with_sql
 from .text import ALL_VALUES, DOC_HITS, DOC_LINES, MASKED, SNIPPETS
 from .. import streaming
 from ..plans import checkpoint_dir
@@ -41,9 +41,7 @@ def stream_pattern_scan(spark, sf):
 def stream_audit_state(spark, sf):
     """Review events folded batch by batch into the latest state per finding."""
     arriving = _arriving(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (
-        (F.col("l_partkey") * 1000000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("_idx"))
-    from .inputs import EVENT_STATE, _map
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", line_idx().alias("_idx"))
     events = arriving.join(l, (F.col("user_id") == F.col("l_orderkey")) & (F.col("k") == F.col("l_linenumber")), "left").select(
         F.col("user_id").alias("scan_id"), F.coalesce("_idx", -F.col("k").cast("long") - 1).alias("idx"),
         _map(EVENT_STATE, F.col("event_type")).alias("after"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
