@@ -149,7 +149,7 @@ def list_findings(findings: DataFrame, severities: Sequence[str] = (), rule: str
         out = out.filter(F.contains("file", F.lit(file)))
     total = out.agg(F.count(F.lit(1)).alias("total"))
     rows = out.orderBy("scan_id", "idx").offset(offset).limit(limit)
-    return (rows.crossJoin(F.broadcast(total))  # one-row side
+    return (rows.withColumn("total", total.scalar())
             .withColumn("next_offset", F.when(F.lit(offset + limit) < F.col("total"), F.lit(offset + limit))))
 
 

@@ -168,7 +168,8 @@ def carry_over(findings: DataFrame, previous: DataFrame, states: DataFrame, note
                 .groupBy("scan_id", "stored_fp").agg(F.min_by(col, "idx").alias(col))
                 .select(F.col("scan_id").alias("prev_scan_id"), F.col("stored_fp").alias("fp"), col))
 
-    return (findings.join(first(states, "state"), ["prev_scan_id", "fp"], "left")
+    # rows without a predecessor cannot inherit; as NULL keys they would all meet in one task
+    return (findings.filter(F.col("prev_scan_id").isNotNull()).join(first(states, "state"), ["prev_scan_id", "fp"], "left")
             .join(first(notes, "note"), ["prev_scan_id", "fp"], "left")
             .filter(F.col("state").isNotNull() | F.col("note").isNotNull()))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex, values
 from ..functions.identity import file_name
+from ..plans.dims import BROADCAST_ROWS
 from ..schema import PATTERN_RULE
 from ..tables import pattern_rules as shipped_rules
 
@@ -163,11 +164,12 @@ def pattern_scan(lines: DataFrame, rules: Sequence[tuple] | None = None) -> Data
                                        F.col("snippet").alias("code"), F.lit(False).alias("uncertain"))).alias("steps"))
 
 
-def scan_rule_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Raw matches for a rule table that only exists at run time (columns ``id, pattern, grp``)."""
-    pairs = lines.join(F.broadcast(rules), F.rlike(F.col("line"), F.concat(F.lit(regex.JAVA_FLAGS), F.col("pattern"))))
-    return pairs.select("project", "file", "line_no", "id", F.explode(F.regexp_extract_all(
-        "line", F.concat(F.lit(regex.JAVA_FLAGS), F.col("pattern")), F.col("grp"))).alias("value"))
+def rules_from_table(table: DataFrame) -> list[tuple]:
+    """Rules that arrive as a table.  They are configuration: their number is checked before they are read."""
+    rows = table.select(*_FIELDS).limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} pattern rules")
+    return [tuple(r) for r in rows]
 
 
 def risky_filenames(files: DataFrame) -> DataFrame:

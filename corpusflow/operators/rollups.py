@@ -125,7 +125,7 @@ def dashboard(latest: DataFrame, n_scans: DataFrame) -> DataFrame:
     totals = latest.agg(
         F.count(F.lit(1)).alias("projects"), F.sum("total").alias("total"),
         F.sum(F.col("sev_critical") + F.col("sev_high")).alias("crit_high"), F.sum("new_count").alias("new_total"))
-    return totals.crossJoin(n_scans.agg(F.count(F.lit(1)).alias("scans")))  # two one-row tables
+    return totals.withColumn("scans", n_scans.agg(F.count(F.lit(1)).alias("scans")).scalar())
 
 
 def dashboard_rules(findings: DataFrame, latest: DataFrame, top: int = 8) -> DataFrame:
@@ -160,11 +160,10 @@ def consolidated(scans: DataFrame, states: DataFrame, kept_only: bool) -> DataFr
     per_scan = states.groupBy("scan_id").agg(F.count_if(keep).alias("total"), *severity_columns(keep))
     measures = ["files", "lines", "total", *[f"sev_{s}" for s in SEVERITIES]]
     rows = scans.join(per_scan, "scan_id", "left").fillna(0, measures)
-    out = rows.rollup("project", "scan_id", "languages").agg(
-        *[F.sum(m).cast("long").alias(m) for m in measures], F.grouping_id().alias("_g"))
-    # keep the detail rows and the grand total
-    return (out.filter(F.col("_g").isin(0, 7))
-            .withColumn("project", F.when(F.col("_g") == 7, F.lit("(total)")).otherwise(F.col("project")))
+    keys = ["project", "scan_id", "languages"]
+    out = rows.groupingSets([keys, []], *keys).agg(
+        *[F.sum(m).cast("long").alias(m) for m in measures], F.grouping("scan_id").alias("_g"))
+    return (out.withColumn("project", F.when(F.col("_g") == 1, F.lit("(total)")).otherwise(F.col("project")))
             .withColumn("languages", F.coalesce("languages", F.lit("-"))).drop("_g"))
 
 

@@ -584,7 +584,7 @@ def program(spark, sf) -> dict[str, DataFrame]:
     """Parameter i of a supplier's function is line number i; line i of an order calls line i + 1's supplier."""
     l = table(spark, sf, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40))
     s = table(spark, sf, "supplier")
-    rules = dimension(spark, [("A",), ("B",)], "rule_id string")
+    rule = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("rule_id")
     text = lambda *parts: F.concat(*[F.lit(x) if len(x) == 1 else F.col(x).cast("string") for x in parts])
     rows = l.select(F.col("l_suppkey").cast("string").alias("fn_id"), F.col("l_linenumber").alias("param_idx"), text("p", "l_suppkey", ".", "l_linenumber").alias("node"),
                     text("r", "l_suppkey").alias("ret"), text("k", "l_suppkey").alias("sink"), "l_linestatus", "l_tax").distinct()
@@ -599,12 +599,12 @@ def program(spark, sf) -> dict[str, DataFrame]:
              .unionByName(c.filter(F.col("t") < 0.02).select(text("x", "s1").alias("src"), arg.alias("dst")))
              .unionByName(s.filter(F.col("s_acctbal") < 1000).select(text("x", "s_suppkey").alias("src"), text("r", "s_suppkey").alias("dst")))).distinct()
     return {
-        "params": rows.select("fn_id", "param_idx", "node").distinct().join(rules),  # two fixed rules
+        "params": rows.select("fn_id", "param_idx", "node").distinct().select("*", rule),
         "returns": s.select(F.col("s_suppkey").cast("string").alias("fn_id"), text("r", "s_suppkey").alias("node")),
         "edges": edges,
         "call_args": c.select(F.col("s2").cast("string").alias("callee_fn"), (F.col("i") + 1).alias("param_idx"), arg.alias("arg_node"), ret.alias("ret_node")).distinct(),
-        "sinks": s.select(text("k", "s_suppkey").alias("node")).join(rules),
-        "sources": s.filter(F.col("s_acctbal") < 1000).select(text("x", "s_suppkey").alias("node")).join(rules),
+        "sinks": s.select(text("k", "s_suppkey").alias("node"), rule),
+        "sources": s.filter(F.col("s_acctbal") < 1000).select(text("x", "s_suppkey").alias("node"), rule),
         "kills": s.filter(F.col("s_nationkey") < 5).select(F.lit("B").alias("rule_id"), text("r", "s_suppkey").alias("node")),
     }
 

@@ -160,3 +160,8 @@ def test_registered_validator_and_masker_are_used(spark):
     rule = patterns.shipped_rules.record({}, dict(id="own", pattern=r"x\d+", validator="even", mask="stars", all_files=True))
     df = spark.createDataFrame([("p", "a", None, "", 1, "x1 x22 x333")], LINES)
     assert [r.matched_value for r in patterns.pattern_scan(df, [rule]).collect()] == ["**"]
+
+
+def test_rule_table_round_trip(spark):
+    from corpusflow.sources.rules import pattern_rule_table
+    assert [r[0] for r in patterns.rules_from_table(pattern_rule_table(spark))] == [r[0] for r in patterns.shipped()]
