@@ -57,27 +57,59 @@ def lowered(confidence: Column) -> Column:
     return F.when(confidence == "high", F.lit("medium")).otherwise(F.lit("low"))
 
 
-def _matches(marked: Column) -> Column:
-    """Marked line back to matches with their value and exact offsets."""
-    parts = F.split(marked, _START)
-    state = "struct<pos:int,out:array<struct<value:string,start_col:int,end_col:int>>>"
+#: Offsets are summed inside chunks and over chunks, so a line with n matches costs n * CHUNK, not n * n.
+CHUNK = 256
 
-    def step(acc: Column, part: Column) -> Column:
+
+def _with_parts(h: Column) -> Column:
+    """Pieces of the marked line after the first: value, length of the match, length of the whole piece."""
+    def piece(part: Column) -> Column:
         whole = F.substring_index(part, _MID, 1)
-        tail = F.substr(part, F.length(whole) + 2)
-        value = F.substring_index(tail, _END, 1)
-        rest = F.substr(tail, F.length(value) + 2)
-        end = acc["pos"] + F.length(whole)
-        return F.struct((end + F.length(rest)).alias("pos"), F.concat(acc["out"], F.array(F.struct(
-            value.alias("value"), acc["pos"].alias("start_col"), end.alias("end_col")))).alias("out"))
+        value = F.substring_index(F.substring_index(part, _END, 1), _MID, -1)
+        span = F.length(part) - F.length(value) - 2
+        return F.struct(value.alias("value"), F.length(whole).alias("len"), span.alias("span"))
+
+    parts = F.split(h["marked"], _START)
+    pieces = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return h.withField("pieces", pieces).withField("lead", F.length(F.substring_index(h["marked"], _START, 1)))
+
+
+def _with_starts(h: Column) -> Column:
+    """Start column of every chunk of pieces."""
+    n_chunks = F.ceil(F.size(h["pieces"]) / CHUNK).cast("int")
+    sums = F.transform(F.sequence(F.lit(1), F.greatest(n_chunks, F.lit(1))), lambda c: F.aggregate(
+        F.slice(h["pieces"], (c - 1) * CHUNK + 1, F.lit(CHUNK)), F.lit(0), lambda acc, p: acc + p["span"]))
+    return h.withField("starts", F.aggregate(sums, F.array(h["lead"]), lambda acc, x: F.array_append(
+        acc, F.element_at(acc, -1) + x)))
+
+
+def _with_matches(h: Column) -> Column:
+    """Matches in order with their value and exact offsets."""
+    kind = "struct<pos:int,out:array<struct<value:string,start_col:int,end_col:int>>>"
 
-    start = F.struct(F.length(F.element_at(parts, 1)).alias("pos"), F.array().alias("out")).cast(state)
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["out"]
+    def step(acc: Column, p: Column) -> Column:
+        return F.struct((acc["pos"] + p["span"]).alias("pos"), F.array_append(acc["out"], F.struct(
+            p["value"].alias("value"), acc["pos"].alias("start_col"), (acc["pos"] + p["len"]).alias("end_col"))).alias("out"))
 
+    chunks = F.transform(F.sequence(F.lit(1), F.size(h["starts"]) - 1), lambda c: F.aggregate(
+        F.slice(h["pieces"], (c - 1) * CHUNK + 1, F.lit(CHUNK)),
+        F.struct(F.element_at(h["starts"], c).alias("pos"), F.array().alias("out")).cast(kind), step)["out"])
+    return h.withField("matches", F.flatten(chunks)).dropFields("marked", "pieces", "lead", "starts")
 
-def _first_by(items: Column, field: str) -> Column:
-    """Keep an element unless an earlier one has the same field; order is kept."""
-    return F.filter(items, lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: y[field] == x[field]))
+
+def _each_hit(df: DataFrame, change) -> DataFrame:
+    return df.withColumn("hits", F.transform("hits", change))
+
+
+def _keep_first(df: DataFrame, field: str) -> DataFrame:
+    """Of the matches with an equal field the one furthest left stays; by sorting, never by comparing pairs."""
+    ordered = _each_hit(df, lambda h: h.withField("keyed", F.sort_array(F.transform(h["matches"], lambda m: F.struct(
+        m[field].alias("key"), m["start_col"].alias("at"), m.alias("m"))))))
+    kept = _each_hit(ordered, lambda h: h.withField("matches", F.sort_array(F.transform(
+        F.filter(h["keyed"], lambda k, i: (i == 0) | (F.get(h["keyed"], i - 1)["key"] != k["key"])),
+        lambda k: F.struct(k["at"].alias("start_col"), k["m"]["end_col"].alias("end_col"), k["m"]["value"].alias("value"),
+                           k["m"]["masked"].alias("masked"))))).dropFields("keyed"))
+    return kept
 
 
 def _hit(rule: dict) -> str:
@@ -110,8 +142,10 @@ def matched_lines(lines: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     # the one-element array keeps the hit list in one evaluation: exploding it drops lines without hits
     once = F.filter(F.array(F.struct(found.alias("found"))), lambda x: F.size(x["found"]) > 0)
     kept = base.select(*lines.columns, F.explode(once).alias("_hit"))
-    return kept.select(*lines.columns, F.transform(
-        F.col("_hit.found"), lambda h: h.withField("matches", _matches(h["marked"])).dropFields("marked")).alias("hits"))
+    out = kept.select(*lines.columns, F.col("_hit.found").alias("hits"))
+    for change in (_with_parts, _with_starts, _with_matches):
+        out = _each_hit(out, change)
+    return out
 
 
 def accepted_hits(found: DataFrame) -> DataFrame:
@@ -123,25 +157,30 @@ def accepted_hits(found: DataFrame) -> DataFrame:
 
 
 def masked_snippet(accepted: DataFrame) -> DataFrame:
-    """Adds ``snippet``: the trimmed line with every sensitive match of every masking rule hidden."""
-    secrets = F.flatten(F.transform("hits", lambda h: F.filter(
-        h["matches"], lambda m: (m["value"] != "") & (m["value"] != m["masked"]))))
-    hidden = F.aggregate(secrets, F.regexp_replace("line", r"^[\s\x0b]+|[\s\x0b]+$", ""),
-                         lambda acc, m: F.replace(acc, m["value"], m["masked"]))
-    rows = accepted.withColumn("snippet", hidden)
+    """Adds ``snippet``: the trimmed line with every sensitive match of every masking rule hidden, cut for display.
+
+    Only the part of a very long line that can reach the display is masked: a masked value keeps at
+    least one character, so the first 201 characters come from at most 201 values and 201 others.
+    """
+    secrets = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.filter(
+        h["matches"], lambda m: (m["value"] != "") & (m["value"] != m["masked"])),
+        lambda m: F.concat(m["value"], F.lit(_MID), m["masked"])))))
+    rows = accepted.withColumn("_secrets", secrets).withColumn("_text", F.regexp_replace("line", r"^[\s\x0b]+|[\s\x0b]+$", ""))
+    longest = F.coalesce(F.array_max(F.transform("_secrets", lambda x: F.length(F.substring_index(x, _MID, 1)))), F.lit(0))
+    shown = F.substring(F.col("_text"), F.lit(1), (SNIPPET_CHARS + 1) * (longest + 1) + longest)
+    hidden = F.aggregate("_secrets", shown, lambda acc, x: F.replace(
+        acc, F.substring_index(x, _MID, 1), F.substring_index(x, _MID, -1)))
+    rows = rows.withColumn("snippet", hidden)
     return rows.withColumn("snippet", F.when(
         F.length("snippet") > SNIPPET_CHARS, F.concat(F.substring("snippet", 1, SNIPPET_CHARS), F.lit("…"))
-    ).otherwise(F.col("snippet")))
+    ).otherwise(F.col("snippet"))).drop("_secrets", "_text")
 
 
 def deduplicated(accepted: DataFrame) -> DataFrame:
     """Per line and rule: distinct raw values, then distinct masked values, one for ``mask=none``."""
-    by_value = accepted.withColumn("hits", F.transform("hits", lambda h: h.withField(
-        "matches", _first_by(h["matches"], "value"))))
-    by_mask = by_value.withColumn("hits", F.transform("hits", lambda h: h.withField(
-        "matches", _first_by(h["matches"], "masked"))))
-    return by_mask.withColumn("hits", F.transform("hits", lambda h: h.withField(
-        "matches", F.when(h["mask"] == "none", F.slice(h["matches"], 1, 1)).otherwise(h["matches"]))))
+    out = _keep_first(_keep_first(accepted, "value"), "masked")
+    return _each_hit(out, lambda h: h.withField(
+        "matches", F.when(h["mask"] == "none", F.slice(h["matches"], 1, 1)).otherwise(h["matches"])))
 
 
 def pattern_scan(lines: DataFrame, rules: Sequence[tuple] | None = None) -> DataFrame:

@@ -165,3 +165,17 @@ def test_registered_validator_and_masker_are_used(spark):
 def test_rule_table_round_trip(spark):
     from corpusflow.sources.rules import pattern_rule_table
     assert [r[0] for r in patterns.rules_from_table(pattern_rule_table(spark))] == [r[0] for r in patterns.shipped()]
+
+
+def test_a_line_with_very_many_matches(spark):
+    """Tens of thousands of values on one line: exact offsets, distinct values, bounded work."""
+    n = 20_000
+    line = "x " + ", ".join(f"user{i % (n // 2)}@corp.co.kr" for i in range(n))
+    df = spark.createDataFrame([("p", "a.js", "javascript", ".js", 1, line)], LINES)
+    rule = [r for r in patterns.shipped() if r[0] == "pii.email-address"]
+    rows = patterns.pattern_scan(df, rule).select("start_col", "end_col", "snippet", "matched_value").collect()
+    # the mask keeps two letters, so all values look alike and one finding is left, the first
+    assert len(rows) == 1 and line[rows[0].start_col:rows[0].end_col] == "user0@corp.co.kr"
+    assert "user" not in rows[0].snippet and len(rows[0].snippet) == patterns.SNIPPET_CHARS + 1
+    found = patterns.matched_lines(df, rule).select(F.explode(F.col("hits")[0]["matches"]).alias("m")).select("m.*").collect()
+    assert len(found) == n and all(line[m.start_col:m.end_col] == m.value for m in found)
