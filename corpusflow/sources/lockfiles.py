@@ -1,7 +1,8 @@
 """Seven lockfile formats as one Spark job over ``files(project, file, text)``.
 
 Every format is a column expression over the file text, so a corpus with a
-million lockfiles is a million independent rows.
+million lockfiles is a million independent rows.  Line numbers of the structured
+formats come from one tokenised pass joined back to the components.
 """
 from __future__ import annotations
 
@@ -31,10 +32,18 @@ def _text_lines(text: Column) -> Column:
     return F.split(text, LINE_END)
 
 
-def _line_of(text: Column, needle: Column) -> Column:
-    """First line holding the needle, else 1."""
-    hit = F.array_position(F.transform(_text_lines(text), lambda l: F.contains(l, needle)), True)
-    return F.when(hit > 0, hit).otherwise(1).cast("int")
+#: What a needle looks like in each format.  Splitting a line into these tokens finds
+#: exactly the places where the needle occurs, since a token never holds another one.
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"'
+ARTIFACT_TOKEN = r"<artifactId>[^<]*<"
+ID_TOKEN = r'id="[^"]*"'
+
+
+def _first_lines(files: DataFrame, token: str) -> DataFrame:
+    """First line of every token of a file: one pass over the text, however many components it has."""
+    rows = files.select("project", "file", F.posexplode(_text_lines(F.col("text"))).alias("pos", "l"))
+    tokens = rows.select("project", "file", "pos", F.explode(F.regexp_extract_all("l", F.lit(token), F.lit(0))).alias("needle"))
+    return tokens.groupBy("project", "file", "needle").agg((F.min("pos") + 1).alias("line"))
 
 
 def _component(df: DataFrame, ecosystem: str, name: Column, version: Column, line: Column,
@@ -44,6 +53,14 @@ def _component(df: DataFrame, ecosystem: str, name: Column, version: Column, lin
                      (F.lit("") if license is None else F.coalesce(license, F.lit(""))).alias("license"))
 
 
+def _located(df: DataFrame, files: DataFrame, token: str, needle: Column, ecosystem: str, name: Column, version: Column,
+             license: Column | None = None) -> DataFrame:
+    """Components with the first line that holds their needle, else line 1."""
+    lines = _first_lines(files, token)
+    rows = df.withColumn("needle", needle).join(lines, ["project", "file", "needle"], "left")
+    return _component(rows, ecosystem, name, version, F.coalesce("line", F.lit(1)), license)
+
+
 def _by_line(files: DataFrame, name: str) -> DataFrame:
     return _named(files, name).select("project", "file", F.posexplode(_text_lines(F.col("text"))).alias("pos", "line"))
 
@@ -59,26 +76,28 @@ def package_lock(files: DataFrame) -> DataFrame:
     f = _named(files, "package-lock.json").select("project", "file", "text", F.from_json("text", (
         "packages map<string, struct<version:string, name:string, license:string>>, "
         "dependencies map<string, struct<version:string, dependencies:string>>")).alias("d"))
-    modern = (f.select("project", "file", "text", F.explode("d.packages").alias("key", "m"))
+    modern = (f.select("project", "file", F.explode("d.packages").alias("key", "m"))
               .filter((F.col("key") != "") & (F.coalesce("m.version", F.lit("")) != "")))
     name = F.coalesce("m.name", F.substring_index("key", "node_modules/", -1))
     # a license object is read as its JSON text; only plain names count
     plain = F.when(~F.startswith(F.coalesce("m.license", F.lit("")), F.lit("{")), F.col("m.license"))
-    out = _component(modern, "npm", name, F.col("m.version"),
-                     _line_of(F.col("text"), F.concat(F.lit('"'), F.col("key"), F.lit('"'))), plain)
+    own = _named(files, "package-lock.json")
+    quoted = F.concat(F.lit('"'), F.col("key"), F.lit('"'))
+    out = _located(modern, own, JSON_TOKEN, quoted, "npm", name, F.col("m.version"), plain)
     # version 1 files nest; used only when the flat map yields nothing
     usable = F.size(F.filter(F.map_entries(F.coalesce("d.packages", F.create_map().cast(
         "map<string,struct<version:string,name:string,license:string>>"))),
         lambda e: (e["key"] != "") & (F.coalesce(e["value"]["version"], F.lit("")) != "")))
     level = f.filter(usable == 0).select("project", "file", "text", F.col("d.dependencies").alias("deps"))
     nested = "map<string, struct<version:string, dependencies:string>>"
+    found = None
     for _ in range(NESTING):
         rows = level.select("project", "file", "text", F.explode("deps").alias("key", "m")).filter(
             F.coalesce("m.version", F.lit("")) != "")
-        out = out.unionByName(_component(rows, "npm", F.col("key"), F.col("m.version"),
-                                         _line_of(F.col("text"), F.concat(F.lit('"'), F.col("key"), F.lit('"')))))
+        nested_rows = rows.select("project", "file", "key", "m.version")
+        found = nested_rows if found is None else found.unionByName(nested_rows)
         level = rows.select("project", "file", "text", F.from_json("m.dependencies", nested).alias("deps"))
-    return out
+    return out.unionByName(_located(found, own, JSON_TOKEN, quoted, "npm", F.col("key"), F.col("version")))
 
 
 #: Depth to which nested version-1 lockfiles are followed; npm itself stays well below.
@@ -103,8 +122,8 @@ def pom(files: DataFrame) -> DataFrame:
     rows = rows.select("project", "file", "text", tag("groupId").alias("g"), tag("artifactId").alias("a"),
                        tag("version").alias("v"))
     rows = rows.filter((F.col("g") != "") & (F.col("a") != "") & (F.col("v") != "") & ~F.contains("v", F.lit("${")))
-    return _component(rows, "Maven", F.concat_ws(":", "g", "a"), F.col("v"),
-                      _line_of(F.col("text"), F.concat(F.lit("<artifactId>"), F.col("a"), F.lit("<"))))
+    return _located(rows, _named(files, "pom.xml"), ARTIFACT_TOKEN, F.concat(F.lit("<artifactId>"), F.col("a"), F.lit("<")),
+                    "Maven", F.concat_ws(":", "g", "a"), F.col("v"))
 
 
 def go_mod(files: DataFrame) -> DataFrame:
@@ -142,9 +161,8 @@ def composer_lock(files: DataFrame) -> DataFrame:
                      F.coalesce(F.col("d").getField("packages-dev"), F.array().cast(one)))
     rows = (f.select("project", "file", "text", F.explode(every).alias("p"))
             .filter((F.coalesce("p.name", F.lit("")) != "") & (F.coalesce("p.version", F.lit("")) != "")))
-    return _component(rows, "Packagist", F.col("p.name"), F.regexp_replace("p.version", "^v+", ""),
-                      _line_of(F.col("text"), F.concat(F.lit('"'), F.col("p.name"), F.lit('"'))),
-                      F.array_join("p.license", ", "))
+    return _located(rows, _named(files, "composer.lock"), JSON_TOKEN, F.concat(F.lit('"'), F.col("p.name"), F.lit('"')),
+                    "Packagist", F.col("p.name"), F.regexp_replace("p.version", "^v+", ""), F.array_join("p.license", ", "))
 
 
 def packages_config(files: DataFrame) -> DataFrame:
@@ -153,8 +171,8 @@ def packages_config(files: DataFrame) -> DataFrame:
     rows = rows.select("project", "file", "text", F.regexp_extract("t", r'\bid="([^"]*)"', 1).alias("i"),
                        F.regexp_extract("t", r'\bversion="([^"]*)"', 1).alias("v"))
     rows = rows.filter((F.col("i") != "") & (F.col("v") != ""))
-    return _component(rows, "NuGet", F.col("i"), F.col("v"),
-                      _line_of(F.col("text"), F.concat(F.lit('id="'), F.col("i"), F.lit('"'))))
+    return _located(rows, _named(files, "packages.config"), ID_TOKEN, F.concat(F.lit('id="'), F.col("i"), F.lit('"')),
+                    "NuGet", F.col("i"), F.col("v"))
 
 
 PARSERS = (requirements, package_lock, pom, go_mod, gemfile_lock, composer_lock, packages_config)
