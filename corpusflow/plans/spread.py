@@ -8,7 +8,9 @@ SMALL_BYTES = 4 * 1024 ** 3
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Optimizer's size estimate; a session that does not tell counts as large."""
+    plan = getattr(df, "_jdf", None)
+    return SMALL_BYTES if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(df: DataFrame) -> DataFrame:

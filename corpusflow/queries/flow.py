@@ -339,13 +339,12 @@ def edge_callback(spark, sf):
 
 
 _SLOTTED = "CASE WHEN size > 40 THEN NULL ELSE CAST(size AS VARCHAR) END"
-SLOTS = f"""puts AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.put' AND lang IN ('java', 'go')),
-gets AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.get' AND lang IN ('java', 'go'))"""
+SLOTS = f"""puts AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.put'),
+gets AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.get')"""
 
 
 def _slots(spark, sf):
-    c = calls(spark, sf).filter(F.col("lang").isin("java", "go"))
-    rows = c.select(F.col("brand").alias("container"), F.when(F.col("size") <= 40, F.col("size").cast("string")).alias("slot"),
+    rows = calls(spark, sf).select(F.col("brand").alias("container"), F.when(F.col("size") <= 40, F.col("size").cast("string")).alias("slot"),
                     F.col("call_id").alias("node_id"), "callee")
     return rows.filter(F.endswith("callee", F.lit(".put"))).drop("callee"), rows.filter(F.endswith("callee", F.lit(".get"))).drop("callee")
 
@@ -366,19 +365,16 @@ def edge_slot(spark, sf):
     return out.groupBy("node").agg(F.sum("w").cast("long").alias("n"))
 
 
-PATHS = """defs AS (SELECT brand AS fn_id, bare AS path, call_id AS node_id FROM calls WHERE size > 30 AND callee LIKE '%.exec'),
-uses AS (SELECT brand AS fn_id, split_part(bare, '.', 1) AS path, call_id AS node_id, false AS const_slot FROM calls WHERE size < 4 AND callee LIKE '%.trim'
-  UNION ALL SELECT brand, bare || '.x', call_id, true FROM calls WHERE size < 4 AND callee LIKE '%.map')"""
+PATHS = """defs AS (SELECT brand AS fn_id, bare AS path, call_id AS node_id FROM calls WHERE callee LIKE '%.exec'),
+uses AS (SELECT brand AS fn_id, split_part(bare, '.', 1) AS path, call_id AS node_id, false AS const_slot FROM calls WHERE callee LIKE '%.trim'
+  UNION ALL SELECT brand, bare || '.x', call_id, true FROM calls WHERE callee LIKE '%.map')"""
 
 
 def _paths(spark, sf):
     c = calls(spark, sf).withColumn("bare", match.source_path(F.col("path")))
-    bare = F.regexp_replace("path", "^(app::|self\\.)", "")
-    c = c.withColumn("bare", bare)
-    defs = c.filter((F.col("size") > 30) & F.endswith("callee", F.lit(".exec"))).select(F.col("brand").alias("fn_id"), F.col("bare").alias("path"), F.col("call_id").alias("node_id"))
-    u = c.filter(F.col("size") < 4)
-    whole = u.filter(F.endswith("callee", F.lit(".trim"))).select(F.col("brand").alias("fn_id"), F.substring_index("bare", ".", 1).alias("path"), F.col("call_id").alias("node_id"), F.lit(False).alias("const_slot"))
-    slot = u.filter(F.endswith("callee", F.lit(".map"))).select(F.col("brand").alias("fn_id"), F.concat("bare", F.lit(".x")).alias("path"), F.col("call_id").alias("node_id"), F.lit(True).alias("const_slot"))
+    defs = c.filter(F.endswith("callee", F.lit(".exec"))).select(F.col("brand").alias("fn_id"), F.col("bare").alias("path"), F.col("call_id").alias("node_id"))
+    whole = c.filter(F.endswith("callee", F.lit(".trim"))).select(F.col("brand").alias("fn_id"), F.substring_index("bare", ".", 1).alias("path"), F.col("call_id").alias("node_id"), F.lit(False).alias("const_slot"))
+    slot = c.filter(F.endswith("callee", F.lit(".map"))).select(F.col("brand").alias("fn_id"), F.concat("bare", F.lit(".x")).alias("path"), F.col("call_id").alias("node_id"), F.lit(True).alias("const_slot"))
     return defs, whole.unionByName(slot)
 
 
