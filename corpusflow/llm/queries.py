@@ -61,3 +61,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
     return token_files.read_digests(spark, token_files.write(table(spark, sf_dir, "documents")))
+
+
+@query("op3_ngram_join", r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS s
+      FROM (SELECT r, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT r, r AS t FROM d UNION SELECT c.r, e.y FROM c JOIN e ON e.x = c.t)
+SELECT a.doc_id, coalesce(n.n, 0) AS n_shingles, min(b.doc_id) AS component_id
+FROM c JOIN d a ON a.r = c.r JOIN d b ON b.r = c.t LEFT JOIN n ON n.r = c.r GROUP BY c.r, a.doc_id, n.n""")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
