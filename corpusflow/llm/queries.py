@@ -79,3 +79,48 @@ FROM c JOIN d a ON a.r = c.r JOIN d b ON b.r = c.t LEFT JOIN n ON n.r = c.r GROU
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
     return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_licences")
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs).drop("text", "matches")
+
+
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of pages whose document is labelled; a URL's last number is the id of the document it shows."""
+    shown = F.regexp_extract("url", r"/(\d{1,18})(?:[/.?#]|$)", 1)
+    pages = table(spark, sf_dir, "pages").select("url", F.when(shown != "", shown.cast("long")).alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return pages.join(labels, "doc_id").select("url", "bad")
+
+
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_labels(spark, sf_dir))
+
+
+@query("op7_warc", r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+    return html_text.extract(table(spark, sf_dir, "pages"))
