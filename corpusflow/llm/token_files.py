@@ -107,7 +107,7 @@ class PartWriter:
         self.attempt = f"{self.place}/.{uuid.uuid4().hex}"
         self.size = np.dtype(self.enc.width).itemsize
         self.end = np.array([end_id], self.enc.width).tobytes()
-        self.out = self.system.open_output_stream(self.attempt)
+        self.out = self.system.open_output_stream(self.attempt, compression=None)
         self.out.write(HEAD.pack(MAGIC, 1, self.size, 0))
         self.bounds, self.names, self.nulls, self.total = [np.zeros(1, np.int64)], [], 0, 0
 

@@ -93,7 +93,7 @@ class BundleWriter:
         self.system, self.place = file_system(folder)
         self.system.create_dir(self.place, recursive=True)
         self.name = f"bundle-{uuid.uuid4().hex}.warc.zst"
-        self.out = self.system.open_output_stream(f"{self.place}/.{self.name}")
+        self.out = self.system.open_output_stream(f"{self.place}/.{self.name}", compression=None)
         self.frames: list[tuple[int, int]] = []
         self.parts: list[bytes] = []
         self.size = 0
