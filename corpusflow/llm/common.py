@@ -95,6 +95,18 @@ def add_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Recor
                                       names=[batch.schema.names[i] for i in keep] + list(columns))
 
 
+def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``_doc`` (every other column) and ``text``: results added beside them clash with no name."""
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return rows.select(*[F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col("_doc")[c].alias(c)
+                         for c in docs.columns])
+
+
 def as_uri(path: str) -> str:
     """``file:/x`` as the ``file:///x`` that file system libraries expect; a plain path gets the scheme."""
     if path.startswith("file:/") and not path.startswith("file://"):

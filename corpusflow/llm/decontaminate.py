@@ -22,9 +22,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import add_columns, folded, slices, stored, with_columns
+from .common import add_columns, folded, packed, slices, stored, unpacked, with_columns
 
 WINDOW = 10
 #: Benchmark text per automaton; at about 3 KB of automaton per word, some 200 MB.
@@ -150,7 +150,5 @@ def report(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The documents that share no window with the benchmark, with their own columns."""
-    kept: Column = F.size("_scan.hit_words") == 0
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col(text_col).alias("text"))
-    scanned = scan(packed, benchmark, n).select("_doc", F.struct("hit_words").alias("_scan"))
-    return scanned.filter(kept).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    scanned = scan(packed(docs, text_col), benchmark, n)
+    return unpacked(scanned.filter(F.size("hit_words") == 0), docs, text_col)

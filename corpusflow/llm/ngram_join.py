@@ -285,7 +285,11 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that are linked, directly or through others, to one of a smaller id."""
-    drop = stored(join(docs, n, num, den, id_col, text_col).filter(F.col(id_col) != F.col("component_id"))
-                  .select(F.col(id_col).alias("_drop")).distinct(), "near-copies")
+    """The documents without those that are linked, directly or through others, to one of a smaller id.
+
+    Rows of one id stay or go together; they go only if each of them is linked to a smaller id.
+    """
+    judged = join(docs, n, num, den, id_col, text_col)
+    drop = stored(judged.groupBy(F.col(id_col).alias("_drop")).agg(F.min(F.col("component_id") < F.col(id_col)).alias("_goes"))
+                  .filter("_goes").select("_drop"), "near-copies")
     return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import add_columns, slices, stored, with_columns
+from .common import add_columns, packed, slices, stored, unpacked, with_columns
 
 STATISTICS = ("words", "letters_per_word", "distinct_words", "commonest_word", "repeats_previous", "distinct_pairs",
               "symbols", "capitals", "digits", "ends", "commas", "lines_repeated", "words_per_line", "byte_entropy",
@@ -196,6 +196,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The documents predicted to be of class 1, with their own columns; learns as ``judge`` does."""
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     model = train(stored(describe(narrow).drop("text"), "statistics"), labels, id_col)
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    judged = apply(describe(packed).drop("text"), model)
-    return judged.filter(F.col("predicted") == 1).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    judged = apply(describe(packed(docs, text_col)), model)
+    return unpacked(judged.filter(F.col("predicted") == 1), docs, text_col)
