@@ -209,8 +209,9 @@ def _rows(rows: list[list], names: list[str]) -> pa.RecordBatch:
 def read(index: DataFrame, payloads: bool = False) -> DataFrame:
     """Every record of the bundles in ``index``, read back bundle by bundle."""
     schema = T.StructType([f for f in RECORD if payloads or f.name != "payload"])
-    bundles = index.select("path").distinct()
-    return bundles.repartition("path").mapInArrow(lambda b: _read(b, payloads), schema)
+    bundles = stored(index.select("path").distinct(), "warc-bundles")
+    # one task for each bundle: its rows are few bytes, the file behind it is not
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(lambda b: _read(b, payloads), schema)
 
 
 def _fetch(batches):
