@@ -9,12 +9,18 @@ from pyspark.sql import Column, functions as F
 
 
 def version_key(version: Column) -> Column:
-    """Array of (kind, number, word); arrays of structs compare part by part."""
+    """Array of (kind, digits, number, word); arrays of structs compare part by part.
+
+    A number is its text without leading zeros behind its length, so numbers of any length compare.
+    """
     parts = F.filter(F.split(F.coalesce(version, F.lit("")), r"[.\-+_]"), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(
-        F.when(p.rlike(r"^\d+$"), F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-        F.when(p.rlike(r"^\d+$"), p).otherwise(F.lit("0")).try_cast("decimal(38,0)").alias("number"),
-        F.when(p.rlike(r"^\d+$"), F.lit("")).otherwise(p).alias("word")))
+
+    def part(p: Column) -> Column:
+        is_number = p.rlike(r"^\d+$")
+        number = F.when(is_number, F.regexp_replace(p, r"^0+(?=\d)", "")).otherwise(F.lit("0"))
+        return F.struct(F.when(is_number, F.lit(0)).otherwise(F.lit(1)).alias("kind"), F.length(number).alias("digits"),
+                        number.alias("number"), F.when(is_number, F.lit("")).otherwise(p).alias("word"))
+    return F.transform(parts, part)
 
 
 def in_range(version: Column, range_type: Column, events: Column) -> Column:

@@ -179,9 +179,12 @@ def library_verdicts(calls: DataFrame, model: DataFrame) -> DataFrame:
 def uncertain_edges(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Edges through a call: blocked ones vanish, unknown callees are marked uncertain."""
     v = verdicts.select("call_id", "verdict", F.lit(True).alias("_known_call"))
-    out = edges.join(v, "call_id", "left").filter(F.coalesce("verdict", F.lit("")) != "block")
-    return out.withColumn("uncertain", F.coalesce("_known_call", F.lit(False)) & F.col("verdict").isNull()).drop(
-        "verdict", "_known_call")
+    called = edges.filter(F.col("call_id").isNotNull())
+    out = called.join(v, "call_id", "left").filter(F.coalesce("verdict", F.lit("")) != "block")
+    out = out.withColumn("uncertain", F.coalesce("_known_call", F.lit(False)) & F.col("verdict").isNull()).select(
+        *edges.columns, "uncertain")
+    # edges that pass no call bypass the join, where NULL would be one hot key
+    return out.unionByName(edges.filter(F.col("call_id").isNull()).withColumn("uncertain", F.lit(False)))
 
 
 def active_rules(rule_sinks: DataFrame, calls: DataFrame) -> DataFrame:

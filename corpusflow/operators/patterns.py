@@ -156,24 +156,18 @@ def accepted_hits(found: DataFrame) -> DataFrame:
         h["matches"], lambda m: m.withField("masked", values.masked(h["mask"], m["value"]))))))
 
 
-def masked_snippet(accepted: DataFrame) -> DataFrame:
-    """Adds ``snippet``: the trimmed line with every sensitive match of every masking rule hidden, cut for display.
-
-    Only the part of a very long line that can reach the display is masked: a masked value keeps at
-    least one character, so the first 201 characters come from at most 201 values and 201 others.
-    """
+def masked_snippet(accepted: DataFrame, chars: int | None = SNIPPET_CHARS) -> DataFrame:
+    """Adds ``snippet``: the trimmed line with every sensitive match of every masking rule hidden, then cut for display
+    at ``chars`` characters (None: not cut).  The whole line is masked, whatever a registered masker leaves of a value."""
     secrets = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(F.filter(
         h["matches"], lambda m: (m["value"] != "") & (m["value"] != m["masked"])),
         lambda m: F.concat(m["value"], F.lit(_MID), m["masked"])))))
     rows = accepted.withColumn("_secrets", secrets).withColumn("_text", F.regexp_replace("line", r"^[\s\x0b]+|[\s\x0b]+$", ""))
-    longest = F.coalesce(F.array_max(F.transform("_secrets", lambda x: F.length(F.substring_index(x, _MID, 1)))), F.lit(0))
-    shown = F.substring(F.col("_text"), F.lit(1), (SNIPPET_CHARS + 1) * (longest + 1) + longest)
-    hidden = F.aggregate("_secrets", shown, lambda acc, x: F.replace(
+    hidden = F.aggregate("_secrets", F.col("_text"), lambda acc, x: F.replace(
         acc, F.substring_index(x, _MID, 1), F.substring_index(x, _MID, -1)))
-    rows = rows.withColumn("snippet", hidden)
-    return rows.withColumn("snippet", F.when(
-        F.length("snippet") > SNIPPET_CHARS, F.concat(F.substring("snippet", 1, SNIPPET_CHARS), F.lit("…"))
-    ).otherwise(F.col("snippet"))).drop("_secrets", "_text")
+    rows = rows.withColumn("snippet", hidden).drop("_secrets", "_text")
+    return rows if chars is None else rows.withColumn("snippet", F.when(
+        F.length("snippet") > chars, F.concat(F.substring("snippet", 1, chars), F.lit("…"))).otherwise(F.col("snippet")))
 
 
 def deduplicated(accepted: DataFrame) -> DataFrame:
@@ -183,10 +177,10 @@ def deduplicated(accepted: DataFrame) -> DataFrame:
         "matches", F.when(h["mask"] == "none", F.slice(h["matches"], 1, 1)).otherwise(h["matches"])))
 
 
-def pattern_scan(lines: DataFrame, rules: Sequence[tuple] | None = None) -> DataFrame:
-    """Findings of all rules over ``lines(project, file, lang, ext, line_no, line)``."""
+def pattern_scan(lines: DataFrame, rules: Sequence[tuple] | None = None, snippet_chars: int | None = SNIPPET_CHARS) -> DataFrame:
+    """Findings of all rules over ``lines(project, file, lang, ext, line_no, line)``; ``snippet_chars`` None shows whole lines."""
     rules = shipped() if rules is None else list(rules)
-    ready = deduplicated(masked_snippet(accepted_hits(matched_lines(lines, rules))))
+    ready = deduplicated(masked_snippet(accepted_hits(matched_lines(lines, rules)), snippet_chars))
     ready = ready.withColumn("fp_hint", fp_hint(F.col("line"))).withColumn("_comment", is_comment(F.col("line")))
     hits = (ready.select("project", "file", "lang", F.col("line_no").cast("int").alias("line"), "snippet",
                          "fp_hint", "_comment", F.col("line").alias("_text"), F.explode("hits").alias("h"))

@@ -91,7 +91,7 @@ def _version(col_type: str = "p_type"):
 FROM (SELECT version, {_KEY % 'version'} AS key FROM (SELECT DISTINCT {_V} AS version FROM part))""")
 def version_key(spark, sf):
     v = table(spark, sf, "part").select(_version().alias("version")).distinct().withColumn("k", versions.version_key(F.col("version")))
-    shown = F.array_join(F.transform("k", lambda x: F.concat_ws(":", x["kind"].cast("string"), x["number"].cast("string"), x["word"])), "|")
+    shown = F.array_join(F.transform("k", lambda x: F.concat_ws(":", x["kind"].cast("string"), x["number"], x["word"])), "|")
     return v.select("version", shown.alias("key"), (F.col("k") < versions.version_key(F.lit("25.1000.0-rc_1"))).alias("older"))
 
 

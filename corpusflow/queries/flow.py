@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import query
 from .inputs import TYPE_EXT, _case, _map, table, with_sql
 from ..operators.flow import closure, edges as cut, match, resolve, summaries
-from ..plans import dimension
+from ..plans import dimension, durable
 from ..sources import rules as rule_files
 
 TYPE_LANG = {"ECONOMY": "python", "SMALL": "typescript", "MEDIUM": "javascript", "LARGE": "php", "STANDARD": "java", "PROMO": "go"}
@@ -48,9 +48,10 @@ def nodes(spark, sf) -> DataFrame:
 
 
 def arguments(spark, sf) -> DataFrame:
-    """Receiver (-1) and two arguments per call."""
+    """Receiver (-1) and two arguments per call; the first of small parts is a constant."""
     idx = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("arg_idx")
-    return calls(spark, sf).select("call_id", idx).withColumn("node_id", F.concat_ws("@", "call_id", F.col("arg_idx").cast("string")))
+    rows = calls(spark, sf).select("call_id", "size", idx).withColumn("node_id", F.concat_ws("@", "call_id", F.col("arg_idx").cast("string")))
+    return rows.select("call_id", "arg_idx", "node_id", F.when((F.col("arg_idx") == 0) & (F.col("size") <= 40), F.col("size").cast("string")).alias("literal"))
 
 
 ARGS = "args AS (SELECT call_id, i AS arg_idx, call_id || '@' || i AS node_id FROM calls, (SELECT unnest([-1, 0, 1]) AS i))"
@@ -326,7 +327,7 @@ def alt_promote(spark, sf):
 
 # ---- derived edges -------------------------------------------------------------------------
 
-@query("edge_mutator", with_sql(CALLS, select="SELECT call_id || '@' || i AS src, call_id || '@-1' AS dst FROM calls, (SELECT unnest([0, 1]) AS i) WHERE callee LIKE '%.put'"))
+@query("edge_mutator", with_sql(CALLS, select="SELECT call_id || '@1' AS src, call_id || '@-1' AS dst FROM calls WHERE callee LIKE '%.put' AND size > 40"))
 def edge_mutator(spark, sf):
     return cut.mutator_edges(calls(spark, sf), arguments(spark, sf))
 
@@ -339,14 +340,12 @@ def edge_callback(spark, sf):
 
 
 _SLOTTED = "CASE WHEN size > 40 THEN NULL ELSE CAST(size AS VARCHAR) END"
-SLOTS = f"""puts AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.put'),
-gets AS (SELECT brand AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.get')"""
+SLOTS = f"""puts AS (SELECT brand || '#' || path AS container, {_SLOTTED} AS slot, call_id || '@1' AS node_id FROM calls WHERE callee LIKE '%.put'),
+gets AS (SELECT brand || '#' || path AS container, {_SLOTTED} AS slot, call_id AS node_id FROM calls WHERE callee LIKE '%.get')"""
 
 
 def _slots(spark, sf):
-    rows = calls(spark, sf).select(F.col("brand").alias("container"), F.when(F.col("size") <= 40, F.col("size").cast("string")).alias("slot"),
-                    F.col("call_id").alias("node_id"), "callee")
-    return rows.filter(F.endswith("callee", F.lit(".put"))).drop("callee"), rows.filter(F.endswith("callee", F.lit(".get"))).drop("callee")
+    return cut.container_accesses(calls(spark, sf).withColumn("fn_id", F.col("brand")), arguments(spark, sf))
 
 
 @query("edge_slot", with_sql(CALLS, SLOTS, select="""SELECT g.node_id AS node, count(*) AS n FROM gets g JOIN puts p ON p.container = g.container
@@ -354,7 +353,8 @@ def _slots(spark, sf):
 def edge_slot(spark, sf):
     """Put x get pairs per get, counted over the hub edges without ever forming a pair."""
     puts, gets = _slots(spark, sf)
-    e = cut.slot_edges(puts, gets)
+    puts, gets = durable(puts), durable(gets)
+    e = durable(cut.slot_edges(puts, gets))
     start = puts.select(F.col("node_id").alias("node"), F.lit(1).alias("w"))
     reached = start
     out = None
@@ -504,17 +504,17 @@ def const_branch_prune(spark, sf):
 # ---- closure: customer -> order -> part -> supplier -> customer ------------------------------
 
 def graph(spark, sf) -> dict[str, DataFrame]:
-    """Edges over returned bulk items; suppliers lead back to customers of the same nation and balance band."""
+    """Edges over all items; suppliers lead back to customers of the same nation and balance band, through one node for each."""
     c, o, l = (table(spark, sf, t) for t in ("customer", "orders", "lineitem"))
     p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
     node = lambda k, col: F.concat(F.lit(k), F.col(col).cast("string"))
     no = F.lit(False)
-    big = l.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 47))
     e = o.select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"), no.alias("uncertain"))
-    e = e.unionByName(big.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst"), (F.col("l_tax") >= 0.06).alias("uncertain")))
-    e = e.unionByName(big.select(node("p", "l_partkey").alias("src"), node("s", "l_suppkey").alias("dst"), no.alias("uncertain")))
-    back = s.join(c, (s.s_nationkey == c.c_nationkey) & (F.floor(s.s_acctbal / 100) == F.floor(c.c_acctbal / 100)))
-    e = e.unionByName(back.select(node("s", "s_suppkey").alias("src"), node("c", "c_custkey").alias("dst"), no.alias("uncertain")))
+    e = e.unionByName(l.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst"), (F.col("l_tax") >= 0.06).alias("uncertain")))
+    e = e.unionByName(l.select(node("p", "l_partkey").alias("src"), node("s", "l_suppkey").alias("dst"), no.alias("uncertain")))
+    band = lambda nation, money: F.concat(F.lit("b"), F.col(nation).cast("string"), F.lit(":"), F.floor(F.col(money) / 100).cast("string"))
+    e = e.unionByName(s.select(node("s", "s_suppkey").alias("src"), band("s_nationkey", "s_acctbal").alias("dst"), no.alias("uncertain")))
+    e = e.unionByName(c.select(band("c_nationkey", "c_acctbal").alias("src"), node("c", "c_custkey").alias("dst"), no.alias("uncertain"))).distinct()
     seeds = c.filter(F.col("c_acctbal") < -900).select(F.col("c_mktsegment").alias("rule_id"), node("c", "c_custkey").alias("node"))
     kill = {"MACHINERY": "Brand#2", "BUILDING": "Brand#3", "FURNITURE": "Brand#4", "HOUSEHOLD": "Brand#5", "AUTOMOBILE": "Brand#6"}
     rules = dimension(spark, list(kill.items()), "rule_id string, p_brand string")
@@ -522,18 +522,18 @@ def graph(spark, sf) -> dict[str, DataFrame]:
     return {"edges": e, "seeds": seeds, "kills": kills}
 
 
-GRAPH = """big AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 47),
-all_edges AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, false AS uncertain FROM orders
-  UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, l_tax >= 0.06 FROM big UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, false FROM big
-  UNION ALL SELECT 's' || s_suppkey, 'c' || c_custkey, false FROM supplier JOIN customer ON s_nationkey = c_nationkey AND floor(s_acctbal / 100) = floor(c_acctbal / 100)),
+GRAPH = """all_edges AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, false AS uncertain FROM orders
+  UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, l_tax >= 0.06 FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, false FROM lineitem
+  UNION ALL SELECT 's' || s_suppkey, 'b' || s_nationkey || ':' || CAST(floor(s_acctbal / 100) AS BIGINT), false FROM supplier
+  UNION ALL SELECT 'b' || c_nationkey || ':' || CAST(floor(c_acctbal / 100) AS BIGINT), 'c' || c_custkey, false FROM customer),
 edges AS (SELECT src, dst, bool_and(uncertain) AS uncertain FROM all_edges GROUP BY ALL),
 seeds AS (SELECT c_mktsegment AS rule_id, 'c' || c_custkey AS node FROM customer WHERE c_acctbal < -900),
 kills AS (SELECT rule_id, 'p' || p_partkey AS node FROM part JOIN (VALUES ('MACHINERY', 'Brand#2'), ('BUILDING', 'Brand#3'), ('FURNITURE', 'Brand#4'), ('HOUSEHOLD', 'Brand#5'), ('AUTOMOBILE', 'Brand#6')) t(rule_id, b) ON b = p_brand)"""
 REACH = """steps AS (SELECT rule_id, node, 0 AS hop FROM seeds UNION
-  SELECT s.rule_id, e.dst, s.hop + 1 FROM steps s JOIN edges e ON e.src = s.node WHERE s.hop < 40 AND NOT EXISTS (SELECT 1 FROM kills k WHERE k.rule_id = s.rule_id AND k.node = e.dst)),
+  SELECT s.rule_id, e.dst, s.hop + 1 FROM steps s JOIN edges e ON e.src = s.node WHERE s.hop < 30 AND NOT EXISTS (SELECT 1 FROM kills k WHERE k.rule_id = s.rule_id AND k.node = e.dst)),
 reached AS (SELECT rule_id, node, min(hop) AS hop FROM steps GROUP BY ALL)"""
 CERTAIN = """sure_steps AS (SELECT rule_id, node, 0 AS hop FROM seeds UNION
-  SELECT s.rule_id, e.dst, s.hop + 1 FROM sure_steps s JOIN edges e ON e.src = s.node WHERE NOT e.uncertain AND s.hop < 40 AND NOT EXISTS (SELECT 1 FROM kills k WHERE k.rule_id = s.rule_id AND k.node = e.dst)),
+  SELECT s.rule_id, e.dst, s.hop + 1 FROM sure_steps s JOIN edges e ON e.src = s.node WHERE NOT e.uncertain AND s.hop < 30 AND NOT EXISTS (SELECT 1 FROM kills k WHERE k.rule_id = s.rule_id AND k.node = e.dst)),
 sure AS (SELECT rule_id, node, min(hop) AS hop FROM sure_steps GROUP BY ALL)"""
 
 
@@ -565,13 +565,13 @@ def emit_flow_findings(spark, sf):
 
 
 @query("guard_derived", with_sql(GRAPH, """checked AS (SELECT 'g' || s_suppkey AS guard_id, 's' || s_suppkey AS node_id FROM supplier WHERE s_acctbal > 9000),
-up AS (SELECT guard_id, node_id, 0 AS hop FROM checked UNION SELECT u.guard_id, e.src, u.hop + 1 FROM up u JOIN edges e ON e.dst = u.node_id WHERE u.hop < 3)""",
+up AS (SELECT guard_id, node_id, 0 AS hop FROM checked UNION SELECT u.guard_id, e.src, u.hop + 1 FROM up u JOIN edges e ON e.dst = u.node_id WHERE u.hop < 30)""",
        select="SELECT guard_id, node_id, min(hop) AS hop FROM up GROUP BY ALL"))
 def guard_derived(spark, sf):
-    """Ancestors of checked suppliers, three derivations back."""
+    """All ancestors of checked suppliers."""
     s = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 9000)
     g = s.select(F.concat(F.lit("g"), F.col("s_suppkey").cast("string")).alias("guard_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"))
-    return cut.derived_guard_nodes(g, graph(spark, sf)["edges"].select("src", "dst"), max_hops=3)
+    return cut.derived_guard_nodes(g, graph(spark, sf)["edges"].select("src", "dst"))
 
 
 # ---- summaries: suppliers are functions, neighbouring lines of an order are calls -------------

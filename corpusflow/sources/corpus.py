@@ -90,8 +90,15 @@ def drop_project_globs(files: DataFrame, settings: DataFrame) -> DataFrame:
     All globs of a project are folded into one pattern first, so the join adds no rows
     and a project with many files is not multiplied by its globs.
     """
-    quoted = F.regexp_replace("glob", r"([.\\+^$|(){}\[\]])", r"\\$1")
-    body = F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", ".")
+    def piece(token: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(F.substr(token, F.lit(2)), r"([\\\[&^])", r"\\$1"), r"^!", "^")
+        return (F.when(token == "*", ".*").when(token == "?", ".")
+                .when(F.startswith(token, F.lit("[")) & (F.length(token) > 1), F.concat(F.lit("["), inner))
+                .otherwise(F.regexp_replace(token, r"([.\\+^$|(){}\[\]])", r"\\$1")))
+
+    # a class such as [ab] or [!ab] is one token, every other character is one
+    tokens = F.regexp_extract_all("glob", F.lit(r"(?s)\[!?\]?[^\]]*\]|."), F.lit(0))
+    body = F.array_join(F.transform(tokens, piece), "")
     stem = F.regexp_replace(body, "/+$", "")
     per_project = (settings.select("project", F.concat(F.lit("(?:"), body, F.lit("|"), stem, F.lit("/.*)")).alias("p"))
                    .groupBy("project").agg(F.array_join(F.sort_array(F.collect_set("p")), "|").alias("_globs")))
@@ -100,17 +107,21 @@ def drop_project_globs(files: DataFrame, settings: DataFrame) -> DataFrame:
         F.col("file"), F.concat(F.lit(r"(?s)\A(?:"), F.col("_globs"), F.lit(r")\z")))).drop("_globs")
 
 
-def is_text(files: DataFrame, content: str = "content") -> Column:
-    """Text candidate: size in (0, 20 MB], no skipped extension or name, no NUL in the first bytes."""
-    head = F.substring(F.col(content), 1, SNIFFED_BYTES)
-    return (F.col("size").between(1, MAX_TEXT_BYTES)
+def is_text(files: DataFrame, content: str = "content", max_bytes: int | None = MAX_TEXT_BYTES,
+            sniffed_bytes: int | None = SNIFFED_BYTES) -> Column:
+    """Text candidate: not empty, at most ``max_bytes`` (None: any size), no skipped extension or name, no NUL
+    in the first ``sniffed_bytes`` (None: anywhere)."""
+    head = F.col(content) if sniffed_bytes is None else F.substring(F.col(content), 1, sniffed_bytes)
+    return ((F.col("size") >= 1) & (F.lit(True) if max_bytes is None else F.col("size") <= max_bytes)
             & ~file_ext(F.col("file")).isin(list(SKIPPED_EXTS))
             & ~file_name(F.col("file")).rlike(SKIPPED_NAME)
             & ~F.contains(head, F.lit(b"\x00")))
 
 
-def is_source(files: DataFrame) -> Column:
-    return grammar(file_ext(F.col("file"))).isNotNull() & (F.col("size") <= MAX_SOURCE_BYTES)
+def is_source(files: DataFrame, max_bytes: int | None = MAX_SOURCE_BYTES) -> Column:
+    """Source candidate; ``max_bytes`` None takes files of any size."""
+    known = grammar(file_ext(F.col("file"))).isNotNull()
+    return known if max_bytes is None else known & (F.col("size") <= max_bytes)
 
 
 @F.pandas_udf(T.StringType())
@@ -127,12 +138,11 @@ def _legacy_text(content: pd.Series) -> pd.Series:
 
 
 def decode(files: DataFrame) -> DataFrame:
-    """Adds ``text``.  Only the rows that are not UTF-8 visit Python."""
+    """Adds ``text``.  Only the contents that are not UTF-8 visit Python."""
     utf8 = F.expr("is_valid_utf8(cast(content as string))")
     text = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
-    good = files.filter(utf8).withColumn("text", text)
-    legacy = files.filter(~utf8).withColumn("text", _legacy_text("content"))
-    return good.unionByName(legacy)
+    # one pass: rows that are UTF-8 hand a NULL to Python
+    return files.withColumn("text", F.coalesce(_legacy_text(F.when(~utf8, F.col("content"))), F.when(utf8, text)))
 
 
 def split_lines(files: DataFrame, max_chars: int | None = None) -> DataFrame:

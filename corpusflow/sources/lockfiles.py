@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import file_name, strip
+from ..plans import durable
 from .corpus import LINE_END
 
 #: Folders that hold other people's lockfiles, size cap of an XML file.
 VENDOR_DIRS = ("node_modules", ".git", "vendor", "dist", "build", "target", ".venv", "venv")
-MAX_XML_BYTES = 5 * 1024 * 1024
+MAX_XML_CHARS = 5 * 1024 * 1024
 
 # ---- fixed values: line shapes of the text formats ---------------------------------------
 PINNED = r"^([A-Za-z0-9._-]+)\s*(?:\[[^\]]*\])?\s*==\s*([A-Za-z0-9._!+-]+)"
@@ -91,33 +92,34 @@ def package_lock(files: DataFrame) -> DataFrame:
     level = f.filter(usable == 0).select("project", "file", "text", F.col("d.dependencies").alias("deps"))
     nested = "map<string, struct<version:string, dependencies:string>>"
     found = None
-    for _ in range(NESTING):
+    level = durable(level)
+    # one round for each level that exists; a lockfile may nest as deep as it likes
+    while found is None or not level.isEmpty():
         rows = level.select("project", "file", "text", F.explode("deps").alias("key", "m")).filter(
             F.coalesce("m.version", F.lit("")) != "")
         nested_rows = rows.select("project", "file", "key", "m.version")
         found = nested_rows if found is None else found.unionByName(nested_rows)
-        level = rows.select("project", "file", "text", F.from_json("m.dependencies", nested).alias("deps"))
+        level = durable(rows.select("project", "file", F.lit("").alias("text"), F.from_json("m.dependencies", nested).alias("deps"))
+                        .filter(F.size(F.coalesce("deps", F.create_map().cast("map<string,struct<version:string,dependencies:string>>"))) > 0))
     return out.unionByName(_located(found, own, JSON_TOKEN, quoted, "npm", F.col("key"), F.col("version")))
 
 
-#: Depth to which nested version-1 lockfiles are followed; npm itself stays well below.
-NESTING = 8
-
-
-def _xml_ok(files: DataFrame) -> DataFrame:
-    return files.filter((F.length("text") <= MAX_XML_BYTES) & ~F.contains("text", F.lit("<!DOCTYPE"))
+def _xml_ok(files: DataFrame, max_chars: int | None) -> DataFrame:
+    size = F.lit(True) if max_chars is None else F.length("text") <= max_chars
+    return files.filter(size & ~F.contains("text", F.lit("<!DOCTYPE"))
                         & ~F.contains("text", F.lit("<!ENTITY")))
 
 
-def pom(files: DataFrame) -> DataFrame:
+def pom(files: DataFrame, max_chars: int | None = MAX_XML_CHARS) -> DataFrame:
+    """``max_chars``: longer files are left out (None: none is)."""
     bare = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
-    blocks = F.regexp_extract_all(bare, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
-    rows = _xml_ok(_named(files, "pom.xml")).select("project", "file", "text", F.explode(blocks).alias("b"))
+    blocks = F.regexp_extract_all(bare, F.lit(r"(?s)<dependency(?:\s[^>]*)?>(.*?)</dependency\s*>"), F.lit(1))
+    rows = _xml_ok(_named(files, "pom.xml"), max_chars).select("project", "file", "text", F.explode(blocks).alias("b"))
     # nested exclusions have their own coordinates
-    body = F.regexp_replace("b", r"(?s)<exclusions>.*?</exclusions>", "")
+    body = F.regexp_replace("b", r"(?s)<exclusions(?:\s[^>]*)?>.*?</exclusions\s*>", "")
 
     def tag(name: str) -> Column:
-        return strip(F.regexp_extract(body, rf"(?s)<{name}>\s*(.*?)\s*</{name}>", 1))
+        return strip(F.regexp_extract(body, rf"(?s)<{name}(?:\s[^>]*)?>\s*(.*?)\s*</{name}\s*>", 1))
 
     rows = rows.select("project", "file", "text", tag("groupId").alias("g"), tag("artifactId").alias("a"),
                        tag("version").alias("v"))
@@ -154,22 +156,28 @@ def gemfile_lock(files: DataFrame) -> DataFrame:
 
 
 def composer_lock(files: DataFrame) -> DataFrame:
-    one = "array<struct<name:string,version:string,license:array<string>>>"
+    one = "array<struct<name:string,version:string,license:string>>"
     f = _named(files, "composer.lock").select("project", "file", "text", F.from_json(
         "text", f"packages {one}, `packages-dev` {one}").alias("d"))
     every = F.concat(F.coalesce("d.packages", F.array().cast(one)),
                      F.coalesce(F.col("d").getField("packages-dev"), F.array().cast(one)))
     rows = (f.select("project", "file", "text", F.explode(every).alias("p"))
             .filter((F.coalesce("p.name", F.lit("")) != "") & (F.coalesce("p.version", F.lit("")) != "")))
+    # a list of names or one name
+    licence = F.coalesce(F.array_join(F.from_json("p.license", "array<string>"), ", "), F.col("p.license"))
     return _located(rows, _named(files, "composer.lock"), JSON_TOKEN, F.concat(F.lit('"'), F.col("p.name"), F.lit('"')),
-                    "Packagist", F.col("p.name"), F.regexp_replace("p.version", "^v+", ""), F.array_join("p.license", ", "))
+                    "Packagist", F.col("p.name"), F.regexp_replace("p.version", "^v+", ""), licence)
+
 
+def packages_config(files: DataFrame, max_chars: int | None = MAX_XML_CHARS) -> DataFrame:
+    """``max_chars``: longer files are left out (None: none is)."""
+    def attribute(name: str) -> Column:
+        quoted = rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+        return F.concat(F.regexp_extract("t", quoted, 1), F.regexp_extract("t", quoted, 2))
 
-def packages_config(files: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all("text", F.lit(r"<package\b([^>]*)>"), F.lit(1))
-    rows = _xml_ok(_named(files, "packages.config")).select("project", "file", "text", F.explode(tags).alias("t"))
-    rows = rows.select("project", "file", "text", F.regexp_extract("t", r'\bid="([^"]*)"', 1).alias("i"),
-                       F.regexp_extract("t", r'\bversion="([^"]*)"', 1).alias("v"))
+    rows = _xml_ok(_named(files, "packages.config"), max_chars).select("project", "file", "text", F.explode(tags).alias("t"))
+    rows = rows.select("project", "file", "text", attribute("id").alias("i"), attribute("version").alias("v"))
     rows = rows.filter((F.col("i") != "") & (F.col("v") != ""))
     return _located(rows, _named(files, "packages.config"), ID_TOKEN, F.concat(F.lit('id="'), F.col("i"), F.lit('"')),
                     "NuGet", F.col("i"), F.col("v"))
