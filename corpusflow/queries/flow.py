@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import query
 from .inputs import TYPE_EXT, _case, _map, table, with_sql
-from ..operators.flow import closure, edges as cut, match, resolve, summaries
+from ..operators.flow import closure, edges as cut, match, resolve, scan, summaries
 from ..plans import dimension, durable
 from ..sources import rules as rule_files
 
@@ -577,64 +577,134 @@ def guard_derived(spark, sf):
 # ---- summaries: suppliers are functions, neighbouring lines of an order are calls -------------
 
 def program(spark, sf) -> dict[str, DataFrame]:
-    """Parameter i of a supplier's function is line number i; line i of an order calls line i + 1's supplier."""
-    l = table(spark, sf, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40))
+    """Parameter i of a supplier's function is line number i; line i of an order calls line i + 1's supplier.
+
+    A supplier's balance decides whether its parameters return (over 5000), hit its sink (9000 and more) or it holds a
+    source (under -500)."""
     s = table(spark, sf, "supplier")
+    l = table(spark, sf, "lineitem").join(s.select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal"), "l_suppkey")
     rule = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("rule_id")
     text = lambda *parts: F.concat(*[F.lit(x) if len(x) == 1 else F.col(x).cast("string") for x in parts])
     rows = l.select(F.col("l_suppkey").cast("string").alias("fn_id"), F.col("l_linenumber").alias("param_idx"), text("p", "l_suppkey", ".", "l_linenumber").alias("node"),
-                    text("r", "l_suppkey").alias("ret"), text("k", "l_suppkey").alias("sink"), "l_linestatus", "l_tax").distinct()
+                    text("r", "l_suppkey").alias("ret"), text("k", "l_suppkey").alias("sink"), "l_linestatus", "s_acctbal", (F.col("l_tax") >= 0.07).alias("taxed")).distinct()
     a = l.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("i"), F.col("l_suppkey").alias("s1"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
     b = l.select(F.col("l_orderkey").alias("ok"), (F.col("l_linenumber") - 1).alias("i"), F.col("l_suppkey").alias("s2"))
     c = a.join(b, ["ok", "i"]).withColumn("id", F.concat_ws(".", "ok", "i", "s1", "s2"))
     arg, ret = F.concat(F.lit("a"), F.col("id")), F.concat(F.lit("v"), F.col("id"))
-    edges = (rows.filter(F.col("l_linestatus") == "F").select(F.col("node").alias("src"), F.col("ret").alias("dst"))
-             .unionByName(rows.filter(F.col("l_tax") >= 0.07).select(F.col("node").alias("src"), F.col("sink").alias("dst")))
-             .unionByName(c.select(text("p", "s1", ".", "i").alias("src"), arg.alias("dst")))
+    source = s.filter(F.col("s_acctbal") < -500)
+    edges = (rows.filter((F.col("l_linestatus") == "F") & (F.col("s_acctbal") > 5000)).select(F.col("node").alias("src"), F.col("ret").alias("dst"))
+             .unionByName(rows.filter(F.col("taxed") & (F.col("s_acctbal") >= 9000)).select(F.col("node").alias("src"), F.col("sink").alias("dst")))
+             .unionByName(c.select(F.concat(text("p", "s1", "."), F.col("i").cast("string")).alias("src"), arg.alias("dst")))
              .unionByName(c.filter(F.col("d") > 0.05).select(ret.alias("src"), text("r", "s1").alias("dst")))
              .unionByName(c.filter(F.col("t") < 0.02).select(text("x", "s1").alias("src"), arg.alias("dst")))
-             .unionByName(s.filter(F.col("s_acctbal") < 1000).select(text("x", "s_suppkey").alias("src"), text("r", "s_suppkey").alias("dst")))).distinct()
+             .unionByName(source.select(text("x", "s_suppkey").alias("src"), text("r", "s_suppkey").alias("dst")))).distinct()
     return {
         "params": rows.select("fn_id", "param_idx", "node").distinct().select("*", rule),
         "returns": s.select(F.col("s_suppkey").cast("string").alias("fn_id"), text("r", "s_suppkey").alias("node")),
         "edges": edges,
         "call_args": c.select(F.col("s2").cast("string").alias("callee_fn"), (F.col("i") + 1).alias("param_idx"), arg.alias("arg_node"), ret.alias("ret_node")).distinct(),
         "sinks": s.select(text("k", "s_suppkey").alias("node"), rule),
-        "sources": s.filter(F.col("s_acctbal") < 1000).select(text("x", "s_suppkey").alias("node"), rule),
+        "sources": source.select(text("x", "s_suppkey").alias("node"), rule),
         "kills": s.filter(F.col("s_nationkey") < 5).select(F.lit("B").alias("rule_id"), text("r", "s_suppkey").alias("node")),
     }
 
 
+#: Rounds of the fixpoint that the SQL writes out; it fails if the last one still finds something new.
+ROUNDS = 7
+
+PROGRAM = """rules AS (SELECT unnest(['A', 'B']) AS rule_id),
+li AS (SELECT l_orderkey AS ok, l_linenumber AS i, l_suppkey AS s, l_discount AS d, l_tax AS t, l_linestatus AS st, s_acctbal AS bal FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+call_rows AS (SELECT DISTINCT a.ok || '.' || a.i || '.' || a.s || '.' || b.s AS id, a.s AS s1, b.s AS s2, a.i AS i, a.d AS d, a.t AS t FROM li a JOIN li b ON b.ok = a.ok AND b.i = a.i + 1),
+params AS (SELECT DISTINCT rule_id, CAST(s AS VARCHAR) AS fn_id, i AS param_idx, 'p' || s || '.' || i AS node FROM li, rules),
+rets AS (SELECT CAST(s_suppkey AS VARCHAR) AS fn_id, 'r' || s_suppkey AS node FROM supplier),
+edges AS MATERIALIZED (SELECT 'p' || s || '.' || i AS src, 'r' || s AS dst FROM li WHERE st = 'F' AND bal > 5000 UNION SELECT 'p' || s || '.' || i, 'k' || s FROM li WHERE t >= 0.07 AND bal >= 9000
+  UNION SELECT 'p' || s1 || '.' || i, 'a' || id FROM call_rows UNION SELECT 'v' || id, 'r' || s1 FROM call_rows WHERE d > 0.05
+  UNION SELECT 'x' || s1, 'a' || id FROM call_rows WHERE t < 0.02 UNION SELECT 'x' || s_suppkey, 'r' || s_suppkey FROM supplier WHERE s_acctbal < -500),
+call_args AS MATERIALIZED (SELECT DISTINCT CAST(s2 AS VARCHAR) AS callee_fn, i + 1 AS param_idx, 'a' || id AS arg_node, 'v' || id AS ret_node FROM call_rows),
+sinks AS (SELECT rule_id, 'k' || s_suppkey AS node FROM supplier, rules),
+sources AS (SELECT rule_id, 'x' || s_suppkey AS node FROM supplier, rules WHERE s_acctbal < -500),
+kills AS (SELECT 'B' AS rule_id, 'r' || s_suppkey AS node FROM supplier WHERE s_nationkey < 5),
+cut0 AS (SELECT NULL AS rule_id, NULL AS src, NULL AS dst WHERE false)"""
+
+
+def _round(k: int) -> str:
+    """What parameters reach with the shortcuts of the round before, and the shortcuts that follow."""
+    return f"""walk{k} AS (SELECT rule_id, fn_id, param_idx, node FROM params WHERE (rule_id, node) NOT IN (SELECT rule_id, node FROM kills) UNION
+  SELECT w.rule_id, w.fn_id, w.param_idx, e.dst FROM walk{k} w JOIN (SELECT rule_id, src, dst FROM edges, rules UNION ALL SELECT rule_id, src, dst FROM cut{k - 1}) e
+    ON e.rule_id = w.rule_id AND e.src = w.node LEFT JOIN kills x ON x.rule_id = w.rule_id AND x.node = e.dst WHERE x.node IS NULL),
+facts{k} AS MATERIALIZED (SELECT DISTINCT rule_id, fn_id, param_idx FROM walk{k} JOIN rets USING (fn_id, node)),
+cut{k} AS MATERIALIZED (SELECT DISTINCT rule_id, arg_node AS src, ret_node AS dst FROM facts{k} f JOIN call_args c ON c.callee_fn = f.fn_id AND c.param_idx = f.param_idx)"""
+
+
+FIXPOINT = ",\n".join(_round(k) for k in range(1, ROUNDS + 1)) + f""",
+settled AS (SELECT CASE WHEN (SELECT count(*) FROM facts{ROUNDS}) <> (SELECT count(*) FROM facts{ROUNDS - 1}) THEN error('more rounds are needed') ELSE 'yes' END AS ok),
+facts AS (SELECT f.* FROM facts{ROUNDS} f, settled WHERE ok = 'yes'),
+direct AS MATERIALIZED (SELECT DISTINCT w.rule_id, w.fn_id, w.param_idx, w.node AS sink FROM walk{ROUNDS} w JOIN sinks USING (rule_id, node)),
+up AS MATERIALIZED (SELECT DISTINCT w.rule_id, c.callee_fn, c.param_idx AS callee_idx, w.fn_id, w.param_idx FROM walk{ROUNDS} w JOIN call_args c ON c.arg_node = w.node),
+near AS (SELECT DISTINCT rule_id, fn_id, param_idx, 0 AS hop FROM direct UNION
+  SELECT n.rule_id, u.fn_id, u.param_idx, n.hop + 1 FROM near n JOIN up u ON u.rule_id = n.rule_id AND u.callee_fn = n.fn_id AND u.callee_idx = n.param_idx WHERE n.hop < 20),
+sinking AS MATERIALIZED (SELECT rule_id, fn_id, param_idx, min(hop) AS hop FROM near GROUP BY ALL)"""
+TAINTED = f"""back AS (SELECT DISTINCT node AS src, ret_node AS dst FROM call_args JOIN rets ON fn_id = callee_fn),
+tainted AS (SELECT rule_id, node FROM sources WHERE (rule_id, node) NOT IN (SELECT rule_id, node FROM kills) UNION
+  SELECT t.rule_id, e.dst FROM tainted t JOIN (SELECT rule_id, src, dst FROM edges, rules UNION ALL SELECT rule_id, src, dst FROM back, rules UNION ALL SELECT rule_id, src, dst FROM cut{ROUNDS}) e
+    ON e.rule_id = t.rule_id AND e.src = t.node LEFT JOIN kills x ON x.rule_id = t.rule_id AND x.node = e.dst WHERE x.node IS NULL),
+entries AS MATERIALIZED (SELECT DISTINCT t.rule_id, t.node AS entry, callee_fn AS fn_id, param_idx FROM tainted t JOIN call_args ON arg_node = t.node),
+starts AS (SELECT DISTINCT rule_id, fn_id AS start_fn, param_idx AS start_idx, fn_id, param_idx FROM entries UNION
+  SELECT s.rule_id, start_fn, start_idx, u.callee_fn, u.callee_idx FROM starts s JOIN up u ON u.rule_id = s.rule_id AND u.fn_id = s.fn_id AND u.param_idx = s.param_idx)"""
+
+
 def program_summaries(spark, sf):
-    p = program(spark, sf)
+    p = {k: durable(v) for k, v in program(spark, sf).items()}
     return p, summaries.summarize(p["params"], p["returns"], p["edges"], p["call_args"], p["sinks"], p["kills"])
 
 
-@query("summaries")
+@query("summaries", with_sql(PROGRAM, FIXPOINT, select="SELECT *, 'return' AS fact FROM facts UNION ALL SELECT rule_id, fn_id, param_idx, 'sink' FROM sinking"))
 def summary_facts(spark, sf):
     _, s = program_summaries(spark, sf)
-    return s.returns.withColumn("fact", F.lit("return")).unionByName(s.sinks.select("rule_id", "fn_id", "param_idx").distinct().withColumn("fact", F.lit("sink")))
+    return s.returns.withColumn("fact", F.lit("return")).unionByName(s.sinks.drop("hop").withColumn("fact", F.lit("sink")))
 
 
-@query("summary_fixpoint")
+@query("summary_fixpoint", with_sql(PROGRAM, FIXPOINT, select="SELECT rule_id, hop, count(*) AS facts FROM sinking GROUP BY ALL"))
 def summary_fixpoint(spark, sf):
     _, s = program_summaries(spark, sf)
     return s.sinks.groupBy("rule_id", "hop").agg(F.count(F.lit(1)).alias("facts"))
 
 
-@query("interproc_return")
+@query("interproc_return", with_sql(PROGRAM, FIXPOINT, select=f"SELECT rule_id, src, dst FROM cut{ROUNDS}, settled WHERE ok = 'yes'"))
 def interproc_return(spark, sf):
     _, s = program_summaries(spark, sf)
     return s.shortcuts.select("rule_id", "src", "dst").distinct()
 
 
-@query("interproc_sink")
+@query("interproc_sink", with_sql(PROGRAM, FIXPOINT, TAINTED, select="""SELECT DISTINCT e.rule_id, e.entry, d.sink, true AS via_call FROM entries e
+  JOIN starts s ON s.rule_id = e.rule_id AND s.start_fn = e.fn_id AND s.start_idx = e.param_idx
+  JOIN direct d ON d.rule_id = s.rule_id AND d.fn_id = s.fn_id AND d.param_idx = s.param_idx
+UNION ALL SELECT t.rule_id, t.node, t.node, false FROM tainted t JOIN sinks USING (rule_id, node)"""))
 def interproc_sink(spark, sf):
     p, s = program_summaries(spark, sf)
     _, found = summaries.interprocedural(p["sources"], p["returns"], p["edges"], p["call_args"], p["sinks"], s, p["kills"])
     return found
 
 
+@query("flow_scan", with_sql(PROGRAM, FIXPOINT, f"""moves AS MATERIALIZED (SELECT rule_id, st || src AS src, st || dst AS dst FROM
+    (SELECT rule_id, src, dst FROM edges, rules UNION ALL SELECT rule_id, src, dst FROM cut{ROUNDS}) e, (SELECT unnest(['u', 'd']) AS st)
+  UNION SELECT rule_id, 'u' || node, 'u' || ret_node FROM call_args JOIN rets ON fn_id = callee_fn, rules
+  UNION SELECT rule_id, st || arg_node, 'd' || 'p' || callee_fn || '.' || param_idx FROM call_args, rules, (SELECT unnest(['u', 'd']) AS st)),
+flow AS (SELECT rule_id, 'u' || node AS node, 1 AS n FROM sources WHERE (rule_id, node) NOT IN (SELECT rule_id, node FROM kills) UNION
+  SELECT f.rule_id, m.dst, f.n + 1 FROM flow f JOIN moves m ON m.rule_id = f.rule_id AND m.src = f.node LEFT JOIN kills x ON x.rule_id = f.rule_id AND x.node = substr(m.dst, 2)
+  WHERE x.node IS NULL AND f.n < 40)""", select="""SELECT f.rule_id, substr(f.node, 2) AS sink, min(n) AS n_steps, 'source' AS first_kind, 'sink' AS last_kind, 'flow into ' || lower(f.rule_id) AS message
+FROM flow f JOIN sinks k ON k.rule_id = f.rule_id AND k.node = substr(f.node, 2) GROUP BY ALL"""))
+def flow_scan(spark, sf):
+    """From facts to findings with the steps of every function on the way."""
+    p, s = program_summaries(spark, sf)
+    nodes = p["edges"].select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().select(
+        "node_id", F.lit("f").alias("file"), F.lit(1).alias("line"), F.col("node_id").alias("code"))
+    rules = p["sources"].select("rule_id").distinct().withColumn("message", F.concat(F.lit("flow into "), F.lower("rule_id")))
+    found = scan.flow_scan(p["sources"], p["params"], p["returns"], p["edges"], p["call_args"], p["sinks"], nodes, rules, p["kills"], summ=s)
+    return found.select("rule_id", "sink", F.size("steps").alias("n_steps"), F.element_at("steps", 1)["kind"].alias("first_kind"),
+                        F.element_at("steps", -1)["kind"].alias("last_kind"), "message")
+
+
 # ---- rule overlays ---------------------------------------------------------------------------
 
 @query("rule_overlay", """WITH shipped AS (SELECT p_name AS id, min(p_type) AS severity, min(p_brand) AS message, [min(p_type), min(p_brand)] AS sinks FROM part GROUP BY p_name),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators.flow import closure, edges as cut, match, resolve, summaries
+from corpusflow.operators.flow.scan import flow_scan
 from corpusflow.sources import rules as rule_files
 
 E = "src string, dst string, uncertain boolean, guard_id string"
@@ -140,7 +141,9 @@ def test_summaries_and_findings_equal_brute_force(spark, seed):
     s = summaries.summarize(p, rt, e, ca, sk, kl)
     ret, sink = brute_summaries(params, set(returns), edges, args, set(sinks), kills)
     assert {(r.rule_id, r.fn_id, r.param_idx) for r in s.returns.collect()} == ret
-    assert {(r.rule_id, r.fn_id, r.param_idx, r.sink) for r in s.sinks.collect()} == sink
+    assert {(r.rule_id, r.fn_id, r.param_idx) for r in s.sinks.collect()} == {x[:3] for x in sink}
+    starts = s.sinks.select("rule_id", F.concat_ws("#", "fn_id", "param_idx").alias("start"))
+    assert {(r.rule_id, *r.start.split("#"), r.sink) for r in summaries.sinks_behind(s, starts).collect()} == {(a, b, str(i), k) for a, b, i, k in sink}
     _, found = summaries.interprocedural(sr, rt, e, ca, sk, s, kl)
     want, by_fn = set(), dict(returns)
     for rule in "AB":
@@ -156,6 +159,14 @@ def test_summaries_and_findings_equal_brute_force(spark, seed):
         want |= {(rule, n, n) for n in seen if (rule, n) in set(sinks)}
         want |= {(rule, a, k) for g, j, a, _ in args if a in seen for r2, g2, j2, k in sink if (r2, g2, j2) == (rule, g, j)}
     assert {(r.rule_id, r.entry, r.sink) for r in found.collect()} == want
+    nodes = df([(n, "f", 1, n) for n in sorted({n for e_ in edges for n in e_} | {x[3] for x in params} | {n for _, n in sources})], "node_id string, file string, line int, code string")
+    scanned = flow_scan(sr, p, rt, e, ca, sk, nodes, df([("A", "m"), ("B", "m")], "rule_id string, message string"), kl, summ=s).collect()
+    assert {(r.rule_id, r.sink) for r in scanned} == {(a, k) for a, _, k in want}
+    moves = set(edges) | {(by_fn[g], v) for g, j, a, v in args} | {(a, f"p{g[1:]}.{j}") for g, j, a, v in args} | {(a, v) for g, j, a, v in args}
+    for r in scanned:
+        path = [x.code for x in r.steps]
+        assert path[0] in {n for _, n in sources} and path[-1] == r.sink and all(m in moves for m in zip(path, path[1:]))
+        assert not any((r.rule_id, n) in kills for n in path)
 
 
 def test_constant_slots_are_told_apart(spark):
@@ -231,3 +242,24 @@ def test_closure_plan_has_no_cartesian_product(spark):
     plan = e.expand(f, ["rule_id"])._jdf.queryExecution().executedPlan().toString()
     e.release()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_flow_scan_stitches_the_steps_of_caller_and_callee(spark):
+    df = spark.createDataFrame
+    # f: x = source(); y = id(x); sink_of(y)   id(p) returns p   sink_of(q): exec(q), through g(q2)
+    edges = df([("x", "a1", False), ("p", "rid", False), ("v1", "a2", True), ("q", "a3", False), ("q2", "k", False)], "src string, dst string, uncertain boolean")
+    params = df([("R", "id", 0, "p"), ("R", "outer", 0, "q"), ("R", "inner", 0, "q2")], "rule_id string, fn_id string, param_idx int, node string")
+    returns = df([("id", "rid")], "fn_id string, node string")
+    calls = df([("id", 0, "a1", "v1"), ("outer", 0, "a2", "v2"), ("inner", 0, "a3", "v3")], "callee_fn string, param_idx int, arg_node string, ret_node string")
+    one = lambda n: df([("R", n)], "rule_id string, node string")
+    names = ["x", "a1", "v1", "a2", "q", "a3", "q2", "k"]
+    nodes = df([(n, "main.py" if i < 4 else "lib.py", i + 1, n) for i, n in enumerate(names)], "node_id string, file string, line int, code string")
+    rows = flow_scan(one("x"), params, returns, edges, calls, one("k"), nodes, df([("R", "high")], "rule_id string, severity string")).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert [(s.kind, s.code, s.file, s.line, s.uncertain) for s in r.steps] == [
+        ("source", "x", "main.py", 1, False), ("propagation", "a1", "main.py", 2, False), ("propagation", "v1", "main.py", 3, False), ("call", "a2", "main.py", 4, True),
+        ("param", "q", "lib.py", 5, False), ("call", "a3", "lib.py", 6, False), ("param", "q2", "lib.py", 7, False), ("sink", "k", "lib.py", 8, False)]
+    assert (r.sink, r.file, r.line, r.severity, r.uncertain) == ("k", "lib.py", 8, "high", True)
+    killed = flow_scan(one("x"), params, returns, edges, calls, one("k"), nodes, df([("R", "high")], "rule_id string, severity string"), one("q2"))
+    assert killed.count() == 0

@@ -38,8 +38,8 @@ def test_query_equals_sql(spark, sides, name):
 def test_every_query_is_registered_once_with_a_sql_or_a_brute_force_test(sides):
     _, _, queries, sql = sides
     assert set(sql) <= set(queries)
-    # summaries are checked in test_flow.py: their relation is not linear, which recursive SQL needs
-    assert set(queries) - set(sql) == {"summaries", "summary_fixpoint", "interproc_return", "interproc_sink"}
+    # the corpus operators, where they are installed, have tests of their own
+    assert {q for q in set(queries) - set(sql) if not q.startswith("op") and q != "pipeline"} == set()
 
 
 @pytest.mark.parametrize("name", ["priority_queue", "audit_history", "trend", "scan_summary"])
