@@ -203,8 +203,13 @@ def exclude_rules(findings: DataFrame, settings: DataFrame) -> DataFrame:
 # ---- sinks ------------------------------------------------------------------------------
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Partitioned by project and scan so review queries prune to one snapshot."""
-    findings.write.mode("append").partitionBy("project", "scan_id").parquet(path)
+    """Partitioned by project and scan so review queries prune to one snapshot.
+
+    Rows are ranged on (project, scan, file) first: a task writes few partitions, a huge scan is spread over
+    several tasks.  Writing a scan again replaces it; other scans stay.
+    """
+    (findings.repartitionByRange("project", "scan_id", "file").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("project", "scan_id").parquet(path))
 
 
 def localized(rows: DataFrame, translations: DataFrame, column: str) -> DataFrame:
@@ -300,9 +305,17 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def write_sarif(findings: DataFrame, path: str) -> None:
-    """NDJSON results per scan: a scan may hold more findings than one document or task can."""
+    """NDJSON per scan: ``results`` and the ``rules`` their ``ruleIndex`` points to, in that order.
+
+    A scan may hold more findings than one document or task can.
+    """
     (sarif_results(findings).select("scan_id", F.col("result").alias("value"))
-     .write.mode("overwrite").partitionBy("scan_id").text(path))
+     .write.mode("overwrite").partitionBy("scan_id").text(f"{path}/results"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.col("message").alias("text")).alias("shortDescription"),
+                    F.struct(F.col("level")).alias("defaultConfiguration"),
+                    F.struct("cwe", "owasp", "severity", F.col("rule_index").alias("index")).alias("properties"))
+    (sarif_rules(findings).repartition("scan_id").sortWithinPartitions("scan_id", "rule_index")
+     .select("scan_id", F.to_json(rule).alias("value")).write.mode("overwrite").partitionBy("scan_id").text(f"{path}/rules"))
 
 
 def ci_gate(findings: DataFrame, fail_on: str | None = None) -> DataFrame:

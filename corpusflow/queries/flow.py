@@ -723,16 +723,20 @@ def rule_overlay(spark, sf):
     return rule_files.overlay(shipped, user, ["severity", "message"], ["sinks"]).withColumn("sinks", F.array_join("sinks", ","))
 
 
-@query("store_sources", with_sql(CALLS, select="""SELECT rule_id, lang, count(*) AS n FROM (SELECT 'r.cmd' AS rule_id, lang FROM calls WHERE lang = 'java' AND callee LIKE '%.exec'
-UNION ALL SELECT 'r.web', lang FROM calls WHERE lang = 'php' AND callee LIKE '%.exec') GROUP BY ALL"""))
+#: What each line number reads: names of the shipped list of one or more languages, and one of none.
+READS = {1: "getString", 2: "fetch", 3: "readString", 4: "os.ReadFile", 5: "fs.readFile.x", 6: "mysqli_fetch_row", 7: "readAllBytesX"}
+
+
+@query("store_sources", with_sql(CALLS, select="""SELECT rule_id, lang, count(*) AS n FROM (
+  SELECT 'r.cmd' AS rule_id, lang FROM calls WHERE lang = 'java' AND (callee LIKE '%.exec' OR callee LIKE '%.trim')
+  UNION ALL SELECT 'r.cmd', lang FROM calls WHERE lang = 'go' AND callee LIKE '%.put'
+  UNION ALL SELECT 'r.web', lang FROM calls WHERE lang = 'php' AND (callee LIKE '%.length' OR callee LIKE '%.map')
+  UNION ALL SELECT 'r.web', lang FROM calls WHERE lang IN ('javascript', 'typescript') AND callee LIKE '%.get') GROUP BY ALL"""))
 def store_sources(spark, sf):
-    """Stored-data reads of one name per language become sources of the rules of that language."""
+    """Stored-data reads of the shipped list become sources of the rules of their language."""
     t = rule_tables(spark)
-    store = rule_files.store_source_table(spark)
-    # one name per language stands in for the whole list: the exec calls of two languages
-    store = store.filter(F.col("lang").isin("java", "php")).groupBy("lang").agg(F.lit("name").alias("kind")).select(
-        "lang", "kind", F.lit(None).cast("string").alias("object"), F.array().cast("array<string>").alias("property"), F.lit("exec").alias("name"), F.lit(0).alias("arg"))
-    every = rule_files.with_store_sources(t["sources"].filter(F.lit(False)), t["rules"], store)
-    n = calls(spark, sf).select("lang", F.col("call_id").alias("node_id"), match.last_segment(F.col("callee")).alias("path"))
+    every = rule_files.with_store_sources(t["sources"].filter(F.lit(False)), t["rules"], rule_files.store_source_table(spark))
+    method = {METHODS[k]: v for k, v in READS.items()}
+    n = calls(spark, sf).select("lang", F.col("call_id").alias("node_id"), _map(method, match.last_segment(F.col("callee"))).alias("path"))
     hit = match.sources_by_name(n, every).join(n.select("node_id", "lang"), "node_id")
     return hit.groupBy("rule_id", "lang").agg(F.count(F.lit(1)).alias("n"))

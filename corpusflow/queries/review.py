@@ -209,14 +209,14 @@ def similar_issues(spark, sf):
 @query("triage_prompt", with_sql(DOCS, DOC_LINES, DOC_HITS, """spots AS (SELECT DISTINCT file, line FROM hits),
 ctx AS (SELECT s.file, s.line, string_agg(lpad(CAST(l.line_no AS VARCHAR), 5, ' ') || '| ' || l.line, chr(10) ORDER BY l.line_no) AS t
   FROM spots s JOIN lines l ON l.file = s.file AND l.line_no BETWEEN s.line - 3 AND s.line + 3 GROUP BY ALL)""",
-       select="SELECT file, line, sha1(t) AS context FROM ctx"))
+       select="SELECT DISTINCT file, line, sha1(t) AS context FROM ctx"))
 def triage_prompt(spark, sf):
-    """Prompts of all document findings; the code part of each is compared."""
+    """A prompt for every document finding; the code part of each is compared, once per line."""
     f = document_findings(spark, sf).select("file", "line", "steps", "rule_id", "cwe", "severity", F.abs(F.xxhash64("file")).alias("scan_id"),
-                                            F.col("line").cast("long").alias("idx")).dropDuplicates(["file", "line"])
+                                            F.xxhash64("line", "rule_id", "start_col").alias("idx"))
     p = triage.prompts(f, document_lines(spark, sf))
     body = F.regexp_replace("prompt", r"(?s)^.*?\nCode:\n--- [^\n]*\n", "")
-    return p.join(f.select("scan_id", "idx", "file", "line"), ["scan_id", "idx"]).select("file", "line", F.sha1(body).alias("context"))
+    return p.join(f.select("scan_id", "idx", "file", "line"), ["scan_id", "idx"]).select("file", "line", F.sha1(body).alias("context")).distinct()
 
 
 def _observations(spark, sf) -> DataFrame:

@@ -95,3 +95,19 @@ def test_steps_carry_their_own_flag(spark):
     row = closure.emit_findings(traces, reached, spark.createDataFrame([("r", "m")], "rule_id string, message string")).first()
     assert [(s.kind, s.code, s.uncertain) for s in row.steps] == [("source", "a", False), ("propagation", "b", False), ("propagation", "c", True), ("sink", "d", False)]
     assert row.uncertain and (row.file, row.line) == ("f", 3)
+
+
+def test_scans_are_replaced_and_sarif_has_its_rules(spark, tmp_path):
+    from corpusflow.operators import findings
+    step = "steps array<struct<kind:string,file:string,line:int,code:string,uncertain:boolean>>"
+    schema = f"project string, scan_id long, idx long, rule_id string, message string, severity string, cwe string, owasp string, file string, line int, {step}"
+    row = lambda scan, idx, rule: ("p", scan, idx, rule, f"m {rule}", "high", "CWE-1", "", "f.py", 3, [("match", "f.py", 3, "code", False)])
+    one, two = spark.createDataFrame([row(1, 0, "b"), row(1, 1, "a"), row(1, 2, "b")], schema), spark.createDataFrame([row(2, 0, "a")], schema)
+    table = f"file:{tmp_path}/findings"
+    for batch in (one, two, one):
+        findings.write_findings(batch, table)
+    assert spark.read.parquet(table).groupBy("scan_id").count().orderBy("scan_id").collect() == [(1, 3), (2, 1)]
+    findings.write_sarif(one, f"file:{tmp_path}/sarif")
+    results = [json.loads(r.value) for r in spark.read.text(f"file:{tmp_path}/sarif/results").select("value").collect()]
+    rules = {x["properties"]["index"]: x["id"] for x in (json.loads(r.value) for r in spark.read.text(f"file:{tmp_path}/sarif/rules").select("value").collect())}
+    assert rules == {0: "b", 1: "a"} and all(rules[x["ruleIndex"]] == x["ruleId"] for x in results) and len(results) == 3
