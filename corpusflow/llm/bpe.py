@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, types as T
 from .common import add_columns, slices, with_columns
 
 #: Encoded chunks a worker keeps.
-KEPT = 400_000
+KEPT = 200_000
+#: Characters whose new chunks are encoded together.
+TOGETHER = 1_000_000
 #: Pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A single space between two characters that are no white space.
@@ -225,6 +227,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the encoded chunks at the end of a task: the worker may serve other operators next."""
+    for found in _ENCODERS.values():
+        found.first, found.inner = {}, {}
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -233,9 +241,10 @@ def default_vocabulary() -> str:
 def _map(docs: DataFrame, text_col: str, more: T.StructType, columns) -> DataFrame:
     def run(batches):
         for whole in batches:
-            for start, stop in slices(whole.column(text_col).to_pylist()):
+            for start, stop in slices(whole.column(text_col), TOGETHER):
                 batch = whole.slice(start, stop - start)
                 yield add_columns(batch, columns(batch.column(text_col).to_pylist()))
+        forget()
     return docs.mapInArrow(run, with_columns(docs.schema, more))
 
 

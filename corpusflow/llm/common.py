@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -74,17 +75,19 @@ def words_of(text: str | None, table: bytes = ALNUM) -> list[bytes]:
     return folded(text, table).split()
 
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive [start, end) runs of about ``chars`` characters; one very long text is a run alone."""
+def slices(texts: pa.Array | list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Consecutive [start, end) runs of about ``chars`` characters (bytes of an Arrow column); one very long text is
+    a run alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 64
+    for i, n in enumerate(sizes):
+        n += 64
         if i > start and size + n > chars:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def add_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -103,7 +103,7 @@ def _scan_block(docs: DataFrame, text_col: str, key: str, block, n: int, schema:
     def run(batches):
         tree = _automaton(key, block.value, n)
         for whole in batches:
-            for start, stop in slices(whole.column(text_col).to_pylist()):
+            for start, stop in slices(whole.column(text_col)):
                 batch = whole.slice(start, stop - start)
                 texts = batch.column(text_col).to_pylist()
                 before = [(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist())] if merge else []

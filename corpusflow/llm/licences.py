@@ -119,7 +119,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, in
         seen: dict[bytes, int] = {}
         rows = 0
         for batch in batches:
-            for start, stop in slices(batch.column(text_col).to_pylist()):
+            for start, stop in slices(batch.column(text_col)):
                 for text in batch.column(text_col).slice(start, stop - start).to_pylist():
                     rows += 1
                     for w in vocabulary.intersection(words_of(text)):
@@ -148,7 +148,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         index = Index(frequency, documents)
         for whole in batches:
-            for start, stop in slices(whole.column(text_col).to_pylist()):
+            for start, stop in slices(whole.column(text_col)):
                 batch = whole.slice(start, stop - start)
                 out = [[] for _ in kinds]
                 for text in batch.column(text_col).to_pylist():

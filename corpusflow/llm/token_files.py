@@ -20,6 +20,7 @@ Defined results
 """
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -37,6 +38,8 @@ FOOT = struct.Struct("<QQQ8s")
 END_ID = 1
 #: Words a worker keeps encoded.
 KEPT = 500_000
+#: Words of letters given to the library as one text.
+TOGETHER = 1_000
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("part", T.LongType()),
                          T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
@@ -47,12 +50,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A full stop or comma beside another mark: only there does white space around it change a token.
+BESIDE = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+#: White space to Python, not to the vocabulary.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+
+
 class WordEncoder:
     """The tokenizers library behind a bounded dictionary of words.
 
     The vocabulary normalises characters one by one and never makes a token across white space, so a
-    text's ids are those of its words.  New words go to the library; texts with
-    characters that Python and the vocabulary do not both call white space go there whole.
+    text's ids are those of its words.  New words go to the library once.  Words of letters are one
+    piece each, whose last token is marked as a word end: many go to the library as one text, and
+    the marks part the ids again.  Texts with characters that Python and the vocabulary do not both
+    call white space go to the library whole.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -61,24 +72,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         vocab = self.library.get_vocab()
-        self.width = "<u2" if max(vocab.values(), default=0) < 65536 else "<u4"
+        size = max(vocab.values(), default=0) + 1
+        self.width = "<u2" if size <= 65536 else "<u4"
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kept = kept
         self.words: dict[str, bytes] = {}
 
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Words that encode one by one as the text does; those of Latin-1 texts are lower-cased and
+        parted from stops and commas first, which makes far fewer of them new."""
+        if "<|" in text:  # may be a special token, which has one spelling
+            return text.split()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        text = text.lower()
+        if not BESIDE.search(text):
+            text = text.replace(",", " , ").replace(".", " . ")
+        return text.split()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only."""
+        out = []
+        for k in range(0, len(words), TOGETHER):
+            part = words[k:k + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                out += self._whole(part)
+                continue
+            raw, cuts = ids.tobytes(), (stops * ids.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0] + cuts[:-1], cuts)]
+        return out
+
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.words) > self.kept:
             self.words = {}
-        new = list(set().union(*lists) - self.words.keys())
-        self.words.update(zip(new, self._whole(new)))
+        new = set().union(*lists) - self.words.keys()
+        plain = [w for w in new if w.isalpha()]
+        rest = [w for w in new if not w.isalpha()]
+        self.words.update(zip(plain, self._together(plain)))
+        self.words.update(zip(rest, self._whole(rest)))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes, without the end id."""
         texts = [t or "" for t in texts]
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        lists = [t.split() for t in texts]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in CONTROLS)]
+        lists = [self.split(t) for t in texts]
         for i in odd:
             lists[i] = []
         self.learn(lists)
@@ -134,11 +180,11 @@ def _write_part(batches, folder: str, path: str, end_id: int):
     from pyspark import TaskContext
     writer = None
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for start, stop in slices(texts):
+        for start, stop in slices(batch.column("text")):
             writer = writer or PartWriter(folder, TaskContext.get().partitionId(), path, end_id)
-            writer.add(batch.column("id").slice(start, stop - start), texts[start:stop])
+            writer.add(batch.column("id").slice(start, stop - start), batch.column("text").slice(start, stop - start).to_pylist())
     if writer:
+        writer.enc.words = {}  # the worker may serve other operators next
         yield pa.RecordBatch.from_pydict(writer.close(), schema=pa.schema(
             [("path", pa.string()), ("part", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from corpusflow.llm import bpe, elias_fano, token_files
 
-PARTS = ["a", "B", "The", " ", "  ", "\n", "\t", "'s", "'re", "1", "23", "é", "É", "e\u0301", "ß", "İ", "Σ", "!!", "<|endoftext|>", "<|startoftext|>",
+PARTS = ["a", "B", "The", " ", "  ", "\n", "\t", "'s", "'re", "1", "23", "é", "É", "e\u0301", "ß", "İ", "Σ", "!!", "<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>", ".", ",", ".,", "a.b", "_.",
          "\x1c", "\x1f", "\xa0", "\u0085", "\u2028", "日本", "😀", "ﬁ", "'", "_", "\u200b", "\x00", "각"]
 
 
