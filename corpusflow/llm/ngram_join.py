@@ -5,8 +5,9 @@ in size bands: with threshold t a linked pair has sizes within a factor 1/t, so
 or in two neighbours.  For the larger set's band, t bounds the number k of n-grams that the two sets
 do not share.  Both are dealt by hash into k + 1 + e parts; a linked pair then has 1 + e parts exactly
 alike.  Every part that is not empty is a key (a set with more than e empty parts also gives those),
-so a linked pair always has a key in common, while other pairs hardly ever do.  Classes joined by
-common keys form groups; nothing is emitted per pair.
+so a linked pair always has keys in common, and each of the two has at least 1 + e keys, less its empty
+parts, that some other class has too.  Classes with fewer are linked with nothing; the others, joined
+by common keys, form groups.  Nothing is emitted per pair.
 
 A group is cut into size-ordered tiles of bounded total size, and only pairs of tiles whose sizes can
 link are compared.  In a pair of tiles each set has a hashed bitmap, one bit per n-gram, bits toggled.
@@ -120,14 +121,14 @@ class Bands:
         out = []
         for b in found:
             k = self.unshared(2 * self.high[b])
-            spare = 2 + k // 16
+            spare = 2 + k // 8
             out.append((b, k + 1 + spare, spare))
         return out
 
 
-def part_keys(grams: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set, as signed 64-bit."""
-    keys = []
+def part_keys(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+    """Keys of a set, as signed 64-bit, and the fewest of them that it has in common with any set it is linked to."""
+    keys, need = [], []
     second, third = _mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)), _mix(grams + np.uint64(0x632BE59BD9B4E019))
     for scheme, parts, spare in bands.schemes(len(grams)):
         part = (second % np.uint64(parts)).astype(np.int64)
@@ -137,13 +138,16 @@ def part_keys(grams: np.ndarray, bands: Bands) -> np.ndarray:
         tag = np.arange(parts, dtype=np.uint64) + np.uint64(scheme << 40)
         key = _mix(sums ^ _mix(tag * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64)))
         full = count > 0
-        keys.append(key if parts - full.sum() > spare else key[full])
-    return np.concatenate(keys).view(np.int64)
+        empty = int(parts - full.sum())
+        keys.append(key if empty > spare else key[full])
+        # 1 + spare parts are alike, of which at most the empty ones give no key
+        need.append(max(1, 1 + spare - empty))
+    return np.concatenate(keys).view(np.int64), min(need)
 
 
 CLASSES = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()),
                         T.StructField("key", T.BinaryType()), T.StructField("node", T.LongType()),
-                        T.StructField("parts", T.ArrayType(T.LongType()))])
+                        T.StructField("need", T.IntegerType()), T.StructField("parts", T.ArrayType(T.LongType()))])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()),
                      T.StructField("n", T.LongType()), T.StructField("grams", T.BinaryType())])
 LINKS = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
@@ -155,21 +159,25 @@ def set_key(grams: np.ndarray) -> bytes | None:
 
 def _read_sets(batches, n: int):
     for whole in batches:
-        texts = whole.column("text").to_pylist()
-        for start, stop in slices(texts):
-            yield whole.column("id").slice(start, stop - start), ngram_sets(texts[start:stop], n)
+        for start, stop in slices(whole.column("text")):
+            yield whole.column("id").slice(start, stop - start), ngram_sets(whole.column("text").slice(start, stop - start).to_pylist(), n)
 
 
 def _classes(batches, n: int, num: int, den: int):
-    bands = Bands(num, den)
+    bands, seen, none = Bands(num, den), set(), np.empty(0, np.int64)
     for ids, sets in _read_sets(batches, n):
-        keys = [set_key(s) for s in sets]
-        parts = [part_keys(s, bands) if len(s) else np.empty(0, np.int64) for s in sets]
+        keys, parts, need = [set_key(s) for s in sets], [], []
+        for key, s in zip(keys, sets):
+            # a set gives its keys once in a task: copies are combined before they are shuffled
+            found, least = part_keys(s, bands) if len(s) and key not in seen else (none, None)
+            parts.append(found)
+            need.append(least)
+            seen.add(key)
         cuts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
             pa.array([int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))],
+            pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))],
             names=CLASSES.names)
 
 
@@ -227,13 +235,37 @@ def _compare_group(group: pa.Table, num: int, den: int) -> pa.Table:
                      "v": pa.array([keys[j] for _, j in forest], pa.binary())})
 
 
+def _shared(batches):
+    """Of rows sorted by (part, node) those whose part another node has too; first and last row of the range always,
+    since their neighbours are not seen."""
+    schema = pa.schema([("part", pa.int64()), ("node", pa.int64())])
+    part, node, tied, first = np.empty(0, np.int64), np.empty(0, np.int64), False, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # the last row of a batch waits for the next one
+        part = np.concatenate((part[-1:], batch.column("part").to_numpy()))
+        node = np.concatenate((node[-1:], batch.column("node").to_numpy()))
+        pair = (part[1:] == part[:-1]) & (node[1:] != node[:-1])
+        keep = np.concatenate(([tied or first], pair)) | np.concatenate((pair, [False]))
+        tied, first = bool(keep[-1]), False
+        yield pa.RecordBatch.from_arrays([pa.array(part[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], schema=schema)
+    if len(part):
+        yield pa.RecordBatch.from_arrays([pa.array(part[-1:]), pa.array(node[-1:])], schema=schema)
+
+
 def _groups(classes: DataFrame) -> DataFrame:
     """``node, group``: classes connected by common keys."""
-    once = classes.filter(F.col("n") > 0).groupBy("node").agg(F.first("parts").alias("parts"))
-    rows = once.select("node", F.explode("parts").alias("part")).repartition("part")
-    shared = (rows.groupBy("part").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-              .filter(F.col("least") != F.col("most")).select("part", "least"))
-    edges = rows.join(shared.hint("shuffle_hash"), "part").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    rows = classes.select("node", F.explode("parts").alias("part"))
+    # ranges over (part, node) split a key that many classes share
+    ranged = rows.repartitionByRange("part", "node").sortWithinPartitions("part", "node")
+    shared = stored(ranged.mapInArrow(_shared, "part long, node long").distinct(), "ngram-shared")
+    # a linked class shares many keys; one that shares too few is linked with nothing
+    need = classes.filter(F.col("n") > 0).groupBy("node").agg(F.min("need").alias("need"))
+    live = shared.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(need, "node").filter(F.col("keys") >= F.col("need"))
+    rest = stored(shared.join(live.select("node"), "node"), "ngram-live")
+    least = rest.groupBy("part").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most"))
+    edges = rest.join(least, "part").select(F.col("least").alias("u"), F.col("node").alias("v"))
     return components(edges).select("node", F.col("root").alias("group"))
 
 
@@ -269,7 +301,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
         F.min("id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"))
     members = least.join(groups, "node").select("key", "id", "n", "group", (F.col("n") + 64).alias("weight"))
     tiles = stored(_tiles(members, num, den, tile), "ngram-tiles")
-    wanted = tiles.select(F.col("id").alias("wanted")).distinct()
+    # stored, so that its size is known: few ids are broadcast and no text moves but those wanted
+    wanted = stored(tiles.select(F.col("id").alias("wanted")).distinct(), "ngram-wanted")
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = texts.mapInArrow(lambda b: _sets(b, n), SETS).select("key", "grams")
     links = (sets.join(tiles.select("key", "task", "side"), "key")

@@ -86,7 +86,7 @@ def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``statistics``, an array of doubles."""
     def run(batches):
         for whole in batches:
-            for start, stop in slices(whole.column(text_col).to_pylist()):
+            for start, stop in slices(whole.column(text_col)):
                 batch = whole.slice(start, stop - start)
                 rows = [statistics(t) for t in batch.column(text_col).to_pylist()]
                 yield add_columns(batch, {"statistics": pa.array(rows, pa.list_(pa.float64()))})
@@ -196,5 +196,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The documents predicted to be of class 1, with their own columns; learns as ``judge`` does."""
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     model = train(stored(describe(narrow).drop("text"), "statistics"), labels, id_col)
-    judged = apply(describe(packed(docs, text_col)), model)
-    return unpacked(judged.filter(F.col("predicted") == 1), docs, text_col)
+    return unpacked(_accepted(packed(docs, text_col), model), docs, text_col)
+
+
+def _accepted(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows whose ``text`` the model puts in class 1, described and scored in one pass."""
+    def run(batches):
+        for whole in batches:
+            for start, stop in slices(whole.column("text")):
+                batch = whole.slice(start, stop - start)
+                found = np.array([statistics(t) for t in batch.column("text").to_pylist()])
+                yield batch.filter(pa.array(model.score(found) >= 0.5))
+    return rows.mapInArrow(run, rows.schema)
