@@ -11,9 +11,10 @@ by common keys, form groups.  Nothing is emitted per pair.
 
 A group is cut into size-ordered tiles of bounded total size, and only pairs of tiles whose sizes can
 link are compared.  In a pair of tiles each set has a hashed bitmap, one bit per n-gram, bits toggled.
-Differing bits cannot outnumber the n-grams not shared, so their count bounds the overlap from above;
-pairs that pass, and are not yet connected inside the task, are decided by intersecting the sorted
-arrays.  Tasks return a spanning forest of the links they find; components of those forests are the
+Differing bits cannot outnumber the n-grams not shared, so their count bounds the overlap from above.
+A first round compares the bitmaps alone, which are small, and splits groups that no possible link holds
+together; in the second, pairs that pass, and are not yet connected inside the task, are decided by
+intersecting the sorted arrays.  Tasks return a spanning forest of the links they find; components of those forests are the
 result, the same as components of all links.
 
 N-grams are 64-bit hashes; classes are told apart by 128 bits of their sets.
@@ -38,6 +39,8 @@ from .components import components
 
 #: N-grams of a tile at most, unless a single set has more; two tiles are one task's memory.
 TILE = 1_000_000
+#: Times as much in tiles of bitmaps alone.
+MARKED = 4
 #: Text characters hashed at once.
 HASHED_CHARS = 1_000_000
 
@@ -188,6 +191,58 @@ def _sets(batches, n: int):
             pa.array([s.tobytes() for s in sets], pa.binary())], names=SETS.names)
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Toggled bits of one set, about two to four for an n-gram."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    toggled = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(toggled.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _marks(batches, n: int):
+    for ids, sets in _read_sets(batches, n):
+        yield pa.RecordBatch.from_arrays([
+            ids, pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], names=SETS.names)
+
+
+def compare_marks(sizes: np.ndarray, marks: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that the bitmaps do not rule out, of sets ordered by size (so also by bits)."""
+    words = np.array([len(m) for m in marks])
+    first = {w: int(np.searchsorted(words, w)) for w in np.unique(words).tolist()}
+    tables = {(w, w): np.stack(marks[a:a + int((words == w).sum())]) for w, a in first.items()}
+
+    def table(w: int, to: int) -> np.ndarray:
+        # halves of toggled bits fold onto each other
+        if (w, to) not in tables:
+            wide = table(w, 2 * to)
+            tables[w, to] = wide[:, :to] ^ wide[:, to:]
+        return tables[w, to]
+
+    label, forest, crossing = np.arange(len(sizes)), [], len(np.unique(side)) > 1
+    for i in range(len(sizes) - 1):
+        rest = np.arange(i + 1, np.searchsorted(sizes, sizes[i] * den // num, "right"))
+        rest = rest[label[rest] != label[i]]
+        if crossing:
+            rest = rest[side[rest] != side[i]]
+        for w in np.unique(words[rest]).tolist():
+            part = rest[words[rest] == w]
+            apart = np.bitwise_count(table(w, int(words[i]))[part - first[w]] ^ marks[i]).sum(axis=1, dtype=np.int64)
+            total = sizes[part] + sizes[i]
+            for j in part[den * (total - apart) >= num * (total + apart)].tolist():
+                if label[j] != label[i]:
+                    forest.append((i, j))
+                    label[label == label[j]] = label[i]
+    return forest
+
+
+def _compare_marks_of(group: pa.Table, num: int, den: int) -> pa.Table:
+    found = {k: (n, g, s) for k, n, g, s in zip(*(group.column(c).to_pylist() for c in ("key", "n", "grams", "side")))}
+    keys = sorted(found, key=lambda k: (found[k][0], k))
+    forest = compare_marks(np.array([found[k][0] for k in keys], np.int64), [np.frombuffer(found[k][1], np.uint64) for k in keys],
+                           np.array([found[k][2] for k in keys]), num, den)
+    return pa.table({"u": pa.array([keys[i] for i, _ in forest], pa.binary()), "v": pa.array([keys[j] for _, j in forest], pa.binary())})
+
+
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     bits = max(64, 1 << (2 * max(map(len, sets)) - 1).bit_length())
     out = np.zeros((len(sets), bits // 64), np.uint64)
@@ -300,6 +355,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str =
     least = classes.filter(F.col("n") > 0).groupBy("key").agg(
         F.min("id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"))
     members = least.join(groups, "node").select("key", "id", "n", "group", (F.col("n") + 64).alias("weight"))
+    # first the bitmaps alone, a twentieth of the sets: groups that only chance keys tie fall apart
+    tiles = stored(_tiles(members, num, den, MARKED * tile), "ngram-mark-tiles")
+    wanted = stored(tiles.select(F.col("id").alias("wanted")).distinct(), "ngram-marked")
+    marks = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(lambda b: _marks(b, n), SETS)
+    possible = (marks.select("key", "n", "grams").join(tiles.select("key", "task", "side"), "key")
+                .groupBy("task").applyInArrow(lambda t: _compare_marks_of(t, num, den), LINKS))
+    close = components(possible).select(F.col("node").alias("key"), F.col("root").alias("group"))
+    members = least.join(close, "key").select("key", "id", "n", "group", (F.col("n") + 64).alias("weight"))
     tiles = stored(_tiles(members, num, den, tile), "ngram-tiles")
     # stored, so that its size is known: few ids are broadcast and no text moves but those wanted
     wanted = stored(tiles.select(F.col("id").alias("wanted")).distinct(), "ngram-wanted")
