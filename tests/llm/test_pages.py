@@ -168,6 +168,22 @@ def test_branches_that_a_host_repeats_are_removed(spark):
     assert html_text.extract(pages(spark, rows)).count() == len(rows) and html_text.extract(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("body", ["<html><body><article><h1>Head</h1><p>{0}</p></article></body></html>", "<html><body><h1>Head</h1><p>{0}</p></body></html>",
+                                  "<html><body><nav>{1}</nav><div><h1>Head</h1><p>{0}</p></div></body></html>"])
+def test_copies_on_a_host_keep_their_text(spark, body):
+    same = [(i, "http://copies.example/x", body.format("Equal text", i)) for i in range(60)]
+    own = [(100 + i, "http://copies.example/y", body.format(f"Own text {i}", i)) for i in range(3)]
+    out = {r.page_id: r.text for r in html_text.extract(pages(spark, same + own)).collect()}
+    assert {out[i] for i, _, _ in same} == {"Head\n\nEqual text"}
+    assert [out[100 + i] for i in range(3)] == [f"Head\n\nOwn text {i}" for i in range(3)]
+
+
+def test_low_branches_spare_marked_articles_and_never_empty_a_page():
+    low = lambda page: frozenset(html_text.paths(html_text.parse(page)))
+    for page, text in (("<html><body><main><p>a<p>b</main></body>", "a\n\nb"), ("<body><div><p>a</p></div></body>", "a")):
+        assert html_text.main_text(html_text.parse(page), low(page)) == text
+
+
 def test_importance_against_the_formula(spark):
     import math
     rows = [(f"<div class=a>{'x' if i < 9 else i}</div>", i) for i in range(10)]
