@@ -1,11 +1,11 @@
 """Licence notices by a positional index of rare template words.
 
 The templates' words are indexed by position.  Document frequencies of those words over the whole
-corpus give their weights.  In a document, the positions of its rarest licence words are looked up:
-an occurrence at p that a template has at q proposes the template at offset p - q, and proposals of
-several words are intersected.  A template at an offset is accepted when the weight of its words that
-stand at their relative position is a large share of the whole, and every mandatory key phrase of the
-template stands in the aligned stretch.
+corpus give their weights.  Of each template the rarest words are looked up, so many that one without
+any of them in place cannot reach the share: an occurrence at p that the template has at q proposes it at
+offset p - q, and every proposal is verified, so no other licence or word of the text can hide it.  A template
+at an offset is accepted when several of its words stand at their relative position, their weight is a large
+share of the whole, and every mandatory key phrase of the template stands in the aligned stretch.
 
 Base labels are independent of that: every place where a base phrase's words stand consecutively counts.
 Both passes are narrow; only counts of the template vocabulary, bounded by the templates, are gathered.
@@ -49,9 +49,7 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("reserved", "Copyright. All rights reserved.", ("all rights reserved",)),
 )
-#: Rarest licence words of a document that are looked up.
-LOOKED_UP = 8
-#: Words that have to propose the same offset.
+#: Words that have to stand in place at the same offset.
 AGREE = 2
 #: Share of a template's weight that has to stand in place.
 SHARE = 0.75
@@ -75,6 +73,18 @@ class Index:
         frequency = frequency or {}
         self.weight = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) + 1e-3 for w in self.vocabulary}
         self.total = [sum(self.weight[w] for w in words) for _, words, _ in self.templates]
+        self.rare = [self._rarest(words, total) for (_, words, _), total in zip(self.templates, self.total)]
+
+    def _rarest(self, words: list[bytes], total: float) -> list[tuple[bytes, list[int]]]:
+        """Rarest words with their positions; what is left of the template weighs less than its share."""
+        out, left = [], total
+        for w in sorted(set(words), key=lambda w: (-self.weight[w], w)):
+            if left < SHARE * total * (1 - 1e-9):
+                break
+            at = [q for q, v in enumerate(words) if v == w]
+            out.append((w, at))
+            left -= len(at) * self.weight[w]
+        return out
 
 
 def places(words: list[bytes], phrase: list[bytes], starts: list[int]) -> list[int]:
@@ -91,19 +101,14 @@ def scan_words(words: list[bytes], index: Index) -> dict:
             if w in at:
                 at[w].append(i)
     base = [(i, label) for phrase, label in index.base for i in places(words, phrase, at.get(phrase[0], []))]
-    rare = sorted((w for w in at if w in index.postings), key=lambda w: (-index.weight[w], w))[:LOOKED_UP]
-    proposed: dict[tuple[int, int], set[bytes]] = {}
-    for w in rare:
-        for t, q in index.postings[w]:
-            for p in at[w]:
-                proposed.setdefault((t, p - q), set()).add(w)
+    proposed = {(t, p - q) for t, rare in enumerate(index.rare) for w, positions in rare for p in at.get(w, ()) for q in positions}
     best: dict[str, tuple[float, int]] = {}
-    for (t, offset), agreeing in proposed.items():
+    for t, offset in sorted(proposed):
         label, template, keys = index.templates[t]
-        if len(agreeing) < AGREE:
+        inside = [w for q, w in enumerate(template) if 0 <= offset + q < len(words) and words[offset + q] == w]
+        if len(set(inside)) < AGREE:
             continue
-        share = sum(index.weight[w] for q, w in enumerate(template)
-                    if 0 <= offset + q < len(words) and words[offset + q] == w) / index.total[t]
+        share = sum(index.weight[w] for w in inside) / index.total[t]
         if share < SHARE or share <= best.get(label, (0.0, 0))[0]:
             continue
         stretch = words[max(0, offset):offset + len(template)]

@@ -141,6 +141,51 @@ def test_templates_need_their_key_phrases(spark):
     assert licences.scan(wide(spark, [])).count() == 0
 
 
+def aligned_by_brute_force(words, index):
+    """Accepted (label, template, offset) -> share, trying every template at every offset."""
+    out = {}
+    for t, (label, template, keys) in enumerate(index.templates):
+        for offset in range(1 - len(template), len(words)):
+            inside = [w for q, w in enumerate(template) if 0 <= offset + q < len(words) and words[offset + q] == w]
+            share = sum(index.weight[w] for w in inside) / index.total[t]
+            stretch = b" " + b" ".join(words[max(0, offset):max(0, offset + len(template))]) + b" "
+            if len(set(inside)) >= licences.AGREE and share >= licences.SHARE and all(b" " + b" ".join(k) + b" " in stretch for k in keys):
+                out[label, t, offset] = share
+    return out
+
+
+def test_no_word_of_a_text_hides_a_licence(spark):
+    prose = "any associated charge copy documentation files free granted hereby obtaining permission person software "
+    apache = "Licensed under the Apache License, Version 2.0"
+    rows = [(1, f"{licences.TEMPLATES[2][1]} x {apache}"), (2, prose + apache), (3, prose * 300 + "Licensed under CC BY-NC 4.0 y Released under the MIT License")]
+    # the words of the MIT notice are the rarest of all
+    docs = frame(spark, rows + [(100 + i, "apache license version 2 0 licensed cc by nc 4 mit released") for i in range(30)])
+    out = {r.doc_id: r.labels for r in licences.scan(docs).collect()}
+    assert [out[i] for i in (1, 2, 3)] == ["apache-2.0,mit", "apache-2.0", "cc-by,cc-by-nc,mit"]
+
+
+def test_licences_against_every_alignment():
+    rnd = random.Random(11)
+    index = licences.Index()
+    index = licences.Index({w: rnd.randint(0, 500) for w in sorted(index.vocabulary)}, 1000)
+    vocabulary = sorted(index.vocabulary)
+    several = 0
+    for _ in range(150):
+        words = []
+        for _ in range(rnd.randint(0, 6)):
+            notice = [w if rnd.random() < 0.93 else rnd.choice(vocabulary) for w in rnd.choice(index.templates)[1]]
+            words += notice[rnd.choice([0, 0, 1]):] + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 15))]
+        want = {}
+        for (label, _, _), share in aligned_by_brute_force(words, index).items():
+            want[label] = max(share, want.get(label, 0))
+        got = {}
+        for label, share, *_ in licences.scan_words(words, index)["matches"]:
+            got[label] = max(share, got.get(label, 0))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        several += len(want) > 2
+    assert several > 10
+
+
 # quality
 
 def test_quality_on_held_out_rows(spark):
