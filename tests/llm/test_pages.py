@@ -178,6 +178,16 @@ def test_copies_on_a_host_keep_their_text(spark, body):
     assert [out[100 + i] for i in range(3)] == [f"Head\n\nOwn text {i}" for i in range(3)]
 
 
+def test_a_notice_on_few_pages_of_a_large_host_is_removed(spark):
+    body = "<body><div class=text><p>Story {0}</p></div>{1}</body>"
+    rows = [(i, "http://large.example/x", body.format(i, "<div class=end>Same line on a section</div>" if i < 50 else "")) for i in range(3000)]
+    rows += [(i, "http://small.example/x", body.format(i, "<div class=end>Same line on a section</div>")) for i in range(5000, 5050)]
+    rows += [(6000, "http://large.example/x", "<article>Marked</article>" + rows[0][2]), (None, "http://large.example/x", rows[1][2]), (0, *rows[0][1:])]
+    out = html_text.extract(pages(spark, rows)).collect()
+    assert len(out) == len(rows)
+    assert {(r.page_id, r.text) for r in out} == {(i, f"Story {i}") for i, _, _ in rows[:3050]} | {(6000, "Marked"), (None, "Story 1")}
+
+
 def test_low_branches_spare_marked_articles_and_never_empty_a_page():
     low = lambda page: frozenset(html_text.paths(html_text.parse(page)))
     for page, text in (("<html><body><main><p>a<p>b</main></body>", "a\n\nb"), ("<body><div><p>a</p></div></body>", "a")):
