@@ -188,6 +188,24 @@ def test_a_notice_on_few_pages_of_a_large_host_is_removed(spark):
     assert {(r.page_id, r.text) for r in out} == {(i, f"Story {i}") for i, _, _ in rows[:3050]} | {(6000, "Marked"), (None, "Story 1")}
 
 
+@pytest.mark.parametrize("body", ["<div><p>Same notice</p></div><div>{0}</div>", "<div>{0}</div><div><p>Same notice</p></div>",
+                                  "<section>{0}<p>Same notice</section>", "<p>Same notice{0}"])
+def test_unclassed_siblings_are_told_apart(spark, body):
+    story = lambda i: [f"Story {i} {k}" for k in range(1 + i % 4)]
+    rows = [(i, "http://plain.example/x", "<html><body>" + body.format("".join(f"<p>{x}</p>" for x in story(i))) + "</body></html>") for i in range(40)]
+    out = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert out == {i: "\n\n".join(story(i)) for i in range(40)}
+
+
+def test_paragraphs_in_many_presentations_stay(spark):
+    tags = [a + b for a in "bius" for b in ("", *"bius")] + ["em", "strong", "code", "q", "sub", "sup", "small", "var", "kbd", "cite"]
+    tags = [f"x{t}" for t in tags]
+    rows = [(i, "http://many.example/x", f"<p>Story {i}</p>" if i >= len(tags) else f"<p>Story {i}<{tags[i]}></{tags[i]}></p>") for i in range(3000)]
+    rows = [(i, u, h + "<div>Top line</div>") for i, u, h in rows]
+    out = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert out == {i: f"Story {i}" for i in range(3000)}
+
+
 def test_low_branches_spare_marked_articles_and_never_empty_a_page():
     low = lambda page: frozenset(html_text.paths(html_text.parse(page)))
     for page, text in (("<html><body><main><p>a<p>b</main></body>", "a\n\nb"), ("<body><div><p>a</p></div></body>", "a")):
