@@ -12,7 +12,7 @@ Both passes are narrow; only counts of the template vocabulary, bounded by the t
 
 Defined results
   NULL and empty texts have no words, no labels and score 0.  Very long texts are read whole; overlapping
-  phrases all count.  Where several offsets of a template are accepted the best counts once as a label.
+  phrases all count.  Every accepted (label, template, offset) is a match of its own; a label counts once.
   The score is the largest accepted share, or 1 where a base phrase stands.
 """
 from __future__ import annotations
@@ -102,19 +102,19 @@ def scan_words(words: list[bytes], index: Index) -> dict:
                 at[w].append(i)
     base = [(i, label) for phrase, label in index.base for i in places(words, phrase, at.get(phrase[0], []))]
     proposed = {(t, p - q) for t, rare in enumerate(index.rare) for w, positions in rare for p in at.get(w, ()) for q in positions}
-    best: dict[str, tuple[float, int]] = {}
+    matches: list[tuple[str, float, int, int]] = []
     for t, offset in sorted(proposed):
         label, template, keys = index.templates[t]
         inside = [w for q, w in enumerate(template) if 0 <= offset + q < len(words) and words[offset + q] == w]
         if len(set(inside)) < AGREE:
             continue
         share = sum(index.weight[w] for w in inside) / index.total[t]
-        if share < SHARE or share <= best.get(label, (0.0, 0))[0]:
+        if share < SHARE:
             continue
         stretch = words[max(0, offset):offset + len(template)]
         if all(any(stretch[i:i + len(k)] == k for i in range(len(stretch))) for k in keys):
-            best[label] = (share, max(0, offset))
-    return {"base": sorted(base), "matches": sorted((label, share, start) for label, (share, start) in best.items())}
+            matches.append((label, share, max(0, offset), t))
+    return {"base": sorted(base), "matches": sorted(matches, key=lambda m: (m[0], m[2], m[3]))}
 
 
 def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], int]:
@@ -141,13 +141,13 @@ FOUND = T.StructType([
     T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("matches", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("share", T.DoubleType()),
-                                                       T.StructField("first_word", T.LongType())])))])
+                                                       T.StructField("first_word", T.LongType()), T.StructField("template", T.LongType())])))])
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts, labels, score and accepted templates."""
     frequency, documents = frequencies(docs, text_col)
-    match = pa.list_(pa.struct([("label", pa.string()), ("share", pa.float64()), ("first_word", pa.int64())]))
+    match = pa.list_(pa.struct([("label", pa.string()), ("share", pa.float64()), ("first_word", pa.int64()), ("template", pa.int64())]))
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), match]
 
     def run(batches):
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     row = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None,
                            ",".join(sorted(names)), ",".join(sorted(names | {m[0] for m in matches})),
                            1.0 if base else min(1.0, max((m[1] for m in matches), default=0.0)),
-                           [{"label": a, "share": min(1.0, b), "first_word": c} for a, b, c in matches])
+                           [{"label": a, "share": min(1.0, b), "first_word": c, "template": d} for a, b, c, d in matches])
                     for column, value in zip(out, row):
                         column.append(value)
                 yield add_columns(batch, {f.name: pa.array(v, k) for f, v, k in zip(FOUND, out, kinds)})

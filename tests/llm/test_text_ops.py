@@ -164,6 +164,15 @@ def test_no_word_of_a_text_hides_a_licence(spark):
     assert [out[i] for i in (1, 2, 3)] == ["apache-2.0,mit", "apache-2.0", "cc-by,cc-by-nc,mit"]
 
 
+def test_every_accepted_place_is_a_match(spark):
+    apache = licences.TEMPLATES[0][1]
+    rows = [(1, f"{apache} xx " * 10), (2, f"{licences.TEMPLATES[1][1]} y {licences.TEMPLATES[2][1]}")]
+    out = {r.doc_id: r for r in licences.scan(frame(spark, rows + [(100 + i, "plain words") for i in range(50)])).collect()}
+    assert [(m.label, m.template, m.first_word) for m in out[1].matches] == [("apache-2.0", 0, 9 * i) for i in range(10)]
+    assert [(m.label, m.template, m.first_word) for m in out[2].matches] == [("mit", 1, 0), ("mit", 2, 6)]
+    assert [(out[i].labels, out[i].score) for i in (1, 2)] == [("apache-2.0", 1.0), ("mit", 1.0)]
+
+
 def test_licences_against_every_alignment():
     rnd = random.Random(11)
     index = licences.Index()
