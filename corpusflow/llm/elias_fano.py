@@ -87,15 +87,27 @@ class Sequence:
             value |= both >> shift & ((1 << self.low) - 1)
         return self.base + value
 
-    def all(self) -> np.ndarray:
-        """Every value, for a reader that goes through the whole part."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[:self.n]
-        value = (ones - np.arange(self.n)) << self.low
+    def run(self, first: int, stop: int) -> np.ndarray:
+        """Values ``first`` to before ``stop``: select finds the ends, the words between them are scanned."""
+        if not 0 <= first <= stop <= self.n:
+            raise IndexError((first, stop))
+        if first == stop:
+            return np.empty(0, np.int64)
+        begin, end = self.select(first), self.select(stop - 1)
+        words = self.high[begin // 64:end // 64 + 1].view(np.uint8)
+        ones = np.flatnonzero(np.unpackbits(words, bitorder="little")) + begin // 64 * 64
+        ones = ones[np.searchsorted(ones, begin):][:stop - first]
+        index = np.arange(first, stop)
+        value = (ones - index) << self.low
         if self.low:
-            at = np.arange(self.n, dtype=np.uint64) * np.uint64(self.low)
+            at = index.astype(np.uint64) * np.uint64(self.low)
             word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
             part = self.words[word] >> shift
             spill = shift + np.uint64(self.low) > 64
             part[spill] |= self.words[word[spill] + 1] << (np.uint64(64) - shift[spill])
             value |= (part & np.uint64((1 << self.low) - 1)).astype(np.int64)
         return value + self.base
+
+    def all(self) -> np.ndarray:
+        """Every value."""
+        return self.run(0, self.n)

@@ -20,6 +20,7 @@ Defined results
 """
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 import uuid
@@ -229,6 +230,10 @@ class Part:
     def name(self, i: int) -> int | None:
         return None if i < self.nulls else self.names[i - self.nulls]
 
+    def run_names(self, first: int, stop: int) -> list[int | None]:
+        nulls = max(0, min(stop, self.nulls) - first)
+        return [None] * nulls + self.names.run(first + nulls - self.nulls, stop - self.nulls).tolist() if nulls < stop - first else [None] * nulls
+
 
 def _places(manifest: DataFrame) -> list[tuple[str, int]]:
     """Path of each part and the number of ids before it; one row per part, not per document."""
@@ -243,15 +248,18 @@ READ = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T
                      T.StructField("ids", T.ArrayType(T.LongType()))])
 #: Ids of a part that a reading task holds at once.
 READ_IDS = 2_000_000
+#: Documents of a run at most, many of which may be empty.
+READ_DOCS = 100_000
 
 
 def _runs(part: Part):
     """Documents of a part as runs: number of the first, their boundaries, their ids."""
-    bounds = part.bounds.all()
     first = 0
     while first < len(part):
-        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + READ_IDS, "right")) - 1)
-        yield first, bounds[first:last + 1], part.ids(int(bounds[first]), int(bounds[last]))
+        full = bisect.bisect_right(part.bounds, part.bounds[first] + READ_IDS, first + 1, min(len(part), first + READ_DOCS) + 1) - 1
+        last = max(first + 1, full)
+        bounds = part.bounds.run(first, last + 1)
+        yield first, bounds, part.ids(int(bounds[0]), int(bounds[-1]))
         first = last
 
 
@@ -262,9 +270,9 @@ def _each(spark: SparkSession, manifest: DataFrame, schema: T.StructType, column
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
                 part = Part(path)
-                names = [None] * part.nulls + part.names.all().tolist()
                 for first, bounds, ids in _runs(part):
-                    docs = [(names[first + k], before + int(bounds[k]), ids[bounds[k] - bounds[0]:bounds[k + 1] - bounds[0]])
+                    names = part.run_names(first, first + len(bounds) - 1)
+                    docs = [(names[k], before + int(bounds[k]), ids[bounds[k] - bounds[0]:bounds[k + 1] - bounds[0]])
                             for k in range(len(bounds) - 1)]
                     yield pa.RecordBatch.from_pydict(columns(docs), schema=arrow)
     rows = spark.createDataFrame(places, "path string, before long")

@@ -118,3 +118,29 @@ def test_one_document_is_read_by_position(spark):
 def test_no_documents(spark):
     manifest = token_files.write(wide(spark, []))
     assert token_files.read_digests(spark, manifest).count() == 0
+
+
+def test_reading_decodes_run_by_run(spark, monkeypatch):
+    rnd = random.Random(12)
+    for low, n in ((0, 300), (3, 700), (11, 1000), (1 << 40, 500)):
+        values = np.sort(np.array([rnd.randint(0, n * (low + 1)) for _ in range(n)], np.int64))
+        code = elias_fano.Sequence(elias_fano.encode(values))
+        for _ in range(60):
+            first = rnd.randint(0, n)
+            stop = rnd.randint(first, n)
+            assert code.run(first, stop).tolist() == values[first:stop].tolist()
+    rows = [(None if i < 5 else i, "word " * (i % 7)) for i in range(60)]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"))
+    monkeypatch.setattr(token_files, "READ_IDS", 20)
+    monkeypatch.setattr(token_files, "READ_DOCS", 7)
+    monkeypatch.delattr(elias_fano.Sequence, "all")
+    seen = 0
+    for r in manifest.collect():
+        part = token_files.Part(r.path)
+        for first, bounds, ids in token_files._runs(part):
+            names = part.run_names(first, first + len(bounds) - 1)
+            assert 1 <= len(names) <= 7
+            for k, name in enumerate(names):
+                assert name == part.name(first + k) and ids[bounds[k] - bounds[0]:bounds[k + 1] - bounds[0]].tolist() == part.document(first + k).tolist()
+            seen += len(names)
+    assert seen == 60
