@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,12 +27,61 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind; for writes, after which nothing reads those again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def _written(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
+    writer = df.write.option("compression", compression) if compression else df.write
+    with shuffles_dropped(df.sparkSession):
+        writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, safe against lost executors,
     and Spark knows its size when it plans what follows."""
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, shared_folder(df.sparkSession, label))
+
+
+class Scratch:
+    """Intermediate tables of one run in the shared folder, deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.paths = spark, shared_folder(spark, label), {}
+
+    def keep(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        """``df`` written and read back.  A table kept under the same name before is deleted once this one is written."""
+        path, before = f"{self.root}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
+        out = _written(df, path, compression)
+        self.paths[name] = path
+        if before:
+            delete_folder(before)
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete_folder(self.paths.pop(name))
+
+    def close(self) -> None:
+        """Delete everything; results that outlive the run are stored elsewhere first."""
+        if self.paths:
+            delete_folder(self.root)
+        self.paths = {}
 
 
 def with_columns(schema: StructType, more: StructType) -> StructType:
@@ -121,3 +171,8 @@ def file_system(path: str):
     """File system and path inside it for a shared folder's URI, usable in tasks."""
     from pyarrow import fs
     return fs.FileSystem.from_uri(as_uri(path))
+
+
+def delete_folder(path: str) -> None:
+    system, place = file_system(path)
+    system.delete_dir(place)

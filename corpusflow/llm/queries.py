@@ -130,3 +130,76 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op13_hard_negatives", r"""
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS s
+      FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.q) = len(b.q)),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+       n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s
+QUALIFY rank <= 5""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hard_negatives
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by a recursion over each conversation's rows: s0 to s3 are the best (cost, audit, turns) so far in
+    each state of the pattern, e2 and e3 the same after insertions."""
+    def more(state: str, cost: str, letter: str, turn: str | None) -> str:
+        turns = f"list_append({state}.t, {turn})" if turn else f"{state}.t"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {turns}}} END"
+
+    def least(*of: str) -> str:
+        return f"list_min([{', '.join(of)}])"
+
+    def read(state: str, role: str, initial: str) -> list[str]:
+        kept = more(state, "late", "K", "role || ':' || text")
+        changed = more(state, "3 + late", "R", f"'{role}:' || text")
+        return [f"CASE WHEN fault < 1 OR fault = 3 THEN CASE WHEN left(role, 1) = '{initial}' THEN {kept} ELSE {changed} END END"]
+
+    e2 = least("s2", *(more(s, "3", "I", "'user:'") for s in ("s0", "s1", "s3")))
+    e3 = least("s3", more("e2", "3", "I", "'assistant:'"))
+    drop = [more(s, "4", "D", None) for s in ("s0", "s1", "e2", "e3")]
+    system = "CASE WHEN (fault < 1 OR fault = 3) AND left(role, 1) = 's' THEN " + more("s0", "late", "K", "role || ':' || text") + " END"
+    kind = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    return rf"""
+WITH RECURSIVE bits AS (SELECT list(list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda t, j: xor(t >> 1, CASE WHEN t % 2 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS crc
+              FROM (SELECT unnest(range(256)) AS i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+               lambda t, b: xor(t >> 8, crc[(xor(t, b) % 256) + 1])), 4294967295) % 20 AS k
+      FROM conversations, bits),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 2
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM d),
+f AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS late, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r),
+g AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+             count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+             count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+st AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 't': []}} AS {kind}) AS s0, CAST(NULL AS {kind}) AS s1, CAST(NULL AS {kind}) AS s2, CAST(NULL AS {kind}) AS s3 FROM g
+  UNION ALL
+  SELECT conv_id, i, {drop[0]}, {least(drop[1], system)}, {least(drop[2], *read("s0", "user", "u"), *read("s1", "user", "u"), *read("e3", "user", "u"))},
+         {least(drop[3], *read("e2", "assistant", "a"))}
+  FROM (SELECT *, {e3} AS e3 FROM (SELECT st.conv_id, f.i, s0, s1, s2, s3, role, text, fault, late, {e2} AS e2 FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1))),
+o AS (SELECT conv_id, {least("s0", "e3")} AS o FROM (SELECT *, {e3} AS e3 FROM (SELECT st.*, {e2} AS e2 FROM st JOIN g ON g.conv_id IS NOT DISTINCT FROM st.conv_id AND g.n = st.i)))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(o.c, 0) AS cost, coalesce(o.a, '') AS audit, sha256(coalesce(array_to_string(o.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@query("op12_conversation_repair", _repair_sql())
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversations
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
