@@ -179,10 +179,10 @@ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS
 d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
              CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
       FROM (SELECT *, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0)),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
-                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 2
-                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM d),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)),
 f AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS late, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r),
 g AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
              count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
@@ -203,3 +203,21 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import conversations
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_suffix_array", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, doc_id, i, hash(substring(h, 2 * i + 1, 100)) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+c AS (SELECT r, i, CASE WHEN lag(i) OVER w IS NULL OR i > lag(i) OVER w + 50 THEN 1 ELSE 0 END AS new
+      FROM g JOIN m USING (s) WHERE least < doc_id WINDOW w AS (PARTITION BY r ORDER BY i)),
+p AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM c) GROUP BY r, k),
+k AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM
+      (SELECT r, a, b FROM p UNION ALL SELECT r, len(h) // 2, len(h) // 2 + 1 FROM d)),
+t AS (SELECT k.r, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS rest FROM k JOIN d ON d.r = k.r GROUP BY k.r),
+n AS (SELECT r, count(*) AS spans, sum(b - a) AS gone FROM p GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM d LEFT JOIN t ON t.r = d.r LEFT JOIN n ON n.r = d.r""")
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))

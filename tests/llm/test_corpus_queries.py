@@ -24,7 +24,8 @@ def sides():
     return check, con, e.queries(), e.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["op3_ngram_join", "op5_benchmark_decontamination", "op7_warc", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op5_benchmark_decontamination", "op7_warc", "op10_exact_dedup", "op11_suffix_array",
+                                  "op12_conversation_repair", "op13_hard_negatives"])
 def test_query_equals_sql(spark, sides, name):
     check, con, queries, sql = sides
     df = queries[name](spark, SF)
@@ -34,7 +35,7 @@ def test_query_equals_sql(spark, sides, name):
 
 def test_one_query_for_each_operator(sides):
     names = [n for n in sides[2] if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in sides[2]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in sides[2]
 
 
 def test_pipeline_equals_brute_force(spark, sides):
