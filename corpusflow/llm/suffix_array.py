@@ -34,6 +34,8 @@ from .common import Scratch
 RANGE = 1 << 19
 #: Prefixes in the sample at most.
 SAMPLED = 400_000
+#: The last merge moves most: it is done for a part of the ranges at a time.
+ROUNDS = 3
 
 LOAD = "unit long, range long, load binary"
 LOAD_ARROW = pa.schema([("unit", pa.int64()), ("range", pa.int64()), ("load", pa.binary())])
@@ -63,6 +65,20 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def least_bytes(a: np.ndarray, size: int) -> np.ndarray:
+    """The lowest ``size`` bytes of numbers, one row each."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(a), 8)[:, :size])
+
+
+def number(a: np.ndarray) -> np.ndarray:
+    """Numbers from an array of numbers or from ``least_bytes``."""
+    if a.ndim == 1:
+        return a.astype(np.uint64)
+    out = np.zeros((len(a), 8), np.uint8)
+    out[:, :a.shape[1]] = a
+    return out.view("<u8").ravel()
+
+
 def rows_of(table: np.ndarray) -> np.ndarray:
     """Byte rows as fixed-width strings, which compare like the bytes."""
     return np.ascontiguousarray(table).view(f"S{table.shape[1]}").ravel()
@@ -240,7 +256,7 @@ def _gather(loads: list[bytes]) -> tuple[list[list[np.ndarray]], list[list[int]]
     messages = [unpack(x) for x in loads]
     fields, sizes, at = [], [], 0
     for count in (4, 3, 4):
-        fields.append([np.concatenate([m[at + k].astype(np.uint64) for m in messages]) for k in range(count)])
+        fields.append([np.concatenate([number(m[at + k]) for m in messages]) for k in range(count)])
         sizes.append([len(m[at]) for m in messages])
         at += count
     return fields, sizes
@@ -263,7 +279,8 @@ def _least_owners(loads: list[bytes]) -> tuple[list[bytes], int]:
     fields, sizes = _gather(loads)
     places = merge(*fields)
     place = np.concatenate([np.concatenate(x) for x in _back(places, sizes)])
-    prefix, owner = (np.concatenate(x) for x in zip(*(unpack(x)[11:] for x in loads)))
+    tails = [unpack(x)[11:] for x in loads]
+    prefix, owner = np.concatenate([number(t[0]) for t in tails]), np.concatenate([t[2][t[1]] for t in tails])
     order = np.empty(len(place), np.int64)
     order[place] = np.arange(len(place))
     same = prefix[order][1:] == prefix[order][:-1]
@@ -392,7 +409,7 @@ def least_owners(units: DataFrame, length: int, scratch: Scratch, range_size: in
         number[order] = np.arange(len(order))
         return start[first][order], prefix[first][order], number[inverse]
 
-    def remaining(row: dict, replies) -> list[dict]:
+    def remaining(row: dict, replies, turn: int) -> list[dict]:
         u = layout(row)
         order, inverse0, inverse1, inverse2 = _own(replies)
         ranks = np.empty(len(order), np.int64)
@@ -413,20 +430,23 @@ def least_owners(units: DataFrame, length: int, scratch: Scratch, range_size: in
         p0, p1, p2 = p[kind == 0], p[kind == 1], p[kind == 2]
         fields = [u.big(p0, c), u.big(p0 + c, c), rank[p0 + c], rank[p0 + 2 * c], rank[p1], u.big(p1, c), rank[p1 + c],
                   rank[p2], u.big(p2, c), u.big(p2 + c, c), rank[p2 + 2 * c]]
-        return _send_classes(row["unit"], u, (p0, p1, p2), fields, splitters, length, [], [prefix, owner])
+        return _send_classes(row["unit"], u, (p0, p1, p2), fields, splitters, length, [], [prefix, owner], turn)
 
-    last, _ = exchange(scratch, "owners", units, third, remaining, _least_owners)
+    last = None
+    for turn in range(ROUNDS):
+        some, _ = exchange(scratch, f"owners{turn}", units, third, lambda row, replies, t=turn: remaining(row, replies, t), _least_owners)
+        last = some if last is None else last.unionByName(some)
     scratch.drop("ranks")
 
     def minima(row: dict, replies) -> np.ndarray:
         u = layout(row)
-        (order,) = _own(replies)
         chosen, _, number = suffixes(u)
         owners = np.frombuffer(row["owners"], np.int64)
         start = np.flatnonzero(u.left > 0)
         own = np.full(len(chosen), np.iinfo(np.int64).max)
         np.minimum.at(own, number, owners[u.segment[start]])
-        entries = np.bincount(u.ranges(u.position[chosen], splitters, length), minlength=ranges)
+        part = u.ranges(u.position[chosen], splitters, length)
+        order, entries = np.argsort(part, kind="stable"), np.bincount(part, minlength=ranges)
         ordered, at = own[order], 0
         for k, load in replies:
             if k < 0:
@@ -442,9 +462,18 @@ def least_owners(units: DataFrame, length: int, scratch: Scratch, range_size: in
     return last, minima
 
 
+def _short(a: np.ndarray) -> np.ndarray:
+    """Numbers in the least width; those of five to seven bytes as bytes."""
+    top = int(a.max(initial=0))
+    return narrow(a) if top < 1 << 32 or top >= 1 << 56 else least_bytes(a, (top.bit_length() + 7) // 8)
+
+
 def _send_classes(unit: int, u: Unit, at: tuple, fields: list[np.ndarray], splitters: np.ndarray, length: int,
-                  keep: list[np.ndarray], tails: list[np.ndarray] = ()) -> list[dict]:
-    """Messages with the fields of each class, then fields over all classes; kept: the order of entries in the messages."""
+                  keep: list[np.ndarray], tails: list[np.ndarray] = (), turn: int | None = None) -> list[dict]:
+    """Messages with the fields of each class, then prefix and owner over all classes; kept: the order of entries.
+
+    ``turn``: only for ranges of that round.
+    """
     sizes = [len(p) for p in at]
     bounds = np.cumsum([0, *sizes])
     part = u.ranges(np.concatenate(at), splitters, length)
@@ -454,8 +483,15 @@ def _send_classes(unit: int, u: Unit, at: tuple, fields: list[np.ndarray], split
         own, k = [], 0
         for cls, count in enumerate(counts):
             inside = x[(x >= bounds[cls]) & (x < bounds[cls + 1])] - bounds[cls]
-            own += [narrow(fields[k + j][inside]) for j in range(count)]
+            own += [_short(fields[k + j][inside]) for j in range(count)]
             k += count
-        return pack(*own, *[t[x] for t in tails])
+        if not tails:
+            return pack(*own)
+        # few owners in a message: a table of them and a number per entry
+        names, name = np.unique(tails[1][x], return_inverse=True)
+        return pack(*own, least_bytes(tails[0][x], 6), narrow(name), names)
+    if turn is not None:
+        mine = np.flatnonzero(part % ROUNDS == turn)
+        return _by_range(unit, part[mine], lambda x: load(mine[x]))
     order = np.argsort(part, kind="stable")
     return [*_by_range(unit, part, load), {"unit": unit, "range": -2 - unit, "load": pack(narrow(order), *keep)}]
