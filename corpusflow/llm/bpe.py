@@ -7,7 +7,11 @@ leftmost pair of lowest rank.  A merge changes at most three leaves, each update
 steps, until the root is empty.  All new pre-tokens of a slice of text with the same tree width are
 merged together, one numpy row each, so a step costs a few array operations for thousands of words.
 
-Workers keep a bounded dictionary of chunks already encoded; it changes speed, never results.
+A pre-token that is still merging when few others are, such as one of a million letters, goes on in a
+plain tree of its own.
+
+Workers keep a bounded dictionary of chunks already encoded, until another operator takes the worker; it
+changes speed, never results.
 Everything is a narrow map over the documents: no shuffle, and memory is bounded by one slice.
 
 Defined results
@@ -26,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import add_columns, slices, with_columns
+from .common import add_columns, slices, take_worker, with_columns
 
 #: Encoded chunks a worker keeps.
-KEPT = 200_000
+KEPT = 400_000
 #: Characters whose new chunks are encoded together.
 TOGETHER = 1_000_000
 #: Pre-token pattern of the byte-level vocabulary (fixed value).
@@ -40,6 +44,10 @@ BORDER = re.compile(r"(?<=\S) (?=\S)")
 IRREGULAR = re.compile(r"  | [\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 #: The same for texts of ASCII only.
 UNEVEN = ["  ", *(p for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for p in (" " + c, c + " "))]
+#: Words of these letters are one pre-token, and so is one of these marks behind them.
+SIMPLE, MARKS = "\u0250", ".,;:!?"
+#: Pre-tokens that are stepped together at least; fewer are merged one by one.
+FEW = 8
 NONE = np.iinfo(np.int64).max
 
 
@@ -62,24 +70,55 @@ class Vocabulary:
         for letter, b in letters.items():
             self.first[b] = vocab[letter]
         self.width = 1 + max(self.bytes_of)
-        self.names = {i: str(i) for i in self.bytes_of}
+        self.kind = np.dtype("<u2" if self.width <= 1 << 16 else "<u4")
+        self.names = [str(i) for i in range(self.width)]
+        self.raw = [self.bytes_of.get(i, b"") for i in range(self.width)]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs] or [-1], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs] or [0], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
+        self.pairs = dict(zip(self.keys.tolist(), self.rank.tolist()))
+        self._file()
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
 
+    def _file(self) -> None:
+        """Keys by hash, each in the first free place from its own on."""
+        bits = max(4, (4 * len(self.keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.place, self.value = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int64)
+        for key, at, rank in zip(self.keys.tolist(), self._home(self.keys).tolist(), self.rank.tolist()):
+            while self.place[at] >= 0:
+                at = (at + 1) & self.mask
+            self.place[at], self.value[at] = key, rank
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, NONE where the vocabulary has no such merge."""
         key = left.astype(np.int64) * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], NONE)
+        at = self._home(key)
+        there = self.place[at]
+        out = np.where(there == key, self.value[at], NONE)
+        left_over = np.flatnonzero((there != key) & (there >= 0))
+        while len(left_over):
+            at[left_over] = (at[left_over] + 1) & self.mask
+            there = self.place[at[left_over]]
+            same = there == key[left_over]
+            out[left_over[same]] = self.value[at[left_over[same]]]
+            left_over = left_over[~same & (there >= 0)]
+        return out
 
 
 def merge_words(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
-    """Token ids of each pre-token (none empty), by a segment tree per word."""
+    """Token ids of each pre-token (none empty)."""
+    return [np.frombuffer(x, vocab.kind).tolist() for x in merged(words, vocab)]
+
+
+def merged(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
+    """Token ids of each pre-token (none empty) as little-endian bytes, by a segment tree per word."""
     out: list = [None] * len(words)
     sizes = np.array([len(w) for w in words], np.int64)
     widths = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64))
@@ -93,7 +132,7 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
     return out
 
 
-def _merge_block(words: list[bytes], sizes: np.ndarray, width: int, vocab: Vocabulary) -> list[list[int]]:
+def _merge_block(words: list[bytes], sizes: np.ndarray, width: int, vocab: Vocabulary) -> list[bytes]:
     rows, across = len(words), width + 1
     text = np.zeros((rows, across), np.int32)
     used = np.arange(across)[None, :] < sizes[:, None]
@@ -114,7 +153,7 @@ def _merge_block(words: list[bytes], sizes: np.ndarray, width: int, vocab: Vocab
     # from here on flat views: position p of row r is r * across + p, node n is r * 2 * width + n
     text, following, before, nodes, kept = text.ravel(), following.ravel(), before.ravel(), tree.ravel(), used.ravel()
     live = np.flatnonzero(nodes[1::2 * width] != NONE)
-    while len(live):
+    while len(live) > FEW:
         line, base = live * across, live * (2 * width)
         rank, at = np.divmod(nodes[base + 1], width)
         here = line + at
@@ -134,11 +173,48 @@ def _merge_block(words: list[bytes], sizes: np.ndarray, width: int, vocab: Vocab
         for place, value in ((gone, leaf[2]), (at, leaf[0]), (np.where(led, prior, gone), np.where(led, leaf[1], leaf[2]))):
             _set_leaf(nodes, base, place, value, width)
         live = live[nodes[base + 1] != NONE]
+    for r in live.tolist():
+        own, tree = slice(r * across, (r + 1) * across), slice(r * 2 * width, (r + 1) * 2 * width)
+        text[own], kept[own] = _merge_one(text[own].tolist(), following[own].tolist(), before[own].tolist(), kept[own].tolist(),
+                                          nodes[tree].tolist(), width, vocab)
     kept = kept.reshape(rows, across)[:, :width]
-    flat, ends = text.reshape(rows, across)[:, :width][kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+    flat = text.reshape(rows, across)[:, :width][kept].astype(vocab.kind).tobytes()
+    ends = (np.cumsum(kept.sum(axis=1)) * vocab.kind.itemsize).tolist()
     return [flat[a:b] for a, b in zip([0] + ends[:-1], ends)]
 
 
+def _merge_one(text: list[int], following: list[int], before: list[int], kept: list[bool], nodes: list[int], width: int,
+               vocab: Vocabulary) -> tuple[list[int], list[bool]]:
+    """The same steps for one pre-token alone."""
+    made, pairs, size = vocab.made.tolist(), vocab.pairs, vocab.width
+
+    def put(leaf: int, value: int) -> None:
+        node = leaf + width
+        nodes[node] = value
+        while node > 1:
+            value = min(value, nodes[node ^ 1])
+            node >>= 1
+            if nodes[node] == value:
+                break
+            nodes[node] = value
+
+    while nodes[1] != NONE:
+        rank, at = divmod(nodes[1], width)
+        gone = following[at]
+        after, prior = following[gone], before[at]
+        text[at], kept[gone], following[at] = made[rank], False, after
+        put(gone, NONE)
+        found = None
+        if after < width:
+            before[after] = at
+            found = pairs.get(text[at] * size + text[after])
+        put(at, NONE if found is None else found * width + at)
+        if prior < width:
+            found = pairs.get(text[prior] * size + text[at])
+            put(prior, NONE if found is None else found * width + prior)
+    return text, kept
+
+
 def _set_leaf(nodes: np.ndarray, base: np.ndarray, leaf: np.ndarray, value: np.ndarray, width: int) -> None:
     """Set one leaf per word and renew the nodes above it up to the root."""
     node = leaf + width
@@ -152,14 +228,18 @@ def _set_leaf(nodes: np.ndarray, base: np.ndarray, leaf: np.ndarray, value: np.n
 
 
 class Encoder:
-    """Chunk -> (ids joined by commas, bytes the ids decode to); chunks other than a text's first begin with a space."""
+    """Chunk -> its ids as bytes; chunks other than a text's first begin with a space."""
 
     def __init__(self, vocab: Vocabulary, kept: int = KEPT):
         import regex
         self.vocab, self.kept = vocab, kept
         self.split = regex.compile(PATTERN).findall
-        self.first: dict[str, tuple[str, bytes]] = {}
-        self.inner: dict[str, tuple[str, bytes]] = {}
+        self.marks = {m: np.array([vocab.first[ord(m)]], vocab.kind).tobytes() for m in MARKS}
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -170,25 +250,29 @@ class Encoder:
     def learn(self, lists: list[list[str]]) -> None:
         """Encode what the dictionaries lack of these chunk lists."""
         if len(self.inner) + len(self.first) > self.kept:
-            self.first, self.inner = {}, {}
-        inner = set().union(*(x[1:] for x in lists)) - self.inner.keys()
-        first = {x[0] for x in lists} - self.first.keys()
-        wanted = [(self.inner, c, " " + c) for c in inner] + [(self.first, c, c) for c in first]
-        pieces = [self.split(c) for _, _, c in wanted]
-        unique = list(set().union(*pieces)) if pieces else []
-        names, known = self.vocab.names, self.vocab.bytes_of
-        coded = {p: (",".join([names[i] for i in ids]), b"".join([known[i] for i in ids])) for p, ids in
-                 zip(unique, merge_words([p.encode("utf-8", "surrogatepass") for p in unique], self.vocab))}
-        for (kept, chunk, _), parts in zip(wanted, pieces):
-            if len(parts) == 1:
-                kept[chunk] = coded[parts[0]]
+            self.forget()
+        words, ended, odd = set(), [], []
+        for c in set().union(*lists) - self.inner.keys():
+            if c.isalpha() and (c.isascii() or max(c) < SIMPLE):
+                words.add(c)
+            elif c[-1:] in self.marks and (w := c[:-1]).isalpha() and (w.isascii() or max(w) < SIMPLE):
+                ended.append((c, w))
             else:
-                found = [coded[p] for p in parts]
-                kept[chunk] = (",".join([f[0] for f in found]), b"".join([f[1] for f in found]))
-
-    def encode_all(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
-        """Per text its ids joined by commas, and the bytes those ids decode to."""
-        special = self.vocab.special
+                odd.append((self.inner, c, self.split(" " + c)))
+        odd += [(self.first, c, self.split(c)) for c in {x[0] for x in lists} - self.first.keys()]
+        words.update([w for _, w in ended if w not in self.inner])
+        words, pieces = list(words), list(set().union(*[p for _, _, p in odd]))
+        coded = merged([(" " + w).encode() for w in words] + [p.encode("utf-8", "surrogatepass") for p in pieces], self.vocab)
+        self.inner.update(zip(words, coded))
+        for c, w in ended:
+            self.inner[c] = self.inner[w] + self.marks[c[-1]]
+        known = dict(zip(pieces, coded[len(words):]))
+        for kept, chunk, parts in odd:
+            kept[chunk] = b"".join([known[p] for p in parts])
+
+    def ids_of(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of each text."""
+        special, kind = self.vocab.special, self.vocab.kind
         plans, lists = [], []
         for text in texts:
             text = text or ""
@@ -201,19 +285,24 @@ class Encoder:
         self.learn(lists)
         out = []
         for plan in plans:
-            found: list[tuple[str, bytes]] = []
+            found: list[bytes] = []
             for p in plan:
                 if isinstance(p, str):
-                    found.append((str(special[p]), self.vocab.bytes_of[special[p]]))
+                    found.append(np.array([special[p]], kind).tobytes())
                 else:
                     found.append(self.first[p[0]])
                     found += map(self.inner.__getitem__, p[1:])
-            out.append((",".join([f[0] for f in found if f[0]]), b"".join([f[1] for f in found])))
+            out.append(np.frombuffer(b"".join(found), kind).tolist())
         return out
 
+    def encode_all(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
+        """Per text its ids joined by commas, and the bytes those ids decode to."""
+        names, raw = self.vocab.names.__getitem__, self.vocab.raw.__getitem__
+        return [(",".join(map(names, ids)), b"".join(map(raw, ids))) for ids in self.ids_of(texts)]
+
 
 def decode(ids: list[int], vocab: Vocabulary) -> str:
-    return b"".join([vocab.bytes_of[i] for i in ids]).decode("utf-8", "replace")
+    return b"".join(map(vocab.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -228,9 +317,9 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Drop the encoded chunks at the end of a task: the worker may serve other operators next."""
+    """Drop the encoded chunks: the worker serves another operator next."""
     for found in _ENCODERS.values():
-        found.first, found.inner = {}, {}
+        found.forget()
 
 
 def default_vocabulary() -> str:
@@ -240,11 +329,11 @@ def default_vocabulary() -> str:
 
 def _map(docs: DataFrame, text_col: str, more: T.StructType, columns) -> DataFrame:
     def run(batches):
+        take_worker("bpe", forget)
         for whole in batches:
             for start, stop in slices(whole.column(text_col), TOGETHER):
                 batch = whole.slice(start, stop - start)
                 yield add_columns(batch, columns(batch.column(text_col).to_pylist()))
-        forget()
     return docs.mapInArrow(run, with_columns(docs.schema, more))
 
 
@@ -253,9 +342,9 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
     path = path or default_vocabulary()
 
     def columns(texts):
-        found = encoder(path).encode_all(texts)
-        return {"ids": pa.array([[int(i) for i in s.split(",")] if s else [] for s, _ in found], pa.list_(pa.int32())),
-                "decoded": pa.array([b.decode("utf-8", "replace") for _, b in found], pa.string())}
+        enc = encoder(path)
+        found = enc.ids_of(texts)
+        return {"ids": pa.array(found, pa.list_(pa.int32())), "decoded": pa.array([decode(ids, enc.vocab) for ids in found], pa.string())}
     return _map(docs, text_col, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())),
                                               T.StructField("decoded", T.StringType())]), columns)
 
@@ -265,10 +354,11 @@ def digests(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
     path = path or default_vocabulary()
 
     def columns(texts):
-        found = encoder(path).encode_all(texts)
+        enc = encoder(path)
+        found, names = enc.ids_of(texts), enc.vocab.names.__getitem__
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return {"n_tokens": pa.array([s.count(",") + 1 if s else 0 for s, _ in found], pa.int64()),
-                "ids_sha256": pa.array([sha(s.encode()) for s, _ in found], pa.string()),
-                "decoded_sha256": pa.array([sha(b.decode("utf-8", "replace").encode()) for _, b in found], pa.string())}
+        return {"n_tokens": pa.array([len(ids) for ids in found], pa.int64()),
+                "ids_sha256": pa.array([sha(",".join(map(names, ids)).encode()) for ids in found], pa.string()),
+                "decoded_sha256": pa.array([sha(decode(ids, enc.vocab).encode()) for ids in found], pa.string())}
     names = (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
     return _map(docs, text_col, T.StructType([T.StructField(n, t) for n, t in names]), columns)

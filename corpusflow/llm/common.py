@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -84,6 +84,21 @@ class Scratch:
         self.paths = {}
 
 
+#: What operators keep in a worker between their tasks, and how each lets go of it.
+_KEPT_BY: dict[str, Callable[[], None]] = {}
+
+
+def take_worker(operator: str, let_go: Callable[[], None] | None = None) -> None:
+    """First thing in a task: the worker now serves ``operator``; whatever others kept in it goes.
+
+    ``let_go`` drops what this operator will keep for its own next tasks.
+    """
+    for other in [k for k in _KEPT_BY if k != operator]:
+        _KEPT_BY.pop(other)()
+    if let_go:
+        _KEPT_BY[operator] = let_go
+
+
 def with_columns(schema: StructType, more: StructType) -> StructType:
     """``schema`` with the fields of ``more``; a field of the same name is replaced."""
     new = {f.name.lower() for f in more}

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import elias_fano
-from .common import file_system, shared_folder, slices, stored
+from .common import file_system, shared_folder, slices, stored, take_worker
 
 MAGIC = b"TOKPART1"
 HEAD = struct.Struct("<8sIIQ")
 FOOT = struct.Struct("<QQQ8s")
 END_ID = 1
 #: Words a worker keeps encoded.
-KEPT = 500_000
+KEPT = 1_200_000
 #: Words of letters given to the library as one text.
 TOGETHER = 1_000
 
@@ -52,7 +52,7 @@ def default_vocabulary() -> str:
 
 
 #: A full stop or comma beside another mark: only there does white space around it change a token.
-BESIDE = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+BESIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 #: White space to Python, not to the vocabulary.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 
@@ -144,6 +144,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    for enc in _ENCODERS.values():
+        enc.words = {}
+
+
 class PartWriter:
     """Streams one part to the shared folder; the file gets its name when it is complete."""
 
@@ -179,13 +184,13 @@ class PartWriter:
 
 def _write_part(batches, folder: str, path: str, end_id: int):
     from pyspark import TaskContext
+    take_worker("token files", _forget)
     writer = None
     for batch in batches:
         for start, stop in slices(batch.column("text")):
             writer = writer or PartWriter(folder, TaskContext.get().partitionId(), path, end_id)
             writer.add(batch.column("id").slice(start, stop - start), batch.column("text").slice(start, stop - start).to_pylist())
     if writer:
-        writer.enc.words = {}  # the worker may serve other operators next
         yield pa.RecordBatch.from_pydict(writer.close(), schema=pa.schema(
             [("path", pa.string()), ("part", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 

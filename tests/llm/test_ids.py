@@ -144,3 +144,26 @@ def test_reading_decodes_run_by_run(spark, monkeypatch):
                 assert name == part.name(first + k) and ids[bounds[k] - bounds[0]:bounds[k + 1] - bounds[0]].tolist() == part.document(first + k).tolist()
             seen += len(names)
     assert seen == 60
+
+
+def test_a_pre_token_of_a_million_letters_ends_and_equals_the_library():
+    import time
+    enc = bpe.encoder(bpe.default_vocabulary())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("etaoinshrdlu") for _ in range(1_000_000))
+    begin = time.process_time()
+    (ids,) = enc.ids_of([text])
+    assert time.process_time() - begin < 60
+    assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_worker_forgets_when_another_operator_takes_it():
+    from corpusflow.llm import common
+    enc = bpe.encoder(bpe.default_vocabulary())
+    common.take_worker("bpe", bpe.forget)
+    enc.ids_of(["some words here."])
+    common.take_worker("bpe", bpe.forget)
+    assert enc.inner
+    common.take_worker("quality")
+    assert not enc.inner and not enc.first
