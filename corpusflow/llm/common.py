@@ -175,6 +175,26 @@ def unpacked(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFr
                          for c in docs.columns])
 
 
+#: Bitmaps of 4 KB in a filter at most, so 4 MB whatever the tables hold.
+FILTER_MAPS, MAP_BITS = 1_024, 32_768
+
+
+def maybe_listed(rows: DataFrame, listed: DataFrame, columns: list[str], flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false where the row's ``columns`` are certainly not among those of ``listed``.
+
+    The filter is one bit per hash value in bitmaps of a fixed total size, which alone may be broadcast.  Rows that
+    miss it need not move to meet the list; with a list that outgrows the filter more rows hit it, results stay.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(FILTER_MAPS * MAP_BITS))
+    bits = (listed.select(place.alias("place")).groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("_map"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("_bits")))
+    placed = rows.withColumn("_place", place)
+    met = placed.join(F.broadcast(bits), F.bitmap_bucket_number(F.col("_place") + 1) == F.col("_map"), "left")
+    byte = F.expr(f"conv(hex(substring(_bits, CAST(_place % {MAP_BITS} AS INT) DIV 8 + 1, 1)), 16, 10)").cast("long")
+    hit = F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1
+    return met.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_place", "_map", "_bits")
+
+
 def as_uri(path: str) -> str:
     """``file:/x`` as the ``file:///x`` that file system libraries expect; a plain path gets the scheme."""
     if path.startswith("file:/") and not path.startswith("file://"):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import add_columns, folded, packed, slices, stored, unpacked, with_columns
+from .common import add_columns, folded, packed, slices, stored, take_worker, unpacked, with_columns
 
 WINDOW = 10
 #: Benchmark text per automaton; at about 3 KB of automaton per word, some 200 MB.
@@ -101,6 +101,7 @@ def _scan_block(docs: DataFrame, text_col: str, key: str, block, n: int, schema:
             pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
     def run(batches):
+        take_worker("decontamination")
         tree = _automaton(key, block.value, n)
         for whole in batches:
             for start, stop in slices(whole.column(text_col)):

@@ -6,8 +6,10 @@ or in two neighbours.  For the larger set's band, t bounds the number k of n-gra
 do not share.  Both are dealt by hash into k + 1 + e parts; a linked pair then has 1 + e parts exactly
 alike.  Every part that is not empty is a key (a set with more than e empty parts also gives those),
 so a linked pair always has keys in common, and each of the two has at least 1 + e keys, less its empty
-parts, that some other class has too.  Classes with fewer are linked with nothing; the others, joined
-by common keys, form groups.  Nothing is emitted per pair.
+parts, that some other class has too.  Classes with fewer are linked with nothing, and their keys count no
+more, which may leave others with too few: keys are counted in packed messages to hash ranges, answered with
+one bit each, until few more fall away.  Only then do the keys left join classes to groups.  Nothing is
+emitted per pair.
 
 A group is cut into size-ordered tiles of bounded total size, and only pairs of tiles whose sizes can
 link are compared.  In a pair of tiles each set has a hashed bitmap, one bit per n-gram, bits toggled.
@@ -34,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.slices import running_sum
-from .common import BLACK, folded, slices, stored
+from .common import BLACK, Scratch, folded, maybe_listed, slices, stored, take_worker
 from .components import components
+from .suffix_array import exchange, narrow, pack, unpack
 
 #: N-grams of a tile at most, unless a single set has more; two tiles are one task's memory.
 TILE = 1_000_000
@@ -43,6 +46,8 @@ TILE = 1_000_000
 MARKED = 4
 #: Text characters hashed at once.
 HASHED_CHARS = 1_000_000
+#: Counting goes on while this share of the keys falls away.
+FALLING = 0.1
 
 _M64 = (1 << 64) - 1
 
@@ -150,7 +155,7 @@ def part_keys(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
 
 CLASSES = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()),
                         T.StructField("key", T.BinaryType()), T.StructField("node", T.LongType()),
-                        T.StructField("need", T.IntegerType()), T.StructField("parts", T.ArrayType(T.LongType()))])
+                        T.StructField("unit", T.LongType()), T.StructField("load", T.BinaryType())])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()),
                      T.StructField("n", T.LongType()), T.StructField("grams", T.BinaryType())])
 LINKS = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
@@ -167,24 +172,35 @@ def _read_sets(batches, n: int):
 
 
 def _classes(batches, n: int, num: int, den: int):
-    bands, seen, none = Bands(num, den), set(), np.empty(0, np.int64)
+    """A row per document, and a row per slice of text with the keys of its classes."""
+    from pyspark import TaskContext
+    take_worker("n-gram join")
+    bands, seen, unit = Bands(num, den), set(), TaskContext.get().partitionId() << 32
+    arrow = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("unit", pa.int64()), ("load", pa.binary())])
     for ids, sets in _read_sets(batches, n):
-        keys, parts, need = [set_key(s) for s in sets], [], []
-        for key, s in zip(keys, sets):
-            # a set gives its keys once in a task: copies are combined before they are shuffled
-            found, least = part_keys(s, bands) if len(s) and key not in seen else (none, None)
-            parts.append(found)
-            need.append(least)
-            seen.add(key)
-        cuts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+        keys = [set_key(s) for s in sets]
+        nodes = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
+        nothing = pa.nulls(len(sets))
         yield pa.RecordBatch.from_arrays([
-            ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-            pa.array([int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys], pa.int64()),
-            pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))],
-            names=CLASSES.names)
+            ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()),
+            nothing.cast(pa.int64()), nothing.cast(pa.binary())], schema=arrow)
+        own, parts, need = [], [], []
+        for key, node, s in zip(keys, nodes, sets):
+            # a set gives its keys once in a task: copies are combined before anything is sent
+            if len(s) and key not in seen:
+                seen.add(key)
+                found, least = part_keys(s, bands)
+                own.append(node)
+                parts.append(found)
+                need.append(least)
+        if own:
+            load = pack(np.array(own, np.int64), narrow(np.array(need)), narrow(np.array([len(p) for p in parts])), np.concatenate(parts))
+            yield pa.RecordBatch.from_pylist([{"unit": unit, "load": load}], schema=arrow)
+            unit += 1
 
 
 def _sets(batches, n: int):
+    take_worker("n-gram join")
     for ids, sets in _read_sets(batches, n):
         yield pa.RecordBatch.from_arrays([
             ids, pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
@@ -199,6 +215,7 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
 
 
 def _marks(batches, n: int):
+    take_worker("n-gram join")
     for ids, sets in _read_sets(batches, n):
         yield pa.RecordBatch.from_arrays([
             ids, pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
@@ -290,51 +307,125 @@ def _compare_group(group: pa.Table, num: int, den: int) -> pa.Table:
                      "v": pa.array([keys[j] for _, j in forest], pa.binary())})
 
 
-def _shared(batches):
-    """Of rows sorted by (part, node) those whose part another node has too; first and last row of the range always,
-    since their neighbours are not seen."""
-    schema = pa.schema([("part", pa.int64()), ("node", pa.int64())])
-    part, node, tied, first = np.empty(0, np.int64), np.empty(0, np.int64), False, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        # the last row of a batch waits for the next one
-        part = np.concatenate((part[-1:], batch.column("part").to_numpy()))
-        node = np.concatenate((node[-1:], batch.column("node").to_numpy()))
-        pair = (part[1:] == part[:-1]) & (node[1:] != node[:-1])
-        keep = np.concatenate(([tied or first], pair)) | np.concatenate((pair, [False]))
-        tied, first = bool(keep[-1]), False
-        yield pa.RecordBatch.from_arrays([pa.array(part[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], schema=schema)
-    if len(part):
-        yield pa.RecordBatch.from_arrays([pa.array(part[-1:]), pa.array(node[-1:])], schema=schema)
-
-
-def _groups(classes: DataFrame) -> DataFrame:
+class Keys:
+    """Keys of a unit's classes; those still counted are marked."""
+
+    def __init__(self, row: dict, ranges: int):
+        self.nodes, self.need, counts, self.keys = unpack(row["load"])
+        self.owner = np.repeat(np.arange(len(self.nodes)), counts)
+        self.ranges = ranges
+
+    def part(self, hashed: np.ndarray) -> np.ndarray:
+        return ((hashed >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
+
+    def hashed(self, which: np.ndarray) -> np.ndarray:
+        return _mix(self.keys[which].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+
+    def in_ranges(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the messages, and the number of entries for each range."""
+        part = self.part(hashed)
+        return np.argsort(part, kind="stable"), np.bincount(part, minlength=self.ranges)
+
+    def answered(self, hashed: np.ndarray, replies) -> np.ndarray:
+        order, sizes = self.in_ranges(hashed)
+        flags = [np.unpackbits(np.frombuffer(load, np.uint8))[:sizes[k]] for k, load in replies if k >= 0]
+        out = np.zeros(len(hashed), bool)
+        out[order] = np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool)
+        return out
+
+
+def _messages(unit: int, keys: Keys, hashed: np.ndarray, keep: list[np.ndarray]) -> list[dict]:
+    order, sizes = keys.in_ranges(hashed)
+    six = np.ascontiguousarray(hashed[order].astype("<u8").view(np.uint8).reshape(len(order), 8)[:, :6])
+    ends = np.cumsum(sizes)
+    return [*({"unit": unit, "range": k, "load": six[ends[k] - sizes[k]:ends[k]].tobytes()} for k in np.flatnonzero(sizes).tolist()),
+            {"unit": unit, "range": -2 - unit, "load": pack(*keep)}]
+
+
+def _unpacked(loads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    table = np.zeros((sum(map(len, loads)) // 6, 8), np.uint8)
+    table[:, :6] = np.frombuffer(b"".join(loads), np.uint8).reshape(-1, 6)
+    return table.view("<u8").ravel(), np.cumsum([len(x) // 6 for x in loads])[:-1]
+
+
+def _first_of_each(loads: list[bytes]) -> tuple[list[bytes], int]:
+    nodes, cuts = np.frombuffer(b"".join(loads), np.int64), np.cumsum([len(x) // 8 for x in loads])[:-1]
+    first = np.zeros(len(nodes), bool)
+    first[np.unique(nodes, return_index=True)[1]] = True
+    return [np.packbits(x).tobytes() for x in np.split(first, cuts)], 0
+
+
+def _seen_twice(loads: list[bytes]) -> tuple[list[bytes], int]:
+    hashed, cuts = _unpacked(loads)
+    order = np.argsort(hashed)
+    same = hashed[order][1:] == hashed[order][:-1]
+    twice = np.empty(len(hashed), bool)
+    twice[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    return [np.packbits(x).tobytes() for x in np.split(twice, cuts)], int(twice.sum())
+
+
+def _groups(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, group``: classes connected by common keys."""
-    rows = classes.select("node", F.explode("parts").alias("part"))
-    # ranges over (part, node) split a key that many classes share
-    ranged = rows.repartitionByRange("part", "node").sortWithinPartitions("part", "node")
-    shared = stored(ranged.mapInArrow(_shared, "part long, node long").distinct(), "ngram-shared")
-    # a linked class shares many keys; one that shares too few is linked with nothing
-    need = classes.filter(F.col("n") > 0).groupBy("node").agg(F.min("need").alias("need"))
-    live = shared.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(need, "node").filter(F.col("keys") >= F.col("need"))
-    rest = stored(shared.join(live.select("node"), "node"), "ngram-live")
-    least = rest.groupBy("part").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most"))
-    edges = rest.join(least, "part").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    return components(edges).select("node", F.col("root").alias("group"))
-
-
-def _tiles(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+    units = classes.filter(F.col("unit").isNotNull()).select("unit", "load")
+    ranges = max(1, units.count() // 4)
+
+    def nodes(row: dict, _) -> list[dict]:
+        own = Keys(row, ranges)
+        order, sizes = own.in_ranges(_mix(own.nodes.view(np.uint64)))
+        ends = np.cumsum(sizes)
+        return [{"unit": row["unit"], "range": k, "load": own.nodes[order[ends[k] - sizes[k]:ends[k]]].tobytes()} for k in np.flatnonzero(sizes).tolist()]
+
+    # copies of a class in several units count once
+    answers, _ = exchange(scratch, "key-classes", units, None, nodes, _first_of_each)
+
+    def counted(row: dict, replies, begin: bool) -> tuple[Keys, np.ndarray]:
+        """The keys that count, after the answers."""
+        own = Keys(row, ranges)
+        if begin:
+            first = own.answered(_mix(own.nodes.view(np.uint64)), replies)
+            return own, np.flatnonzero(first[own.owner])
+        (asked,) = unpack(next(load for k, load in replies if k == -1))
+        asked = asked.astype(np.int64)
+        shared = asked[own.answered(own.hashed(asked), replies)]
+        enough = np.bincount(own.owner[shared], minlength=len(own.nodes)) >= own.need
+        return own, shared[enough[own.owner[shared]]]
+
+    def keys(row: dict, replies, begin: bool) -> list[dict]:
+        own, which = counted(row, replies, begin)
+        return _messages(row["unit"], own, own.hashed(which), [narrow(which)])
+
+    total, turn = None, 0
+    while True:
+        before, turn = total, turn + 1
+        answers, counts = exchange(scratch, f"keys{turn % 2}", units, answers, lambda row, r, t=turn: keys(row, r, t == 1), _seen_twice)
+        total = int(counts[-1])
+        if not total or before is not None and total > (1 - FALLING) * before:
+            break
+
+    def left(key, unit: pa.Table, got: pa.Table) -> pa.Table:
+        own, which = counted(unit.to_pylist()[0], sorted(zip(got.column("range").to_pylist(), got.column("load").to_pylist())), False)
+        return pa.table({"part": pa.array(own.keys[which]), "node": pa.array(own.nodes[own.owner[which]])})
+
+    rest = scratch.keep(units.groupBy("unit").cogroup(answers.filter(F.col("unit") >= 0).groupBy("unit")).applyInArrow(left, "part long, node long"), "keys")
+    scratch.drop("key-classes", "keys1", *(["keys0"] if turn > 1 else []))
+    least = rest.groupBy(F.struct("part").alias("k")).agg(F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most"))
+    edges = rest.join(least.select(F.col("k.part").alias("part"), "least"), "part").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    groups = components(edges, scratch, "groups").select("node", F.col("root").alias("group"))
+    scratch.drop("keys")
+    return groups
+
+
+def _tiles(members: DataFrame, num: int, den: int, tile: int, scratch: Scratch) -> DataFrame:
     """``key, id, task, side``: each class with the tile pairs it takes part in."""
     total = members.groupBy("group").agg(F.sum("weight").alias("total"))
-    members = stored(members.join(total, "group"), "tile-members")
+    members = scratch.keep(members.join(total, "group"), "members")
     small = members.filter(F.col("total") <= tile).select(
         "key", "id", F.struct("group", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("task"), F.lit(0).alias("side"))
     big = members.filter(F.col("total") > tile)
     if big.isEmpty():
         return small
-    placed = stored(running_sum(big, ["group"], ["n", "key"], "weight", "upto")
-                    .withColumn("tile", F.floor((F.col("upto") - F.col("weight")) / tile)), "tiles")
+    placed = scratch.keep(running_sum(big, ["group"], ["n", "key"], "weight", "upto")
+                          .withColumn("tile", F.floor((F.col("upto") - F.col("weight")) / tile)), "placed")
     spans = placed.groupBy("group", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left = spans.select("group", F.col("tile").alias("a"), F.col("high").alias("a_high"))
     right = spans.select(F.col("group").alias("g"), F.col("tile").alias("b"), F.col("low").alias("b_low"))
@@ -349,43 +440,56 @@ def _tiles(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text",
          tile: int = TILE) -> DataFrame:
     """``id, n_shingles, component_id`` per document; links are similarities of ``num / den`` or more."""
+    scratch = Scratch(docs.sparkSession, "ngram")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    classes = stored(rows.mapInArrow(lambda b: _classes(b, n, num, den), CLASSES), "ngram-classes")
-    groups = stored(_groups(classes), "ngram-groups")
+    found = scratch.keep(rows.mapInArrow(lambda b: _classes(b, n, num, den), CLASSES), "found")
+    classes = scratch.keep(found.filter(F.col("unit").isNull()).select("id", "n", "key", "node"), "classes")
+    groups = _groups(found, scratch)
+    scratch.drop("found")
     least = classes.filter(F.col("n") > 0).groupBy("key").agg(
         F.min("id").alias("id"), F.first("node").alias("node"), F.first("n").alias("n"))
     members = least.join(groups, "node").select("key", "id", "n", "group", (F.col("n") + 64).alias("weight"))
     # first the bitmaps alone, a twentieth of the sets: groups that only chance keys tie fall apart
-    tiles = stored(_tiles(members, num, den, MARKED * tile), "ngram-mark-tiles")
-    wanted = stored(tiles.select(F.col("id").alias("wanted")).distinct(), "ngram-marked")
-    marks = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(lambda b: _marks(b, n), SETS)
+    tiles = scratch.keep(_tiles(members, num, den, MARKED * tile, scratch), "tiles")
+    marks = _wanted(rows, tiles).mapInArrow(lambda b: _marks(b, n), SETS)
     possible = (marks.select("key", "n", "grams").join(tiles.select("key", "task", "side"), "key")
                 .groupBy("task").applyInArrow(lambda t: _compare_marks_of(t, num, den), LINKS))
-    close = components(possible).select(F.col("node").alias("key"), F.col("root").alias("group"))
+    close = components(possible, scratch, "close").select(F.col("node").alias("key"), F.col("root").alias("group"))
     members = least.join(close, "key").select("key", "id", "n", "group", (F.col("n") + 64).alias("weight"))
-    tiles = stored(_tiles(members, num, den, tile), "ngram-tiles")
-    # stored, so that its size is known: few ids are broadcast and no text moves but those wanted
-    wanted = stored(tiles.select(F.col("id").alias("wanted")).distinct(), "ngram-wanted")
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = texts.mapInArrow(lambda b: _sets(b, n), SETS).select("key", "grams")
+    tiles = scratch.keep(_tiles(members, num, den, tile, scratch), "tiles")
+    sets = _wanted(rows, tiles).mapInArrow(lambda b: _sets(b, n), SETS).select("key", "grams")
     links = (sets.join(tiles.select("key", "task", "side"), "key")
              .groupBy("task").applyInArrow(lambda t: _compare_group(t, num, den), LINKS))
-    roots = stored(components(links), "ngram-components")
+    roots = components(links, scratch, "roots")
     ids = least.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    ids = stored(ids.select("key", "id", F.coalesce("root", "key").alias("root")), "ngram-ids")
+    ids = scratch.keep(ids.select("key", "id", F.coalesce("root", "key").alias("root")), "ids")
     smallest = ids.groupBy("root").agg(F.min("id").alias("component_id"))
     named = ids.join(smallest, "root").select("key", "component_id")
-    return (classes.select("id", "n", "key").join(named, "key", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "id").alias("component_id")))
+    out = stored(classes.select("id", "n", "key").join(named, "key", "left")
+                 .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                         F.coalesce("component_id", "id").alias("component_id")), "ngram-components")
+    scratch.close()
+    return out
+
+
+def _wanted(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The documents that take part in some tile; of the others few texts move."""
+    ids = tiles.select(F.col("id").alias("wanted")).distinct()
+    near = maybe_listed(rows, ids.withColumnRenamed("wanted", "id"), ["id"], "maybe").filter("maybe").drop("maybe")
+    return near.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are linked, directly or through others, to one of a smaller id.
 
-    Rows of one id stay or go together; they go only if each of them is linked to a smaller id.
+    Rows of one id stay or go together; they go only if each of them is linked to a smaller id.  Texts that a filter of
+    fixed size shows to stay are not moved.
     """
     judged = join(docs, n, num, den, id_col, text_col)
-    drop = stored(judged.groupBy(F.col(id_col).alias("_drop")).agg(F.min(F.col("component_id") < F.col(id_col)).alias("_goes"))
-                  .filter("_goes").select("_drop"), "near-copies")
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    drop = stored(judged.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col("component_id") < F.col(id_col)).alias("goes"))
+                  .filter("goes").select("id"), "near-copies")
+    # all columns travel as one, so that no name can clash
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"))
+    flagged = maybe_listed(whole, drop, ["id"], "maybe")
+    met = flagged.filter("maybe").join(drop.hint("merge"), "id", "left_anti")
+    return flagged.filter(~F.col("maybe")).select("doc").unionAll(met.select("doc")).select("doc.*")

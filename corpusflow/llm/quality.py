@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import add_columns, packed, slices, stored, unpacked, with_columns
+from .common import add_columns, packed, slices, stored, take_worker, unpacked, with_columns
 
 STATISTICS = ("words", "letters_per_word", "distinct_words", "commonest_word", "repeats_previous", "distinct_pairs",
               "symbols", "capitals", "digits", "ends", "commas", "lines_repeated", "words_per_line", "byte_entropy",
@@ -85,6 +85,7 @@ def statistics(text: str | None) -> np.ndarray:
 def describe(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``statistics``, an array of doubles."""
     def run(batches):
+        take_worker("quality")
         for whole in batches:
             for start, stop in slices(whole.column(text_col)):
                 batch = whole.slice(start, stop - start)

@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute
 
 from corpusflow.llm import ngram_join
+from corpusflow.llm.common import Scratch
 from corpusflow.llm.components import components
 
 
@@ -92,9 +93,9 @@ def test_components_of_paths_stars_and_cycles(spark):
     rnd = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(9, 9)]
     edges = [rnd.choice([(a, b), (b, a)]) for a, b in edges] * 2
-    out = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
+    out = dict(components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test"), "roots").collect())
     assert {out[i] for i in range(100, 161)} == {100} and {out[i] for i in range(500, 560)} == {500} and {out[i] for i in range(200, 207)} == {200}
-    assert 9 not in out and components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert 9 not in out and components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test"), "roots").count() == 0
 
 
 def test_a_key_that_many_classes_share_is_split_over_tasks(spark):
