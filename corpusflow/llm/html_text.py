@@ -7,11 +7,12 @@ branch).  Entropies to the base of the number of pages make their importance: 0
 1 where all differ.  A branch's importance weighs both, ``(1 - g^l) * presentation + g^l * content`` with
 l presentations.  Branches of low importance on enough pages are removed from each page of that host.
 What an element declares to be (menu, form, advert, notice, comment, ...) counts as importance 0 on any
-page, since its words may differ on every page; where a page marks its article, the rest of the page does too,
-and the article keeps every block that does not declare itself.  Pages of a host with the same text count once in its tree.
+page, since its words may differ on every page; where a page marks its article, the rest of the page does too.
+Inside a marked article a low branch goes where it holds the host's usual content of that branch, which stands on
+enough pages; the article itself and what leads to it stay.  Pages of a host with the same text count once in its tree.
 
 Counts are combined map-side per (host, path, value), so a hot host is spread over its values.  Low-importance
-paths meet the paths of each page, salted, and make a list per page; only pages without a marked article move for it.
+paths meet the paths that each page may lose, salted, and make a list per page; only pages with a list are read again.
 
 Defined results
   NULL and empty pages, and pages without text, give the empty text.  NULL URLs share the empty host.
@@ -27,7 +28,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import slices, stored
+from .common import Scratch, maybe_listed, slices, stored, take_worker
 from .url_filter import host
 
 #: Weight of content in a branch with one presentation.
@@ -214,18 +215,29 @@ def articles(root: Node) -> list[Node]:
     return [n for n in marked if n.tag == "article"] if not any(n.tag == "main" for n in marked) else marked
 
 
+def located(root: Node, wanted: list[Node]) -> list[tuple[Node, int, int | None]]:
+    """The nodes with their paths in the page."""
+    left, found = {id(n) for n in wanted}, {}
+    stack: list[tuple[Node, int, int | None]] = [(root, 0, None)]
+    while stack and left:
+        node, path, last = stack.pop()
+        if id(node) in left:
+            found[id(node)] = (node, path, last)
+            left.discard(id(node))
+        stack += placed(node, path)
+    return [found[id(n)] for n in wanted]
+
+
 def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
-    """Blocks of the page that are left when noise and the paths in ``low`` are removed.
+    """Blocks of the page's article, or of a page that marks none, left when noise and the paths in ``low`` are removed.
 
-    A marked article keeps its blocks whatever ``low`` says, and so does a page that ``low`` would empty.
+    A page that ``low`` would empty keeps its blocks.
     """
-    starts = articles(root)
-    if starts:
-        return _blocks(starts)
-    return (_blocks([root], low) if low else "") or _blocks([root])
+    starts = articles(root) or [root]
+    return (_blocks(located(root, starts), low) if low else "") or _blocks([(n, 0, None) for n in starts])
 
 
-def _blocks(starts: list[Node], low: frozenset[int] = frozenset()) -> str:
+def _blocks(starts: list[tuple[Node, int, int | None]], low: frozenset[int] = frozenset()) -> str:
     blocks: list[str] = []
     held: list[str] = []
 
@@ -235,9 +247,9 @@ def _blocks(starts: list[Node], low: frozenset[int] = frozenset()) -> str:
             blocks.append(words)
         held.clear()
 
-    for start in starts:
+    for start, at_path, at_last in starts:
         within = start.tag in ("article", "main")
-        todo: list = [(start, 0, None)]
+        todo: list = [(start, at_path, at_last)]
         while todo:
             item, path, last = todo.pop()
             if item is None:
@@ -259,38 +271,55 @@ def _blocks(starts: list[Node], low: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-FEATURES = "host string, page_id long, key long, marked boolean, twin long, tree long, paths array<struct<path:long,shape:long,content:long>>"
+def removable(root: Node, starts: list[Node]) -> set[int]:
+    """Paths below the marked articles."""
+    out, stack = set(), [(n, p) for n, p, _ in located(root, starts)]
+    while stack:
+        node, path = stack.pop()
+        for child, first, last in placed(node, path):
+            out.update(x for x in (first, last) if x)
+            stack.append((child, first))
+    return out
+
+
+FEATURES = """host string, page_id long, url string, key long, marked boolean, text string, twin long, tree long,
+    paths array<struct<path:long,shape:long,content:long,own:boolean>>"""
 
 
 def _features(batches):
-    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("path", "shape", "content")]))
-    schema = pa.schema([("host", pa.string()), ("page_id", pa.int64()), ("key", pa.int64()), ("marked", pa.bool_()),
-                        ("twin", pa.int64()), ("tree", pa.int64()), ("paths", kind)])
+    take_worker("style tree")
+    kind = pa.list_(pa.struct([*[(n, pa.int64()) for n in ("path", "shape", "content")], ("own", pa.bool_())]))
+    schema = pa.schema([("host", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("key", pa.int64()), ("marked", pa.bool_()),
+                        ("text", pa.string()), ("twin", pa.int64()), ("tree", pa.int64()), ("paths", kind)])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     for batch in batches:
         for start, stop in slices(batch.column("html")):
-            marked, twins, trees, ends = [], [], [], [0]
-            values: tuple[list, list, list] = ([], [], [])
+            marked, texts, twins, trees, ends = [], [], [], [], [0]
+            values: tuple[list, ...] = ([], [], [], [])
             for page in batch.column("html").slice(start, stop - start).to_pylist():
                 root = parse(page)
+                starts = articles(root)
+                own = removable(root, starts) if starts else None
                 found = sorted((p, s, t) for p, (s, t) in paths(root).items())
-                marked.append(bool(articles(root)))
-                twins.append(_hash(main_text(root)))
+                marked.append(bool(starts))
+                texts.append(main_text(root))
+                twins.append(_hash(texts[-1]))
                 trees.append(_hash(*found))
-                for row in found:
-                    for column, value in zip(values, row):
+                for p, s, t in found:
+                    for column, value in zip(values, (p, s, t, own is None or p in own)):
                         column.append(value)
                 ends.append(len(values[0]))
-            items = pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in values], fields=list(kind.value_type))
+            items = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(values, types)], fields=list(kind.value_type))
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(n).slice(start, stop - start) for n in ("host", "page_id", "key")),
-                pa.array(marked, pa.bool_()), pa.array(twins, pa.int64()), pa.array(trees, pa.int64()),
+                *(batch.column(n).slice(start, stop - start) for n in ("host", "page_id", "url", "key")),
+                pa.array(marked, pa.bool_()), pa.array(texts, pa.string()), pa.array(twins, pa.int64()), pa.array(trees, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=kind)], schema=schema)
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """Per page (host, page_id, key, html): whether it marks an article, hashes of the text it would keep (``twin``)
-    and of its tree, and its paths."""
-    return pages.select("host", "page_id", "key", "html").mapInArrow(_features, FEATURES)
+    """Per page (host, page_id, url, key, html): whether it marks an article, the ``text`` it has without a style tree and
+    its hash (``twin``), a hash of its tree, and its paths; ``own`` are the paths that the page may lose."""
+    return pages.select("host", "page_id", "url", "key", "html").mapInArrow(_features, FEATURES)
 
 
 def once(rows: DataFrame) -> DataFrame:
@@ -299,24 +328,26 @@ def once(rows: DataFrame) -> DataFrame:
 
 
 def low_of(rows: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
-    """``host, path`` of low importance from ``features``, each row counted."""
+    """``host, path`` of low importance from ``features``, each row counted, with the most frequent content, ``usual``,
+    NULL where that stands on fewer than ``least_pages``."""
     rows = rows.select("host", F.explode("paths").alias("p")).select("host", "p.path", "p.shape", "p.content")
     values = rows.select("host", "path", F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
     counts = values.groupBy("host", "path", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("c"))
     # sum c*log c gives the entropy of a path without its distribution: log n - sum / n
     sums = counts.groupBy("host", "path").pivot("kind", [0, 1]).agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.count(F.lit(1)).alias("k"))
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "value")).alias("top"))
     share = lambda k: F.when(F.col(f"{k}_n") > 1, 1 - F.col(f"{k}_s") / (F.col(f"{k}_n") * F.log(f"{k}_n"))).otherwise(1.0)
     weight = F.pow(F.lit(GAMMA), F.col("0_k"))
-    trees = sums.select("host", "path", F.col("0_n").alias("n"), (F.lit(GAMMA) * share(1)).alias("content"), ((1 - weight) * share(0) + weight * share(1)).alias("importance"))
+    usual = F.when(F.col("1_top.c") >= least_pages, F.col("1_top.value"))
+    trees = sums.select("host", "path", F.col("0_n").alias("n"), usual.alias("usual"), (F.lit(GAMMA) * share(1)).alias("content"), ((1 - weight) * share(0) + weight * share(1)).alias("importance"))
     # contents that differ are kept however alike and however many their presentations are
-    return trees.filter((F.col("n") >= least_pages) & (F.col("importance") < least) & (F.col("content") < least)).select("host", "path")
+    return trees.filter((F.col("n") >= least_pages) & (F.col("importance") < least) & (F.col("content") < least)).select("host", "path", "usual")
 
 
 def low_paths(pages: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
     """``host, low``: paths (hashes) of low importance as one list per host, for small ``pages`` (host, html), each row counted."""
-    rows = pages.select("host", F.lit(0).cast("long").alias("page_id"), F.lit(0).cast("long").alias("key"), "html")
+    rows = pages.select("host", F.lit(0).cast("long").alias("page_id"), F.lit("").alias("url"), F.lit(0).cast("long").alias("key"), "html")
     return low_of(features(rows), least, least_pages).groupBy("host").agg(F.collect_list("path").alias("low"))
 
 
@@ -328,29 +359,9 @@ def _texts(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
                                        pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def _marked(batches):
-    """Texts of the pages that mark an article."""
-    for whole in batches:
-        for start, stop in slices(whole.column("html")):
-            batch = whole.slice(start, stop - start)
-            roots = [parse(p) for p in batch.column("html").to_pylist()]
-            has = [bool(articles(r)) for r in roots]
-            yield _texts(batch.filter(pa.array(has, pa.bool_())), [main_text(r) for r, x in zip(roots, has) if x])
-
-
-MARK = re.compile("<(?:article|main)", re.I)
-
-
-def _unmarked(batches):
-    """The pages that mark none, as they are."""
-    for whole in batches:
-        for start, stop in slices(whole.column("html")):
-            batch = whole.slice(start, stop - start)
-            pages = batch.column("html").to_pylist()
-            yield batch.filter(pa.array([not (MARK.search(p or "") and articles(parse(p))) for p in pages], pa.bool_()))
-
-
 def _cleared(batches):
+    """Texts of pages with a list of low paths."""
+    take_worker("style tree")
     for whole in batches:
         for start, stop in slices(whole.column("html")):
             batch = whole.slice(start, stop - start)
@@ -364,13 +375,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         F.col(html_col).cast("string").alias("html"), host(F.col(url_col).cast("string")).alias("host"))
     # equal keys mean equal pages, whose lists are equal
     rows = rows.withColumn("key", F.xxhash64("page_id", "html"))
-    found = stored(features(rows), "style-tree")
+    scratch = Scratch(pages.sparkSession, "site-style")
+    found = scratch.keep(features(rows), "features")
     low = low_of(once(found)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of_pages = found.filter(~F.col("marked")).select(
-        "host", "page_id", "key", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"), F.explode("paths.path").alias("path"))
-    lists = stored(of_pages.join(low, ["host", "path", "salt"]).groupBy("host", F.col("page_id").alias("id"), "key")
-                   .agg(F.collect_set("path").alias("low")), "low-paths")
-    unmarked = rows.mapInArrow(_unmarked, rows.schema).alias("u")
-    on = (F.col("u.host") == F.col("l.host")) & F.col("u.page_id").eqNullSafe(F.col("l.id")) & (F.col("u.key") == F.col("l.key"))
-    cleared = unmarked.join(lists.alias("l"), on, "left").select("u.page_id", "u.url", "u.html", "l.low").mapInArrow(_cleared, RESULT)
-    return rows.mapInArrow(_marked, RESULT).unionByName(cleared)
+    of_pages = found.select("host", "page_id", "key", "marked", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"),
+                            F.explode(F.filter("paths", lambda p: p["own"])).alias("p")).select("*", "p.path", "p.content")
+    lists = scratch.keep(of_pages.join(low, ["host", "path", "salt"]).filter(~F.col("marked") | (F.col("content") == F.col("usual")))
+                         .groupBy(F.col("host").alias("h"), F.col("page_id").alias("id"), F.col("key").alias("k")).agg(F.collect_set("path").alias("low")), "low")
+    keys = lists.select(F.col("h").alias("host"), F.col("id").alias("page_id"), F.col("k").alias("key"))
+    on = (F.col("host") == F.col("h")) & F.col("page_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))
+    names = ["host", "page_id", "key"]
+    texts = maybe_listed(found.select(*names, "url", "text"), keys, names, "maybe")
+    kept = texts.filter(~F.col("maybe")).drop("maybe").unionByName(texts.filter("maybe").drop("maybe").join(lists, on, "left_anti"))
+    again = maybe_listed(rows, keys, names, "maybe").filter("maybe").join(lists, on)
+    cleared = again.select("page_id", "url", "html", "low").mapInArrow(_cleared, RESULT)
+    out = stored(kept.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")).unionByName(cleared), "main-texts")
+    scratch.close()
+    return out

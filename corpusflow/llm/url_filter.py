@@ -2,7 +2,9 @@
 
 Tokens of labelled URLs (host labels, path segments, extension, query keys, scheme) and their label are
 transactions; FP-growth mines frequent combinations, and rules "tokens -> bad" are kept above a support and
-a confidence.  Rules are matched by an inverted index: each is filed under its rarest token, a URL looks up its
+a confidence.  Only tokens that are frequent together with a bad label can be in such a rule; others are dropped before
+mining, and of a labelled URL with more than ``TRANSACTION`` left those of highest confidence form combinations, so a URL
+of many segments costs a bounded number of them.  Matching uses all tokens of a URL.  Rules are matched by an inverted index: each is filed under its rarest token, a URL looks up its
 own tokens and checks the rest of a rule only where that token agrees.  Distinct token sets are matched
 once, not URLs.  Everything is DataFrame code and the library's FP-growth; nothing runs in Python.
 
@@ -10,7 +12,8 @@ Defined results
   NULL URLs and URLs without ``://``: host and path are empty, no stated rule fits, no token matches.
   Repeated rows are judged alike.  Very long URLs are used whole.  Without labels no rule is mined and
   every URL that no stated rule decides is allowed.  Of stated rules the longest decides, of equally long
-  ones the first in alphabetical order.
+  ones the first in alphabetical order.  A rule with an empty path fits URLs whose path starts with ``/``; one without
+  any path (``http://x.net``) has none that could start with it.
 """
 from __future__ import annotations
 
@@ -23,6 +26,8 @@ from .common import LOWER, UPPER, stored
 #: The stated rules: text (host and path), verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MIN_SUPPORT, MIN_CONFIDENCE = 0.0005, 0.6
+#: Labelled URLs that a rule stands on at least, and tokens of a labelled URL that form combinations.
+LEAST_URLS, TRANSACTION = 5, 12
 BAD = "=bad"
 
 
@@ -63,13 +68,22 @@ def stated(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str]]
 def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``labelled`` (url, bad boolean) -> ``antecedent, confidence, support`` of rules that lead to bad."""
     from pyspark.ml.fpm import FPGrowth
-    bad = F.coalesce(F.col("bad"), F.lit(False))
-    rows = labelled.select(F.when(bad, F.concat(tokens(F.col("url")), F.array(F.lit(BAD))))
-                           .otherwise(tokens(F.col("url"))).alias("items"))
-    rows = stored(rows, "url-transactions")
-    if rows.isEmpty():
-        return stored(rows.select(F.col("items").alias("antecedent"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")), "url-rules")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
+    rows = stored(labelled.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("bad"), F.lit(False)).alias("bad"),
+                                  tokens(F.col("url")).alias("tokens")), "url-transactions")
+    n = rows.count()
+    least = max(support, LEAST_URLS / max(1, n))
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    useful = (each.groupBy("token").agg(F.count_if("bad").alias("n_bad"), F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n_bad") >= least * n).select("token", (F.col("n_bad") / F.col("n")).alias("share"), "n_bad"))
+    # best first: the most certain, then the most frequent, then by name
+    order = F.struct((-F.col("share")).alias("a"), (-F.col("n_bad")).alias("b"), "token")
+    items = (each.join(useful, "token").groupBy("row", "bad").agg(F.slice(F.array_sort(F.collect_list(order)), 1, TRANSACTION).alias("best"))
+             .select("row", F.concat(F.transform("best", lambda x: x["token"]), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array())).alias("items")))
+    # URLs without such a token count among all URLs all the same
+    rows = stored(rows.select("row").join(items, "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items")), "url-items")
+    if rows.filter(F.size("items") > 1).isEmpty():
+        return stored(rows.limit(0).select(F.col("items").alias("antecedent"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")), "url-rules")
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(rows)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
     return stored(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules")
 

@@ -12,6 +12,7 @@ import brute
 from corpusflow.llm import ngram_join
 from corpusflow.llm.common import Scratch
 from corpusflow.llm.components import components
+from corpusflow.llm.suffix_array import pack
 
 
 def wide(spark, rows):
@@ -100,6 +101,10 @@ def test_components_of_paths_stars_and_cycles(spark):
 
 def test_a_key_that_many_classes_share_is_split_over_tasks(spark):
     rows = [([i], i) for i in range(1, 2000)] + [([5000], 7), ([5001, 5001], 8)]
-    classes = spark.createDataFrame([(1, n, 1, [77] if n < 5000 else [78, n]) for (n, *_), _ in rows], "n int, node long, need int, parts array<long>")
-    out = dict(ngram_join._groups(classes.repartition(4)).collect())
+    nodes = [n for (n, *_), _ in rows]
+    keys = [[77] if n < 5000 else [78, n] for n in nodes]
+    units = [(k // 100, pack(np.array(nodes[k:k + 100]), np.ones(len(nodes[k:k + 100]), np.uint8), np.array([len(x) for x in keys[k:k + 100]]),
+                             np.array(sum(keys[k:k + 100], [])))) for k in range(0, len(nodes), 100)]
+    found = spark.createDataFrame(units, "unit long, load binary")
+    out = dict(ngram_join._groups(found, Scratch(spark, "test")).collect())
     assert {out[i] for i in range(1, 2000)} == {1} and out[5000] == out[5001] == 5000

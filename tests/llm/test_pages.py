@@ -222,3 +222,78 @@ def test_importance_against_the_formula(spark):
     weight = html_text.GAMMA
     value = weight * entropy
     assert html_text.low_paths(frame, least=value + 1e-6).count() == 1 and html_text.low_paths(frame, least=value - 1e-6).count() == 0
+
+
+def test_mining_ends_on_long_urls_and_drops_rare_tokens(spark):
+    deep = "/".join(f"s{k}" for k in range(40))
+    rows = [(f"http://a.example/{deep}/{i}", True) for i in range(8)] + [(f"http://b.example/x{i}/y", False) for i in range(30)]
+    rows += [("http://b.example/once/rare/z", True)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.0005, 0.6).collect()
+    assert rules and len(rules) < 2 ** url_filter.TRANSACTION + 1
+    assert not any({"p:once", "p:rare"} & set(r.antecedent) for r in rules)
+    few = spark.createDataFrame([(f"http://c.example/{deep}", True)], "url string, bad boolean")
+    assert url_filter.mine(few).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_an_unclassed_notice_goes_from_marked_and_unmarked_pages(spark, tag):
+    body = f"<html><body><{tag}><p>The same notice on every page</p><h1>Head {{0}}</h1><p>Story {{0}}</p></{tag}></body></html>"
+    rows = [(i, "http://notice.example/x", body.format(i)) for i in range(20)] + [(100, "http://notice.example/x", body.format(3))]
+    rows += [(200, "http://notice.example/x", f"<html><body><{tag}><p>Another first line</p><h1>Head 200</h1><p>Story 200</p></{tag}></body></html>")]
+    out = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(out[i] == f"Head {i}\n\nStory {i}" for i in range(20)) and out[100] == out[3]
+    if tag == "article":
+        assert out[200] == "Another first line\n\nHead 200\n\nStory 200"
+
+
+def plain_tree(rows, least=html_text.LEAST, least_pages=html_text.PAGES):
+    """Main texts by merging the pages of a host in dictionaries and removing low branches from each."""
+    import math
+    from collections import Counter
+    hosts = {}
+    for i, url, page in rows:
+        hosts.setdefault((url or "").split("://")[-1].split("/")[0], []).append((i, html_text.parse(page)))
+    out = {}
+    for own in hosts.values():
+        once = {}
+        for _, root in own:
+            found = html_text.paths(root)
+            value = html_text._hash(*sorted((p, s, t) for p, (s, t) in found.items()))
+            text = html_text.main_text(root)
+            if text not in once or value < once[text][0]:
+                once[text] = (value, found)
+        shapes, contents = {}, {}
+        for _, found in once.values():
+            for p, (s, t) in found.items():
+                shapes.setdefault(p, Counter())[s] += 1
+                contents.setdefault(p, Counter())[t] += 1
+
+        def entropy(c):
+            n = sum(c.values())
+            return 1.0 if n < 2 else -sum(x / n * math.log(x / n) for x in c.values()) / math.log(n)
+        low = {}
+        for p, c in contents.items():
+            weight = html_text.GAMMA ** len(shapes[p])
+            importance = (1 - weight) * entropy(shapes[p]) + weight * entropy(c)
+            if sum(c.values()) >= least_pages and importance < least and html_text.GAMMA * entropy(c) < least:
+                low[p] = c.most_common(1)[0]
+        for i, root in own:
+            found, starts = html_text.paths(root), html_text.articles(root)
+            inside = html_text.removable(root, starts) if starts else set(found)
+            gone = {p for p in inside & low.keys() if not starts or low[p][1] >= least_pages and low[p][0] == found[p][1]}
+            out[i] = html_text.main_text(root, frozenset(gone))
+    return out
+
+
+def test_extraction_equals_plain_merging(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(150):
+        parts = [f"<p>{rnd.choice(['Same line', 'Same line', 'Same line', f'Own {i}'])}</p>", f"<p>Story {i}</p>", "<div class=end>Foot line</div>"]
+        if rnd.random() < 0.2:
+            rnd.shuffle(parts)
+        tag = rnd.choice(["article", "main", "div", "section"])
+        rows.append((i, f"http://h{rnd.randint(0, 3)}.example/{i}", f"<html><body><{tag}>{''.join(parts)}</{tag}>{'<p>Below</p>' if i % 2 else ''}</body></html>"))
+    rows += [(500 + k, *rows[k][1:]) for k in range(20)]
+    out = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert out == plain_tree(rows)
