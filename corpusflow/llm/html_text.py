@@ -377,10 +377,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("key", F.xxhash64("page_id", "html"))
     scratch = Scratch(pages.sparkSession, "site-style")
     found = scratch.keep(features(rows), "features")
-    low = low_of(once(found)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of_pages = found.select("host", "page_id", "key", "marked", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"),
-                            F.explode(F.filter("paths", lambda p: p["own"])).alias("p")).select("*", "p.path", "p.content")
-    lists = scratch.keep(of_pages.join(low, ["host", "path", "salt"]).filter(~F.col("marked") | (F.col("content") == F.col("usual")))
+    low = scratch.keep(low_of(once(found)), "branches")
+    # of all paths only those that hit a filter of the low ones move
+    own = found.select("host", "page_id", "key", "marked", F.explode(F.filter("paths", lambda p: p["own"])).alias("p")).select(
+        "host", "page_id", "key", "marked", "p.path", "p.content")
+    usual = low.filter(F.col("usual").isNotNull()).select("host", "path", F.col("usual").alias("content"))
+    inside = maybe_listed(own.filter("marked"), usual, ["host", "path", "content"], "maybe").filter("maybe")
+    free = maybe_listed(own.filter(~F.col("marked")), low, ["host", "path"], "maybe").filter("maybe")
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_pages = inside.unionByName(free).drop("maybe").withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    lists = scratch.keep(of_pages.join(salted, ["host", "path", "salt"]).filter(~F.col("marked") | (F.col("content") == F.col("usual")))
                          .groupBy(F.col("host").alias("h"), F.col("page_id").alias("id"), F.col("key").alias("k")).agg(F.collect_set("path").alias("low")), "low")
     keys = lists.select(F.col("h").alias("host"), F.col("id").alias("page_id"), F.col("k").alias("key"))
     on = (F.col("host") == F.col("h")) & F.col("page_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))
