@@ -705,6 +705,132 @@ def flow_scan(spark, sf):
                         F.element_at("steps", -1)["kind"].alias("last_kind"), "message")
 
 
+# ---- objects: every supplier is a class, its function also has a receiver ----------------------
+
+def object_program(spark, sf) -> dict[str, DataFrame]:
+    """``program`` with objects.  A line's tax of 0.03 keeps its parameter in a field; a supplier's nation decides whether
+    its receiver returns (10 to 14) or hits the sink (15 to 17).  A function has one object per class it calls; a first line
+    constructs it, later lines call its methods."""
+    p = program(spark, sf)
+    s, l = table(spark, sf, "supplier"), table(spark, sf, "lineitem")
+    rule = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("rule_id")
+    named = lambda kind, *cols: F.concat(F.lit(kind), F.concat_ws(".", *[F.col(c).cast("string") for c in cols]))
+    a = l.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("i"), F.col("l_suppkey").alias("s1"))
+    b = l.select(F.col("l_orderkey").alias("ok"), (F.col("l_linenumber") - 1).alias("i"), F.col("l_suppkey").alias("s2"))
+    c = a.join(b, ["ok", "i"]).select(F.concat_ws(".", "ok", "i", "s1", "s2").alias("call_id"), "i", F.col("s2").cast("string").alias("fn_id"), named("o", "s1", "s2").alias("object")).distinct()
+    ctor = F.col("i") == 1
+    objects = c.select("call_id", F.when(~ctor, F.col("object")).alias("recv_node"), F.concat(F.lit("v"), F.col("call_id")).alias("ret_node"), ctor.alias("is_ctor"))
+    args = c.select("call_id", F.col("fn_id").alias("callee_fn"), (F.col("i") + 1).alias("param_idx"), F.concat(F.lit("a"), F.col("call_id")).alias("arg_node"))
+    receiver, nation = named("t", "s_suppkey"), F.col("s_nationkey")
+    edges = (p["edges"]
+             .unionByName(l.filter(F.round("l_tax", 2) == 0.03).select(named("p", "l_suppkey", "l_linenumber").alias("src"), named("f", "l_suppkey").alias("dst")))
+             .unionByName(s.filter(nation.between(10, 14)).select(receiver.alias("src"), named("r", "s_suppkey").alias("dst")))
+             .unionByName(s.filter(nation.between(15, 17)).select(receiver.alias("src"), named("k", "s_suppkey").alias("dst")))
+             .unionByName(c.filter(ctor).select(F.concat(F.lit("v"), F.col("call_id")).alias("src"), F.col("object").alias("dst")))).distinct()
+    fn = F.col("s_suppkey").cast("string").alias("fn_id")
+    return p | {
+        "params": p["params"].unionByName(s.select(fn, F.lit(summaries.SELF).alias("param_idx"), receiver.alias("node"), rule)),
+        "edges": edges, "fields": s.select(fn, named("f", "s_suppkey").alias("node")),
+        "call_args": summaries.object_arguments(args, c.select("call_id", "fn_id"), objects)}
+
+
+#: Rounds of the fixpoint with objects that the SQL writes out.
+OBJECT_ROUNDS = 9
+
+OBJECTS = """oparams AS (SELECT * FROM params UNION ALL SELECT rule_id, CAST(s_suppkey AS VARCHAR), -1, 't' || s_suppkey FROM supplier, rules),
+ofields AS (SELECT CAST(s_suppkey AS VARCHAR) AS fn_id, 'f' || s_suppkey AS node FROM supplier),
+oedges AS MATERIALIZED (SELECT * FROM edges UNION SELECT 'p' || s || '.' || i, 'f' || s FROM li WHERE round(t, 2) = 0.03
+  UNION SELECT 't' || s_suppkey, 'r' || s_suppkey FROM supplier WHERE s_nationkey BETWEEN 10 AND 14 UNION SELECT 't' || s_suppkey, 'k' || s_suppkey FROM supplier WHERE s_nationkey BETWEEN 15 AND 17
+  UNION SELECT 'v' || id, 'o' || s1 || '.' || s2 FROM call_rows WHERE i = 1),
+ocalls AS MATERIALIZED (SELECT DISTINCT CAST(s2 AS VARCHAR) AS callee_fn, i + 1 AS param_idx, 'a' || id AS arg_node, 'v' || id AS ret_node,
+    CASE WHEN i = 1 THEN 'v' || id ELSE 'o' || s1 || '.' || s2 END AS self_node FROM call_rows
+  UNION SELECT CAST(s2 AS VARCHAR), -1, 'o' || s1 || '.' || s2, 'v' || id, NULL FROM call_rows WHERE i <> 1),
+ocut0 AS (SELECT NULL AS rule_id, NULL AS src, NULL AS dst WHERE false)"""
+
+
+def _object_round(k: int) -> str:
+    return f"""owalk{k} AS (SELECT rule_id, fn_id, param_idx, node FROM oparams WHERE (rule_id, node) NOT IN (SELECT rule_id, node FROM kills) UNION
+  SELECT w.rule_id, w.fn_id, w.param_idx, e.dst FROM owalk{k} w JOIN (SELECT rule_id, src, dst FROM oedges, rules UNION ALL SELECT rule_id, src, dst FROM ocut{k - 1}) e
+    ON e.rule_id = w.rule_id AND e.src = w.node LEFT JOIN kills x ON x.rule_id = w.rule_id AND x.node = e.dst WHERE x.node IS NULL),
+ofacts{k} AS MATERIALIZED (SELECT DISTINCT rule_id, fn_id, param_idx, 'return' AS kind FROM owalk{k} JOIN rets USING (fn_id, node)
+  UNION ALL SELECT DISTINCT rule_id, fn_id, param_idx, 'keep' FROM owalk{k} JOIN ofields USING (fn_id, node) WHERE param_idx >= 0),
+ocut{k} AS MATERIALIZED (SELECT DISTINCT rule_id, kind, arg_node AS src, CASE kind WHEN 'return' THEN ret_node ELSE self_node END AS dst
+  FROM ofacts{k} f JOIN ocalls c ON c.callee_fn = f.fn_id AND c.param_idx = f.param_idx WHERE kind = 'return' OR self_node IS NOT NULL)"""
+
+
+OBJECT_FIXPOINT = ",\n".join(_object_round(k) for k in range(1, OBJECT_ROUNDS + 1)) + f""",
+osettled AS (SELECT CASE WHEN (SELECT count(*) FROM ofacts{OBJECT_ROUNDS}) <> (SELECT count(*) FROM ofacts{OBJECT_ROUNDS - 1}) THEN error('more rounds are needed') ELSE 'yes' END AS ok),
+odirect AS MATERIALIZED (SELECT DISTINCT w.rule_id, w.fn_id, w.param_idx FROM owalk{OBJECT_ROUNDS} w JOIN sinks USING (rule_id, node)),
+oup AS MATERIALIZED (SELECT DISTINCT w.rule_id, c.callee_fn, c.param_idx AS callee_idx, w.fn_id, w.param_idx FROM owalk{OBJECT_ROUNDS} w JOIN ocalls c ON c.arg_node = w.node),
+onear AS (SELECT rule_id, fn_id, param_idx FROM odirect UNION SELECT u.rule_id, u.fn_id, u.param_idx FROM onear n JOIN oup u ON u.rule_id = n.rule_id AND u.callee_fn = n.fn_id AND u.callee_idx = n.param_idx)"""
+
+
+def object_summaries(spark, sf):
+    p = {k: durable(v) for k, v in object_program(spark, sf).items()}
+    return p, summaries.summarize(p["params"], p["returns"], p["edges"], p["call_args"], p["sinks"], p["kills"], fields=p["fields"])
+
+
+@query("summary_receivers", with_sql(PROGRAM, OBJECTS, OBJECT_FIXPOINT, select=f"""SELECT rule_id, fn_id, param_idx, kind AS fact FROM ofacts{OBJECT_ROUNDS}, osettled WHERE ok = 'yes'
+UNION ALL SELECT rule_id, fn_id, param_idx, 'sink' FROM onear"""))
+def summary_receivers(spark, sf):
+    """Facts about parameters and receivers (-1): returned, kept in a field, reaching a sink."""
+    _, s = object_summaries(spark, sf)
+    return (s.returns.withColumn("fact", F.lit("return")).unionByName(s.keeps.withColumn("fact", F.lit("keep")))
+            .unionByName(s.sinks.drop("hop").withColumn("fact", F.lit("sink"))))
+
+
+@query("summary_setters", with_sql(PROGRAM, OBJECTS, OBJECT_FIXPOINT, select=f"SELECT DISTINCT rule_id, src, dst FROM ocut{OBJECT_ROUNDS}, osettled WHERE ok = 'yes' AND kind = 'keep'"))
+def summary_setters(spark, sf):
+    """Setter and constructor edges that follow from the summaries."""
+    p, s = object_summaries(spark, sf)
+    at = p["call_args"].filter(F.col("self_node").isNotNull()).withColumn("call_id", F.col("arg_node"))
+    return cut.setter_edges(at, s.keeps, at.select("call_id", F.col("self_node").alias("node_id")))
+
+
+@query("summary_getters", with_sql(PROGRAM, OBJECTS, OBJECT_FIXPOINT, select=f"SELECT DISTINCT rule_id, src, dst FROM ocut{OBJECT_ROUNDS}, osettled WHERE ok = 'yes' AND kind = 'return' AND src LIKE 'o%'"))
+def summary_getters(spark, sf):
+    """Getter edges that follow from the summaries."""
+    p, s = object_summaries(spark, sf)
+    at = p["call_args"].filter(F.col("param_idx") == summaries.SELF)
+    return cut.self_edges(at.select(F.col("callee_fn").alias("fn_id"), F.col("arg_node").alias("recv_node"), "ret_node"), s.self_returns)
+
+
+@query("flow_scan_objects", with_sql(PROGRAM, OBJECTS, OBJECT_FIXPOINT, f"""omoves AS MATERIALIZED (SELECT rule_id, st || src AS src, st || dst AS dst FROM
+    (SELECT rule_id, src, dst FROM oedges, rules UNION ALL SELECT rule_id, src, dst FROM ocut{OBJECT_ROUNDS}) e, (SELECT unnest(['u:', 'd:']) AS st)
+  UNION SELECT rule_id, 'u:' || node, 'u:' || ret_node FROM ocalls JOIN rets ON fn_id = callee_fn, rules
+  UNION SELECT rule_id, st || arg_node, 'd:' || CASE ocalls.param_idx WHEN -1 THEN 't' || callee_fn ELSE 'p' || callee_fn || '.' || ocalls.param_idx END FROM ocalls JOIN
+    (SELECT DISTINCT fn_id, param_idx FROM oparams) q ON q.fn_id = callee_fn AND q.param_idx = ocalls.param_idx, rules, (SELECT unnest(['u:', 'd:']) AS st)),
+oflow AS (SELECT rule_id, 'u:' || node AS node, 1 AS n FROM sources WHERE (rule_id, node) NOT IN (SELECT rule_id, node FROM kills) UNION
+  SELECT f.rule_id, m.dst, f.n + 1 FROM oflow f JOIN omoves m ON m.rule_id = f.rule_id AND m.src = f.node LEFT JOIN kills x ON x.rule_id = f.rule_id AND x.node = substr(m.dst, 3)
+  WHERE x.node IS NULL AND f.n < 40),
+oseen AS MATERIALIZED (SELECT rule_id, node, min(n) AS n FROM oflow GROUP BY ALL),
+oparent AS MATERIALIZED (SELECT d.rule_id, d.node, min(m.src) AS parent FROM oseen d JOIN omoves m ON m.rule_id = d.rule_id AND m.dst = d.node
+  JOIN oseen a ON a.rule_id = d.rule_id AND a.node = m.src AND a.n = d.n - 1 GROUP BY ALL),
+oends AS (SELECT s.rule_id, k.node AS sink, min({{'n': n, 'node': s.node}}) AS b FROM oseen s JOIN sinks k ON k.rule_id = s.rule_id AND k.node = substr(s.node, 3) GROUP BY ALL),
+oback AS (SELECT rule_id, sink, b.node AS node, substr(b.node, 3) AS path FROM oends UNION ALL
+  SELECT b.rule_id, b.sink, p.parent, substr(p.parent, 3) || '>' || b.path FROM oback b JOIN oparent p ON p.rule_id = b.rule_id AND p.node = b.node)""",
+       select="SELECT rule_id, sink, max_by(path, length(path)) AS path, CAST(false AS BOOLEAN) AS uncertain FROM oback GROUP BY ALL"))
+def flow_scan_objects(spark, sf):
+    """Flows through constructors, setters, getters and ``object.run()``, with the whole path of each."""
+    p, s = object_summaries(spark, sf)
+    nodes = p["edges"].select(F.explode(F.array("src", "dst")).alias("node_id")).unionByName(p["params"].select(F.col("node").alias("node_id"))).distinct().select(
+        "node_id", F.lit("f").alias("file"), F.lit(1).alias("line"), F.col("node_id").alias("code"))
+    rules = p["sources"].select("rule_id").distinct().withColumn("message", F.lit("flow"))
+    found = scan.flow_scan(p["sources"], p["params"], p["returns"], p["edges"], p["call_args"], p["sinks"], nodes, rules, p["kills"], summ=s)
+    return found.select("rule_id", "sink", F.array_join(F.transform("steps", lambda x: x["code"]), ">").alias("path"), "uncertain")
+
+
+@query("summary_resume", with_sql(PROGRAM, OBJECTS, OBJECT_FIXPOINT, select=f"SELECT rule_id, fn_id, param_idx, kind AS fact FROM ofacts{OBJECT_ROUNDS}, osettled WHERE ok = 'yes'"))
+def summary_resume(spark, sf):
+    """The fixpoint without the calls of even line numbers, then resumed with them: the facts of all calls at once."""
+    p = {k: durable(v) for k, v in object_program(spark, sf).items()}
+    even = F.element_at(F.split(F.substr("ret_node", F.lit(2)), r"\."), 2).cast("int") % 2 == 0
+    first, rest = p["call_args"].filter(~even), p["call_args"].filter(even)
+    base = summaries.summarize(p["params"], p["returns"], p["edges"], first, p["sinks"], p["kills"], fields=p["fields"])
+    s = summaries.summarize(p["params"], p["returns"], p["edges"], first, p["sinks"], p["kills"], fields=p["fields"], before=base, new_calls=rest)
+    return s.returns.withColumn("fact", F.lit("return")).unionByName(s.keeps.withColumn("fact", F.lit("keep")))
+
+
 # ---- rule overlays ---------------------------------------------------------------------------
 
 @query("rule_overlay", """WITH shipped AS (SELECT p_name AS id, min(p_type) AS severity, min(p_brand) AS message, [min(p_type), min(p_brand)] AS sinks FROM part GROUP BY p_name),

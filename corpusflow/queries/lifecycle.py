@@ -152,22 +152,25 @@ def audit_history(spark, sf):
     return lifecycle.audit_history(audit_events(spark, sf)).select("scan_id", "idx", "id", F.col("n").cast("long").alias("n"))
 
 
-CARRY = """old_states AS (SELECT c.scan_id, s.rule_id AS fp, arg_min(t.state, s.idx) AS state FROM chain c JOIN stored s ON s.scan_id = c.prev_scan_id
-  JOIN states t ON t.scan_id = s.scan_id AND t.idx = s.idx GROUP BY ALL),
-old_notes AS (SELECT c.scan_id, s.rule_id AS fp, arg_min(t.note, s.idx) AS note FROM chain c JOIN stored s ON s.scan_id = c.prev_scan_id
-  JOIN notes t ON t.scan_id = s.scan_id AND t.idx = s.idx GROUP BY ALL)"""
+#: A hundred orders are one snapshot here, so that neighbours share most stored fingerprints.
+SNAP = 100
+CARRY = f"""snap AS (SELECT scan_id // {SNAP} AS scan_id, (scan_id % {SNAP}) * 10000000000000000 + idx AS idx, stored_fp AS fp FROM stored),
+snap_states AS (SELECT scan_id // {SNAP} AS scan_id, (scan_id % {SNAP}) * 10000000000000000 + idx AS idx, state FROM states),
+snap_notes AS (SELECT scan_id // {SNAP} AS scan_id, (scan_id % {SNAP}) * 10000000000000000 + idx AS idx, note FROM notes),
+old_states AS (SELECT s.scan_id + 1 AS scan_id, s.fp, arg_min(t.state, s.idx) AS state FROM snap s JOIN snap_states t USING (scan_id, idx) GROUP BY ALL),
+old_notes AS (SELECT s.scan_id + 1 AS scan_id, s.fp, arg_min(t.note, s.idx) AS note FROM snap s JOIN snap_notes t USING (scan_id, idx) GROUP BY ALL)"""
 
 
-@query("carry_over", with_sql(SCANS, FINDINGS, STORED, CHAIN, AUDIT, STATES, NOTES, CARRY, select="""SELECT f.scan_id, f.idx, s.state, n.note FROM stored f
-LEFT JOIN old_states s ON s.scan_id = f.scan_id AND s.fp = f.rule_id LEFT JOIN old_notes n ON n.scan_id = f.scan_id AND n.fp = f.rule_id
+@query("carry_over", with_sql(FINDINGS, STORED, AUDIT, STATES, NOTES, CARRY, select="""SELECT f.scan_id, f.idx, s.state, n.note FROM snap f
+LEFT JOIN old_states s ON s.scan_id = f.scan_id AND s.fp = f.fp LEFT JOIN old_notes n ON n.scan_id = f.scan_id AND n.fp = f.fp
 WHERE s.state IS NOT NULL OR n.note IS NOT NULL"""))
 def carry_over(spark, sf):
-    # the rule stands in for the fingerprint, so that most scans share identities with their predecessor
-    f = findings(spark, sf).withColumn("stored_fp", F.col("rule_id"))
-    current = f.join(chain(spark, sf).select("scan_id", "prev_scan_id"), "scan_id").select(
-        "scan_id", "prev_scan_id", "idx", F.col("stored_fp").alias("fp"))
-    return lifecycle.carry_over(current, f.select("scan_id", "idx", "stored_fp"), states(spark, sf), audit_notes(spark, sf)).select(
-        "scan_id", "idx", "state", "note")
+    """Verdicts and notes go from one snapshot to the next by the stored fingerprint."""
+    def snap(df):
+        return df.withColumn("idx", (F.col("scan_id") % SNAP) * F.lit(10 ** 16) + F.col("idx")).withColumn("scan_id", F.floor(F.col("scan_id") / SNAP))
+    f = snap(stored(spark, sf).select("scan_id", "idx", "stored_fp"))
+    current = f.select("scan_id", F.when(F.col("scan_id") > 0, F.col("scan_id") - 1).alias("prev_scan_id"), "idx", F.col("stored_fp").alias("fp"))
+    return lifecycle.carry_over(current, f, snap(states(spark, sf)), snap(audit_notes(spark, sf))).select("scan_id", "idx", "state", "note")
 
 
 @query("scan_delete", with_sql(SCANS, FINDINGS, select="SELECT f.scan_id, count(*) AS n FROM findings f JOIN scans s USING (scan_id) WHERE s.priority <> '5-LOW' GROUP BY 1"))
