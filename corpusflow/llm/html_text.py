@@ -322,27 +322,40 @@ def features(pages: DataFrame) -> DataFrame:
     return pages.select("host", "page_id", "url", "key", "html").mapInArrow(_features, FEATURES)
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """One page for each text of a host; where copies differ in their trees, the smallest hash decides."""
-    return rows.groupBy("host", "twin").agg(F.min_by("paths", "tree").alias("paths"))
+def once(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One page for each text of a host; where copies differ in their trees, the smallest hash decides.
+
+    ``rows`` have a number, ``row``.  Only numbers move to find the copies; paths move only for rows that hit a filter of them.
+    """
+    keys = rows.select("host", "twin", "tree", "row")
+    first = keys.groupBy("host", "twin").agg(F.min(F.struct("tree", "row")).alias("b")).select("host", "twin", F.col("b.row").alias("kept"))
+    copies = scratch.keep(keys.join(first, ["host", "twin"]).filter(F.col("row") != F.col("kept")).select("row"), "copies")
+    flagged = maybe_listed(rows.select("row", "host", "paths"), copies, ["row"], "maybe")
+    own = flagged.filter("maybe").drop("maybe").join(copies, "row", "left_anti")
+    return flagged.filter(~F.col("maybe")).drop("maybe").unionByName(own).select("host", "paths")
 
 
 def low_of(rows: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
     """``host, path`` of low importance from ``features``, each row counted, with the most frequent content, ``usual``,
     NULL where that stands on fewer than ``least_pages``."""
-    rows = rows.select("host", F.explode("paths").alias("p")).select("host", "p.path", "p.shape", "p.content")
-    values = rows.select("host", "path", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
-    counts = values.groupBy("host", "path", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("c"))
+    # a branch is one number from here on: host and path come back for the few that are low
+    rows = rows.select("host", F.explode("paths").alias("p")).select(F.xxhash64("host", "p.path").alias("branch"), "host", "p.path", "p.shape", "p.content")
+    values = rows.select("branch", F.explode(F.array(
+        F.struct(F.lit(0).cast("byte").alias("kind"), F.col("shape").alias("value")),
+        F.struct(F.lit(1).cast("byte").alias("kind"), F.col("content").alias("value")))).alias("v"))
+    counts = values.groupBy("branch", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("c"))
     # sum c*log c gives the entropy of a path without its distribution: log n - sum / n
-    sums = counts.groupBy("host", "path").pivot("kind", [0, 1]).agg(
+    sums = counts.groupBy("branch").pivot("kind", [0, 1]).agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "value")).alias("top"))
     share = lambda k: F.when(F.col(f"{k}_n") > 1, 1 - F.col(f"{k}_s") / (F.col(f"{k}_n") * F.log(f"{k}_n"))).otherwise(1.0)
     weight = F.pow(F.lit(GAMMA), F.col("0_k"))
     usual = F.when(F.col("1_top.c") >= least_pages, F.col("1_top.value"))
-    trees = sums.select("host", "path", F.col("0_n").alias("n"), usual.alias("usual"), (F.lit(GAMMA) * share(1)).alias("content"), ((1 - weight) * share(0) + weight * share(1)).alias("importance"))
+    trees = sums.select("branch", F.col("0_n").alias("n"), usual.alias("usual"), (F.lit(GAMMA) * share(1)).alias("content"), ((1 - weight) * share(0) + weight * share(1)).alias("importance"))
     # contents that differ are kept however alike and however many their presentations are
-    return trees.filter((F.col("n") >= least_pages) & (F.col("importance") < least) & (F.col("content") < least)).select("host", "path", "usual")
+    low = trees.filter((F.col("n") >= least_pages) & (F.col("importance") < least) & (F.col("content") < least)).select("branch", "usual")
+    low = stored(low, "low-branches")
+    named = maybe_listed(rows.select("branch", "host", "path"), low, ["branch"], "maybe").filter("maybe").select("branch", "host", "path").distinct()
+    return named.join(low, "branch").select("host", "path", "usual")
 
 
 def low_paths(pages: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
@@ -376,8 +389,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # equal keys mean equal pages, whose lists are equal
     rows = rows.withColumn("key", F.xxhash64("page_id", "html"))
     scratch = Scratch(pages.sparkSession, "site-style")
-    found = scratch.keep(features(rows), "features")
-    low = scratch.keep(low_of(once(found)), "branches")
+    found = scratch.keep(features(rows).withColumn("row", F.monotonically_increasing_id()), "features", "zstd")
+    low = scratch.keep(low_of(once(found, scratch)), "branches")
     # of all paths only those that hit a filter of the low ones move
     own = found.select("host", "page_id", "key", "marked", F.explode(F.filter("paths", lambda p: p["own"])).alias("p")).select(
         "host", "page_id", "key", "marked", "p.path", "p.content")
