@@ -804,8 +804,8 @@ oflow AS (SELECT rule_id, 'u:' || node AS node, 1 AS n FROM sources WHERE (rule_
   SELECT f.rule_id, m.dst, f.n + 1 FROM oflow f JOIN omoves m ON m.rule_id = f.rule_id AND m.src = f.node LEFT JOIN kills x ON x.rule_id = f.rule_id AND x.node = substr(m.dst, 3)
   WHERE x.node IS NULL AND f.n < 40),
 oseen AS MATERIALIZED (SELECT rule_id, node, min(n) AS n FROM oflow GROUP BY ALL),
-oparent AS MATERIALIZED (SELECT d.rule_id, d.node, min(m.src) AS parent FROM oseen d JOIN omoves m ON m.rule_id = d.rule_id AND m.dst = d.node
-  JOIN oseen a ON a.rule_id = d.rule_id AND a.node = m.src AND a.n = d.n - 1 GROUP BY ALL),
+osteps AS MATERIALIZED (SELECT m.rule_id, m.src, m.dst, a.n + 1 AS n FROM omoves m JOIN oseen a ON a.rule_id = m.rule_id AND a.node = m.src),
+oparent AS MATERIALIZED (SELECT d.rule_id, d.node, min(m.src) AS parent FROM oseen d JOIN osteps m ON m.rule_id = d.rule_id AND m.dst = d.node AND m.n = d.n GROUP BY ALL),
 oends AS (SELECT s.rule_id, k.node AS sink, min({{'n': n, 'node': s.node}}) AS b FROM oseen s JOIN sinks k ON k.rule_id = s.rule_id AND k.node = substr(s.node, 3) GROUP BY ALL),
 oback AS (SELECT rule_id, sink, b.node AS node, substr(b.node, 3) AS path FROM oends UNION ALL
   SELECT b.rule_id, b.sink, p.parent, substr(p.parent, 3) || '>' || b.path FROM oback b JOIN oparent p ON p.rule_id = b.rule_id AND p.node = b.node)""",
