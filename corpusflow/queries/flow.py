@@ -813,7 +813,9 @@ oback AS (SELECT rule_id, sink, b.node AS node, substr(b.node, 3) AS path FROM o
 def flow_scan_objects(spark, sf):
     """Flows through constructors, setters, getters and ``object.run()``, with the whole path of each."""
     p, s = object_summaries(spark, sf)
-    nodes = p["edges"].select(F.explode(F.array("src", "dst")).alias("node_id")).unionByName(p["params"].select(F.col("node").alias("node_id"))).distinct().select(
+    nodes = p["edges"].select(F.explode(F.array("src", "dst")).alias("node_id")).unionByName(p["params"].select(F.col("node").alias("node_id")))
+    objects = p["call_args"].select(F.explode(F.array("arg_node", "ret_node", "self_node")).alias("node_id")).filter(F.col("node_id").isNotNull())
+    nodes = nodes.unionByName(objects).distinct().select(
         "node_id", F.lit("f").alias("file"), F.lit(1).alias("line"), F.col("node_id").alias("code"))
     rules = p["sources"].select("rule_id").distinct().withColumn("message", F.lit("flow"))
     found = scan.flow_scan(p["sources"], p["params"], p["returns"], p["edges"], p["call_args"], p["sinks"], nodes, rules, p["kills"], summ=s)
