@@ -8,6 +8,7 @@ from .inputs import table, with_sql
 from ..functions import versions
 from ..functions.identity import severity_rank
 from ..operators import sca
+from ..plans import spread
 from ..sources import lockfiles
 
 
@@ -182,7 +183,7 @@ def sca_status(spark, sf):
 
 def _files(spark, sf) -> DataFrame:
     """Seven lockfiles per part, each with one usable entry and some lines that do not count."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     name = F.replace("p_name", F.lit(" "), F.lit("-"))
     v = F.concat_ws(".", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))
     c = F.concat

@@ -2,7 +2,8 @@
 
 Every format is a column expression over the file text, so a corpus with a
 million lockfiles is a million independent rows.  Line numbers of the structured
-formats come from one tokenised pass joined back to the components.
+formats are looked up in the sorted tokens of the same row; only nested npm
+entries, which leave their row, are joined back to the tokens.
 """
 from __future__ import annotations
 
@@ -57,11 +58,44 @@ def _component(df: DataFrame, ecosystem: str, name: Column, version: Column, lin
 def _located(df: DataFrame, files: DataFrame, token: str, needle: Column, ecosystem: str, name: Column, version: Column,
              license: Column | None = None) -> DataFrame:
     """Components with the first line that holds their needle, else line 1."""
-    lines = _first_lines(files, token)
+    # the optimizer takes the lines of a compressed corpus for small; they are as large as the corpus
+    lines = _first_lines(files, token).hint("merge")
     rows = df.withColumn("needle", needle).join(lines, ["project", "file", "needle"], "left")
     return _component(rows, ecosystem, name, version, F.coalesce("line", F.lit(1)), license)
 
 
+def _tokens(token: str) -> Column:
+    """Every token of ``text`` with its line, in order of both."""
+    found = F.transform(_text_lines(F.col("text")), lambda l, i: F.transform(
+        F.regexp_extract_all(l, F.lit(token), F.lit(0)), lambda t: F.struct(t.alias("needle"), (i + 1).alias("line"))))
+    return F.sort_array(F.flatten(found))
+
+
+def _line_of(needle: Column) -> Column:
+    """First line of ``needle`` among the sorted ``tokens``, by halving; NULL if there is none."""
+    tokens, n = F.col("tokens"), F.size("tokens")
+
+    def halve(at: Column, _: Column) -> Column:
+        low, high = at["low"], at["high"]
+        mid = F.floor((low + high) / 2).cast("int")
+        below = F.get(tokens, mid)["needle"] < needle
+        return F.struct(F.when((low < high) & below, mid + 1).otherwise(low).alias("low"),
+                        F.when((low < high) & ~below, mid).otherwise(high).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), n.alias("high"))
+    first = F.get(tokens, F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n))), start, halve)["low"])
+    return F.when(first["needle"] == needle, first["line"])
+
+
+def _explode_located(rows: DataFrame, token: str, items: Column, needle) -> DataFrame:
+    """One row per item of a file with its line, the first that holds ``needle(item)``, else 1: no row leaves its file."""
+    rows = rows.select("project", "file", items.alias("items"), _tokens(token).alias("tokens"))
+    each = F.transform("items", lambda c: F.struct(c.alias("c"), _line_of(needle(c)).alias("line")))
+    line = F.when(F.col("project").isNotNull(), F.col("e.line"))
+    return rows.select("project", "file", F.explode(each).alias("e")).select(
+        "project", "file", "e.c.*", F.coalesce(line, F.lit(1)).alias("line"))
+
+
 def _by_line(files: DataFrame, name: str) -> DataFrame:
     return _named(files, name).select("project", "file", F.posexplode(_text_lines(F.col("text"))).alias("pos", "line"))
 
@@ -77,31 +111,31 @@ def package_lock(files: DataFrame) -> DataFrame:
     f = _named(files, "package-lock.json").select("project", "file", "text", F.from_json("text", (
         "packages map<string, struct<version:string, name:string, license:string>>, "
         "dependencies map<string, struct<version:string, dependencies:string>>")).alias("d"))
-    modern = (f.select("project", "file", F.explode("d.packages").alias("key", "m"))
-              .filter((F.col("key") != "") & (F.coalesce("m.version", F.lit("")) != "")))
-    name = F.coalesce("m.name", F.substring_index("key", "node_modules/", -1))
+    usable = F.filter(F.map_entries(F.coalesce("d.packages", F.create_map().cast(
+        "map<string,struct<version:string,name:string,license:string>>"))),
+        lambda e: (e["key"] != "") & (F.coalesce(e["value"]["version"], F.lit("")) != ""))
+    quoted = lambda key: F.concat(F.lit('"'), key, F.lit('"'))
+    modern = _explode_located(f, JSON_TOKEN, usable, lambda e: quoted(e["key"]))
+    name = F.coalesce("value.name", F.substring_index("key", "node_modules/", -1))
     # a license object is read as its JSON text; only plain names count
-    plain = F.when(~F.startswith(F.coalesce("m.license", F.lit("")), F.lit("{")), F.col("m.license"))
-    own = _named(files, "package-lock.json")
-    quoted = F.concat(F.lit('"'), F.col("key"), F.lit('"'))
-    out = _located(modern, own, JSON_TOKEN, quoted, "npm", name, F.col("m.version"), plain)
+    plain = F.when(~F.startswith(F.coalesce("value.license", F.lit("")), F.lit("{")), F.col("value.license"))
+    out = _component(modern, "npm", name, F.col("value.version"), F.col("line"), plain)
     # version 1 files nest; used only when the flat map yields nothing
-    usable = F.size(F.filter(F.map_entries(F.coalesce("d.packages", F.create_map().cast(
-        "map<string,struct<version:string,name:string,license:string>>"))),
-        lambda e: (e["key"] != "") & (F.coalesce(e["value"]["version"], F.lit("")) != "")))
-    level = f.filter(usable == 0).select("project", "file", "text", F.col("d.dependencies").alias("deps"))
     nested = "map<string, struct<version:string, dependencies:string>>"
+    some = F.size(F.coalesce("deps", F.create_map().cast(nested))) > 0
+    level = durable(f.filter(F.size(usable) == 0).select("project", "file", F.col("d.dependencies").alias("deps")).filter(some))
     found = None
-    level = durable(level)
     # one round for each level that exists; a lockfile may nest as deep as it likes
-    while found is None or not level.isEmpty():
-        rows = level.select("project", "file", "text", F.explode("deps").alias("key", "m")).filter(
+    while not level.isEmpty():
+        rows = level.select("project", "file", F.explode("deps").alias("key", "m")).filter(
             F.coalesce("m.version", F.lit("")) != "")
         nested_rows = rows.select("project", "file", "key", "m.version")
         found = nested_rows if found is None else found.unionByName(nested_rows)
-        level = durable(rows.select("project", "file", F.lit("").alias("text"), F.from_json("m.dependencies", nested).alias("deps"))
-                        .filter(F.size(F.coalesce("deps", F.create_map().cast("map<string,struct<version:string,dependencies:string>>"))) > 0))
-    return out.unionByName(_located(found, own, JSON_TOKEN, quoted, "npm", F.col("key"), F.col("version")))
+        level = durable(rows.select("project", "file", F.from_json("m.dependencies", nested).alias("deps")).filter(some))
+    if found is None:
+        return out
+    old = _located(found, _named(files, "package-lock.json"), JSON_TOKEN, quoted(F.col("key")), "npm", F.col("key"), F.col("version"))
+    return out.unionByName(old)
 
 
 def _xml_ok(files: DataFrame, max_chars: int | None) -> DataFrame:
@@ -114,18 +148,17 @@ def pom(files: DataFrame, max_chars: int | None = MAX_XML_CHARS) -> DataFrame:
     """``max_chars``: longer files are left out (None: none is)."""
     bare = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
     blocks = F.regexp_extract_all(bare, F.lit(r"(?s)<dependency(?:\s[^>]*)?>(.*?)</dependency\s*>"), F.lit(1))
-    rows = _xml_ok(_named(files, "pom.xml"), max_chars).select("project", "file", "text", F.explode(blocks).alias("b"))
     # nested exclusions have their own coordinates
-    body = F.regexp_replace("b", r"(?s)<exclusions(?:\s[^>]*)?>.*?</exclusions\s*>", "")
+    bodies = F.transform(blocks, lambda b: F.regexp_replace(b, r"(?s)<exclusions(?:\s[^>]*)?>.*?</exclusions\s*>", ""))
 
-    def tag(name: str) -> Column:
+    def tag(body: Column, name: str) -> Column:
         return strip(F.regexp_extract(body, rf"(?s)<{name}(?:\s[^>]*)?>\s*(.*?)\s*</{name}\s*>", 1))
 
-    rows = rows.select("project", "file", "text", tag("groupId").alias("g"), tag("artifactId").alias("a"),
-                       tag("version").alias("v"))
-    rows = rows.filter((F.col("g") != "") & (F.col("a") != "") & (F.col("v") != "") & ~F.contains("v", F.lit("${")))
-    return _located(rows, _named(files, "pom.xml"), ARTIFACT_TOKEN, F.concat(F.lit("<artifactId>"), F.col("a"), F.lit("<")),
-                    "Maven", F.concat_ws(":", "g", "a"), F.col("v"))
+    entries = F.transform(bodies, lambda b: F.struct(tag(b, "groupId").alias("g"), tag(b, "artifactId").alias("a"), tag(b, "version").alias("v")))
+    items = F.filter(entries, lambda e: (e["g"] != "") & (e["a"] != "") & (e["v"] != "") & ~F.contains(e["v"], F.lit("${")))
+    rows = _explode_located(_xml_ok(_named(files, "pom.xml"), max_chars), ARTIFACT_TOKEN, items,
+                            lambda e: F.concat(F.lit("<artifactId>"), e["a"], F.lit("<")))
+    return _component(rows, "Maven", F.concat_ws(":", "g", "a"), F.col("v"), F.col("line"))
 
 
 def go_mod(files: DataFrame) -> DataFrame:
@@ -161,26 +194,25 @@ def composer_lock(files: DataFrame) -> DataFrame:
         "text", f"packages {one}, `packages-dev` {one}").alias("d"))
     every = F.concat(F.coalesce("d.packages", F.array().cast(one)),
                      F.coalesce(F.col("d").getField("packages-dev"), F.array().cast(one)))
-    rows = (f.select("project", "file", "text", F.explode(every).alias("p"))
-            .filter((F.coalesce("p.name", F.lit("")) != "") & (F.coalesce("p.version", F.lit("")) != "")))
+    items = F.filter(every, lambda p: (F.coalesce(p["name"], F.lit("")) != "") & (F.coalesce(p["version"], F.lit("")) != ""))
+    rows = _explode_located(f, JSON_TOKEN, items, lambda p: F.concat(F.lit('"'), p["name"], F.lit('"')))
     # a list of names or one name
-    licence = F.coalesce(F.array_join(F.from_json("p.license", "array<string>"), ", "), F.col("p.license"))
-    return _located(rows, _named(files, "composer.lock"), JSON_TOKEN, F.concat(F.lit('"'), F.col("p.name"), F.lit('"')),
-                    "Packagist", F.col("p.name"), F.regexp_replace("p.version", "^v+", ""), licence)
+    licence = F.coalesce(F.array_join(F.from_json("license", "array<string>"), ", "), F.col("license"))
+    return _component(rows, "Packagist", F.col("name"), F.regexp_replace("version", "^v+", ""), F.col("line"), licence)
 
 
 def packages_config(files: DataFrame, max_chars: int | None = MAX_XML_CHARS) -> DataFrame:
     """``max_chars``: longer files are left out (None: none is)."""
-    def attribute(name: str) -> Column:
+    def attribute(tag: Column, name: str) -> Column:
         quoted = rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-        return F.concat(F.regexp_extract("t", quoted, 1), F.regexp_extract("t", quoted, 2))
+        return F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, quoted, 2))
 
     tags = F.regexp_extract_all("text", F.lit(r"<package\b([^>]*)>"), F.lit(1))
-    rows = _xml_ok(_named(files, "packages.config"), max_chars).select("project", "file", "text", F.explode(tags).alias("t"))
-    rows = rows.select("project", "file", "text", attribute("id").alias("i"), attribute("version").alias("v"))
-    rows = rows.filter((F.col("i") != "") & (F.col("v") != ""))
-    return _located(rows, _named(files, "packages.config"), ID_TOKEN, F.concat(F.lit('id="'), F.col("i"), F.lit('"')),
-                    "NuGet", F.col("i"), F.col("v"))
+    entries = F.transform(tags, lambda t: F.struct(attribute(t, "id").alias("i"), attribute(t, "version").alias("v")))
+    items = F.filter(entries, lambda e: (e["i"] != "") & (e["v"] != ""))
+    rows = _explode_located(_xml_ok(_named(files, "packages.config"), max_chars), ID_TOKEN, items,
+                            lambda e: F.concat(F.lit('id="'), e["i"], F.lit('"')))
+    return _component(rows, "NuGet", F.col("i"), F.col("v"), F.col("line"))
 
 
 PARSERS = (requirements, package_lock, pom, go_mod, gemfile_lock, composer_lock, packages_config)

@@ -111,3 +111,16 @@ def test_scans_are_replaced_and_sarif_has_its_rules(spark, tmp_path):
     results = [json.loads(r.value) for r in spark.read.text(f"file:{tmp_path}/sarif/results").select("value").collect()]
     rules = {x["properties"]["index"]: x["id"] for x in (json.loads(r.value) for r in spark.read.text(f"file:{tmp_path}/sarif/rules").select("value").collect())}
     assert rules == {0: "b", 1: "a"} and all(rules[x["ruleIndex"]] == x["ruleId"] for x in results) and len(results) == 3
+
+
+def test_lines_of_components_are_found_inside_their_file(spark):
+    """Nothing is broadcast or moved to number the components; the first of several lines counts."""
+    lock = '{"packages": {"": {"version": "1"},\n "node_modules/b": {"version": "2"},\n "node_modules/a": {"version": "3", "x": "node_modules/b"},\n "n\\u0061": {"version": "4"}}}'
+    composer = '{"x": "q",\n"packages": [{"name": "p", "version": "1"},\n{"name": "q", "version": "2"}, {"name": "r",\n "version": "3"}]}'
+    files = spark.createDataFrame([("p", "package-lock.json", lock), ("p", "composer.lock", composer), ("p", "packages.config", "<packages/>")],
+                                  "project string, file string, text string")
+    assert {r.name: r.line for r in lockfiles.package_lock(files).collect()} == {"b": 2, "a": 3, "na": 1}
+    assert {r.name: r.line for r in lockfiles.composer_lock(files).collect()} == {"p": 2, "q": 1, "r": 3}
+    for parse in (lockfiles.package_lock, lockfiles.composer_lock, lockfiles.pom, lockfiles.packages_config):
+        plan = parse(files)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan, parse.__name__
