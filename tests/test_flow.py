@@ -263,3 +263,22 @@ def test_flow_scan_stitches_the_steps_of_caller_and_callee(spark):
     assert (r.sink, r.file, r.line, r.severity, r.uncertain) == ("k", "lib.py", 8, "high", True)
     killed = flow_scan(one("x"), params, returns, edges, calls, one("k"), nodes, df([("R", "high")], "rule_id string, severity string"), one("q2"))
     assert killed.count() == 0
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """A stored round frees what it shuffled: the disk holds rounds, not everything ever moved."""
+    import time
+    from pathlib import Path
+
+    from corpusflow.plans import durable
+
+    folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    before = set(folder.glob("*/shuffle_*.data"))
+    rows = spark.range(20_000).repartition(7, "id").groupBy("id").count()
+    out = durable(rows)
+    for _ in range(50):
+        left = set(folder.glob("*/shuffle_*.data")) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 20_000
