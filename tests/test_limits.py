@@ -1,10 +1,11 @@
 """What used to be cut short: nesting, long numbers, masked lines, guards far back, globs, attributes, keys of containers."""
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from corpusflow.functions import values, versions
-from corpusflow.operators import patterns
+from corpusflow.operators import lifecycle, patterns
 from corpusflow.operators.flow import closure, edges
 from corpusflow.sources import corpus, lockfiles
 
@@ -124,3 +125,21 @@ def test_lines_of_components_are_found_inside_their_file(spark):
     for parse in (lockfiles.package_lock, lockfiles.composer_lock, lockfiles.pom, lockfiles.packages_config):
         plan = parse(files)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan, parse.__name__
+
+
+def test_snapshot_difference_moves_only_what_is_read(spark):
+    rows = spark.createDataFrame([(1, 0, "a", "r", "high", "f", 1, "flow"), (2, 0, "b", "r", "low", "f", 1, "flow")],
+                                 "scan_id long, idx long, stored_fp string, rule_id string, severity string, file string, line int, category string")
+    scans = spark.createDataFrame([(1, None, False, None), (2, 1, False, False)], "scan_id long, prev_scan_id long, sca boolean, prev_sca boolean")
+    counts = lifecycle.diff_counts(lifecycle.scan_diff(rows, scans))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = plan[:next(i for i, p in enumerate(plan) if "max(struct(" in p)]
+    assert above and not any(re.search(r"\b(file|severity|rule_id|idx)#", p) for p in above)
+    assert {r.scan_id: tuple(r)[1:] for r in counts.collect()} == {1: (1, 0, 0), 2: (1, 1, 0)}
+
+
+def test_findings_do_not_move_by_rule_to_meet_the_rename_history(spark):
+    from corpusflow.queries import lifecycle as q
+    rows = spark.createDataFrame([("r", "f", "x", [("c",)])], "rule_id string, file string, fp string, steps array<struct<code:string>>")
+    out = lifecycle.with_stored_fp(rows, q._canonical(spark))
+    assert "hashpartitioning(rule_id" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
