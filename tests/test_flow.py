@@ -282,3 +282,25 @@ def test_rounds_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and out.count() == 20_000
+
+
+def test_edges_move_once_and_equal_ones_are_kept_once(spark):
+    doubled = spark.createDataFrame(graph(4) * 3, E)
+    e = closure.Edges(doubled)
+    plan = e.rows._jdf.queryExecution().logical().toString()
+    assert e.rows.count() == len(graph(4)) and "Repartition" in plan
+    e.release()
+    assert {r.src: r.salts for r in closure._hubs(doubled, 8).collect()} == {
+        n: -(-k // 8) for n in {g[0] for g in graph(4)} for k in [3 * sum(g[0] == n for g in graph(4))] if k > 8}
+
+
+def test_walking_back_joins_one_hop_at_a_time(spark, monkeypatch):
+    chain = [("A", f"n{i}", i, f"n{i - 1}" if i else None, False) for i in range(6)]
+    reached = spark.createDataFrame(chain, "rule_id string, node string, hop int, parent string, step_uncertain boolean")
+    plans, real = [], closure.durable
+    monkeypatch.setattr(closure, "durable", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    targets = spark.createDataFrame([("A", "n5"), ("A", "n2")], "rule_id string, node string")
+    steps = closure.trace(reached, targets).collect()
+    assert sorted((r.target, r.pos, r.node) for r in steps) == sorted(
+        [("n5", i, f"n{i}") for i in range(6)] + [("n2", i, f"n{i}") for i in range(3)])
+    assert all(f"= {h})" in p for h, p in zip(range(4, -1, -1), plans[1:])) and len(plans) == 6
