@@ -149,6 +149,22 @@ def test_rule_overlay(spark):
     assert got == {"a": ("low", "m", ["x", "y", "z"]), "b": (None, None, ["q"]), "c": ("low", "m", ["x"]), "n": ("info", None, ["w"])}
 
 
+def test_sarif_numbers_rules_without_moving_what_describes_them(spark, monkeypatch):
+    seen, number = [], hub.number_in_key
+
+    def watched(df, *rest):
+        seen.append(df.columns)
+        return number(df, *rest)
+
+    monkeypatch.setattr(hub, "number_in_key", watched)
+    rows = [(1, 5, "b", 1), (1, 7, "a", 2), (1, 9, "b", 3), (2, 1, "a", 4), (2, 1, "b", 4)]
+    f = spark.createDataFrame(rows, "scan_id long, idx long, rule_id string, line int").selectExpr(
+        "*", "'m' AS message", "'high' AS severity", "'' AS cwe", "'' AS owasp", "array(named_struct('kind', 'sink', 'file', 'f', 'line', line, 'code', 'c')) AS steps")
+    got = sorted((r.scan_id, r.rule_id, r.rule_index) for r in hub.sarif_results(f).distinct().collect())
+    assert got[:3] == [(1, "a", 1), (1, "b", 0), (1, "b", 0)] and {g[2] for g in got[3:]} == {0, 1}
+    assert seen == [["scan_id", "rule_id", "first_idx"]]
+
+
 def test_sarif_lines_start_at_one(spark):
     step = "array<struct<kind:string,file:string,line:int,code:string,uncertain:boolean>>"
     f = spark.createDataFrame([(1, 0, "secret.risky-filename", "m", "high", "CWE-538", "", 0, [("match", "id_rsa", 0, "id_rsa", False)])],
