@@ -80,18 +80,19 @@ def register(rows: DataFrame, index: DigestIndex, scratch: Scratch) -> tuple[Dat
 
 
 def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, keep_id, group_size, kept, text_sha256``."""
+    """One row per document: ``id_col, keep_id, group_size, kept, text_sha256``.
+
+    Digests and groups stay in the shared folder, as the result is read from them and, bucket by bucket, from the index.
+    """
     scratch = Scratch(docs.sparkSession, "dedup")
     rows = scratch.keep(_digests(docs, id_col, text_col), "digests")
     groups, batch = register(rows, index, scratch)
     known = index.read().select("digest", "keep_id", (F.col("batch") == batch).alias("new"))
     judged = groups.join(known.hint("merge"), "digest")
-    out = stored(rows.join(judged, "digest").select(
+    return rows.join(judged, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         (F.col("new") & (F.col("row") == F.col("last.row"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256")), "deduplicated")
-    scratch.close()
-    return out
+        F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
