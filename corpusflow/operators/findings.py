@@ -296,17 +296,17 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def rule_numbers(first: DataFrame) -> DataFrame:
-    """``scan_id, rule_id, rule_index`` of the rules of each scan, ordered by ``first_idx``."""
-    ranked = number_in_key(first.select("scan_id", "rule_id", "first_idx"), ["scan_id"], ["first_idx"], "_n")
+    """``scan_id, rule_id, rule_index`` of the rules of each scan, ordered by ``first_idx``, ties by name as in sarif_rules."""
+    ranked = number_in_key(first.select("scan_id", "rule_id", "first_idx"), ["scan_id"], ["first_idx", "rule_id"], "_n")
     return ranked.select("scan_id", "rule_id", (F.col("_n") - 1).alias("rule_index"))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """Distinct rules of each scan, 0-based in order of first appearance."""
+    """Distinct rules of each scan, 0-based in order of first appearance; rules that appear at the same place by name."""
     first = findings.groupBy("scan_id", "rule_id").agg(
         F.min("idx").alias("first_idx"),
         F.min_by(F.struct("message", "severity", "cwe", "owasp"), "idx").alias("r"))
-    ranked = number_in_key(first, ["scan_id"], ["first_idx"], "_n")
+    ranked = number_in_key(first, ["scan_id"], ["first_idx", "rule_id"], "_n")
     return ranked.select("scan_id", "rule_id", (F.col("_n") - 1).alias("rule_index"), "r.message", "r.severity",
                          "r.cwe", "r.owasp", _lookup(SARIF_LEVEL, F.col("r.severity"), F.lit("warning")).alias("level"))
 

@@ -163,6 +163,8 @@ def test_sarif_numbers_rules_without_moving_what_describes_them(spark, monkeypat
     got = sorted((r.scan_id, r.rule_id, r.rule_index) for r in hub.sarif_results(f).distinct().collect())
     assert got[:3] == [(1, "a", 1), (1, "b", 0), (1, "b", 0)] and {g[2] for g in got[3:]} == {0, 1}
     assert seen == [["scan_id", "rule_id", "first_idx"]]
+    # results and rules agree where rules begin at the same place
+    assert {g for g in got} == {(r.scan_id, r.rule_id, r.rule_index) for r in hub.sarif_rules(f).collect()}
 
 
 def test_sarif_lines_start_at_one(spark):
