@@ -304,3 +304,45 @@ def test_walking_back_joins_one_hop_at_a_time(spark, monkeypatch):
     assert sorted((r.target, r.pos, r.node) for r in steps) == sorted(
         [("n5", i, f"n{i}") for i in range(6)] + [("n2", i, f"n{i}") for i in range(3)])
     assert all(f"= {h})" in p for h, p in zip(range(4, -1, -1), plans[1:])) and len(plans) == 6
+
+
+def test_a_round_moves_what_it_derives_and_nothing_else(spark, monkeypatch):
+    """Reached nodes, edges and shortcuts of earlier rounds stay where they lie."""
+    import importlib
+    durable = importlib.import_module("corpusflow.plans.durable")
+    plans, keep = [], durable.durable
+
+    def spy(frame):
+        plans.append(frame.select("*")._jdf.queryExecution().executedPlan().toString())
+        return keep(frame)
+
+    monkeypatch.setattr(durable, "durable", spy)
+    monkeypatch.setattr(summaries, "durable", spy)
+    params, returns, edges, args, sinks, _, _ = random_program(11)
+    df = spark.createDataFrame
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = summaries.summarize(df(params, "rule_id string, fn_id string, param_idx int, node string"), df(returns, "fn_id string, node string"),
+                                df(edges, "src string, dst string"), df(args, "callee_fn string, param_idx int, arg_node string, ret_node string"),
+                                df(sinks, "rule_id string, node string"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = [p for p in plans if "LeftAnti" in p and p.count("node#") and "kind#" not in p and "parent#" not in p]
+    assert len(rounds) >= 3 and any("Union" in p for p in rounds)
+    moved = [(i, line) for i, p in enumerate(rounds) for line in p.splitlines() if "ENSURE_REQUIREMENTS" in line]
+    assert not moved
+    ret, _ = brute_summaries(params, set(returns), edges, args, set(sinks), set())
+    assert {(r.rule_id, r.fn_id, r.param_idx) for r in s.returns.collect()} == ret
+
+
+def test_repeated_edges_change_no_summary(spark):
+    params, returns, edges, args, sinks, _, kills = random_program(12)
+    df = spark.createDataFrame
+    p, rt = df(params, "rule_id string, fn_id string, param_idx int, node string"), df(returns, "fn_id string, node string")
+    e, ca = df(edges + edges, "src string, dst string"), df(args + args, "callee_fn string, param_idx int, arg_node string, ret_node string")
+    sk, kl = (df(sorted(x), "rule_id string, node string") for x in (sinks, kills))
+    s = summaries.summarize(p, rt, e, ca, sk.unionByName(sk), kl)
+    ret, sink = brute_summaries(params, set(returns), edges, args, set(sinks), kills)
+    assert sorted((r.rule_id, r.fn_id, r.param_idx) for r in s.returns.collect()) == sorted(ret)
+    assert sorted((r.rule_id, r.fn_id, r.param_idx) for r in s.sinks.collect()) == sorted({x[:3] for x in sink})
+    assert sorted(s.direct.collect()) == sorted(s.direct.distinct().collect())
