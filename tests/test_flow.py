@@ -346,3 +346,26 @@ def test_repeated_edges_change_no_summary(spark):
     assert sorted((r.rule_id, r.fn_id, r.param_idx) for r in s.returns.collect()) == sorted(ret)
     assert sorted((r.rule_id, r.fn_id, r.param_idx) for r in s.sinks.collect()) == sorted({x[:3] for x in sink})
     assert sorted(s.direct.collect()) == sorted(s.direct.distinct().collect())
+
+
+def test_sinks_are_walked_from_the_side_of_fewer_rows(spark, monkeypatch):
+    """A chain of calls into one sink: one row a function, not one per (function, function behind it)."""
+    n = 12
+    df = spark.createDataFrame
+    p = df([("A", f"f{i}", 0, f"p{i}") for i in range(n)], "rule_id string, fn_id string, param_idx int, node string")
+    e = df([(f"p{i}", f"a{i}") for i in range(n - 1)] + [(f"p{n - 1}", "k")], "src string, dst string")
+    ca = df([(f"f{i + 1}", 0, f"a{i}", f"v{i}") for i in range(n - 1)], "callee_fn string, param_idx int, arg_node string, ret_node string")
+    s = summaries.summarize(p, df([("f0", "r0")], "fn_id string, node string"), e, ca, df([("A", "k")], "rule_id string, node string"))
+    sizes, reach = [], summaries.reach
+
+    def counted(*args, **kw):
+        out = reach(*args, **kw)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(summaries, "reach", counted)
+    starts = s.sinks.select("rule_id", F.concat_ws("#", "fn_id", "param_idx").alias("start"))
+    assert sorted((r.start, r.sink) for r in summaries.sinks_behind(s, starts).collect()) == sorted((f"f{i}#0", "k") for i in range(n))
+    assert sizes and max(sizes) <= n
+    one = starts.filter(F.col("start") == "f3#0")
+    assert [(r.start, r.sink) for r in summaries.sinks_behind(s, one).collect()] == [("f3#0", "k")]
