@@ -185,3 +185,15 @@ def test_consolidated_final_drops_closed(spark):
 def test_empty_project_is_complete(spark):
     empty = spark.createDataFrame([], "project string, lang string, is_source boolean, is_text boolean, too_large boolean, failed boolean, partial boolean, lines long")
     assert rollups.integrity(empty).count() == 0
+
+
+def test_the_dashboard_shows_the_severity_split_and_the_rules_with_most_hits(spark):
+    df = spark.createDataFrame
+    latest = df([(1, 4, 1, 1, 2, 0, 0, 3), (2, 3, 2, 0, 0, 1, 0, 1)],
+                "scan_id long, total long, sev_critical long, sev_high long, sev_medium long, sev_low long, sev_info long, new_count long")
+    # the rules of scan 3, which is not the newest of its project, don't count
+    hits = [(1, "b"), (1, "b"), (1, "c"), (2, "a"), (2, "a"), (2, "c"), (2, "d"), *[(3, "old")] * 5]
+    row = rollups.dashboard(latest, df([(1,), (2,), (3,)], "scan_id long"), df(hits, "scan_id long, rule_id string"), top=3).first()
+    assert (row.projects, row.total, row.crit_high, row.new_total, row.scans) == (2, 7, 4, 4, 3)
+    assert (row.sev_critical, row.sev_high, row.sev_medium, row.sev_low, row.sev_info) == (3, 1, 2, 1, 0)
+    assert [tuple(r) for r in row.top_rules] == [("a", 2), ("b", 2), ("c", 2)]
